@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomer.llm import line_dedup
+from fathomer.llm import line_dedup, packing, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,27 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The path of a public tokenizer's file, which every worker has."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document: patterns, and keys and tokens that parse."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op7_packing": op7_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL = {

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomer.llm import html_text, line_dedup, packing, secrets
+from fathomer.llm import html_text, line_dedup, packing, secrets, warc
+from fathomer.llm.work import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archive records, read back and told apart by payload."""
+    path = new_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.with_revisits(warc.read_archives(spark, path))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The path of a public tokenizer's file, which every worker has."""
     import public_tokenizers
@@ -42,12 +50,29 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op5_warc": op5_warc,
     "op7_packing": op7_packing,
     "op8_html_extraction": op8_html_extraction,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL = {
+    "op5_warc": r"""
+        WITH hashed AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS hex
+            FROM pages),
+        digested AS (
+            SELECT page_id, payload_bytes, translate(
+                       to_base(('0x' || substr(hex, 1, 10))::BIGINT, 32, 8) || to_base(('0x' || substr(hex, 11, 10))::BIGINT, 32, 8) ||
+                       to_base(('0x' || substr(hex, 21, 10))::BIGINT, 32, 8) || to_base(('0x' || substr(hex, 31, 10))::BIGINT, 32, 8),
+                       '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+            FROM hashed),
+        best AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM digested)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> best THEN best END AS refers_to
+        FROM best
+    """,
     "op1_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomer.llm import html_text, line_dedup, packing, secrets, warc
+from fathomer.llm import html_text, line_dedup, packing, quality, secrets, warc
 from fathomer.llm.work import new_path
 
 
@@ -26,6 +26,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.with_revisits(warc.read_archives(spark, path))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether it reads like trusted ones."""
+    out = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.drop("score")
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The path of a public tokenizer's file, which every worker has."""
     import public_tokenizers
@@ -51,6 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op5_warc": op5_warc,
+    "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_html_extraction": op8_html_extraction,
     "op10_secret_scan": op10_secret_scan,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomer.llm import html_text, line_dedup, packing, quality, secrets, warc
+from fathomer.llm import html_text, licenses, line_dedup, packing, quality, secrets, warc
 from fathomer.llm.work import new_path
 
 
@@ -19,6 +19,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences and licence notices of every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as archive records, read back and told apart by payload."""
     path = new_path(spark, "archives")
@@ -56,6 +61,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
@@ -64,6 +70,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_license_scan": licenses.oracle_sql(),
     "op5_warc": r"""
         WITH hashed AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS hex

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomer.llm import html_text, licenses, line_dedup, packing, quality, secrets, warc
+from fathomer.llm import html_text, langid, licenses, line_dedup, packing, quality, secrets, warc
 from fathomer.llm.work import new_path
 
 
@@ -54,6 +54,20 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, from its text, declared language and source."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, from its main text, markup and address."""
+    pages = _table(spark, sf_dir, "pages")
+    declared = pages.select("page_id", "url", F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1).alias("markup"))
+    texts = html_text.extract(pages).select("page_id", "text").join(declared, "page_id")
+    out = langid.identify(texts, id_col="page_id", declared_col="markup", host=langid.host_of(F.col("url")))
+    return out.withColumnRenamed("doc_id", "page_id")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document: patterns, and keys and tokens that parse."""
     return secrets.scan(_table(spark, sf_dir, "documents"))
@@ -66,6 +80,8 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_html_extraction": op8_html_extraction,
+    "op9_language_id": op9_language_id,
+    "langid_pages": langid_pages,
     "op10_secret_scan": op10_secret_scan,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomer.llm import html_text, langid, licenses, line_dedup, packing, quality, secrets, warc
+from fathomer.llm import decontaminate, html_text, langid, licenses, line_dedup, packing, quality, secrets, warc
 from fathomer.llm.work import new_path
 
 
@@ -24,6 +24,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold, as pairs."""
+    return decontaminate.find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as archive records, read back and told apart by payload."""
     path = new_path(spark, "archives")
@@ -76,6 +81,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
+    "op3_decontamination": op3_decontamination,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,

@@ -1,12 +1,60 @@
-"""A corpus pipeline over ``documents``: five stages, each one operator."""
+"""A corpus pipeline over ``documents``: five stages, each one operator.
+
+Each stage takes what its predecessor kept and returns the columns of
+``documents``; the last returns the pieces of packed training sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fathomer.llm import decontaminate, langid, line_dedup, neardup, packing
+from fathomer.llm.queries import vocabulary
 from fathomer.llm.work import written
 
-STAGES: list = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told stay."""
+    return langid.keep_told(docs)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three documents share stay in one; texts and lengths follow."""
+    kept = line_dedup.with_kept_text(docs)
+    return kept.select(*[_renewed(c) for c in docs.columns])
+
+
+def _renewed(column: str) -> Column:
+    if column == "text":
+        return F.col("kept_text").alias("text")
+    return F.length("kept_text").cast("long").alias("n_chars") if column == "n_chars" else F.col(column)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: shingles of five words, similarity 0.8."""
+    return neardup.keep_first(docs, size=5, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item stay."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces of sequences of at most 1024 tokens."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup_stage),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", pack),
+]
+
+#: Trained language models and tokenizers have no SQL; ``tests/llm`` has the brute-force version.
 ORACLE_SQL = None
 
 

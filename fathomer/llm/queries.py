@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomer.llm import decontaminate, html_text, langid, licenses, line_dedup, packing, quality, secrets, warc
+from fathomer.llm import decontaminate, html_text, langid, licenses, line_dedup, neardup, packing, quality, secrets, warc
 from fathomer.llm.work import new_path
 
 
@@ -29,6 +29,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as archive records, read back and told apart by payload."""
     path = new_path(spark, "archives")
@@ -82,6 +87,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
@@ -92,6 +98,30 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_minhash_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        placed AS (
+            SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM words WHERE len(w) > 0),
+        grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS gram FROM placed),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m
+            FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * m >= 80 * (x.n + y.n - m)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a),
+        least AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+        SELECT l.doc_id, coalesce(n, 0) AS n_shingles, component_id, l.doc_id = component_id AS kept
+        FROM least l LEFT JOIN sizes s ON s.doc_id = l.doc_id
+    """,
     "op2_license_scan": licenses.oracle_sql(),
     "op5_warc": r"""
         WITH hashed AS (

@@ -37,11 +37,11 @@ def _bm25(counts: list[str], match: str, digits: int = 6) -> str:
 
 
 def _term(term: str) -> str:
-    return f"len(list_filter(t, x -> x = '{term}'))"
+    return f"len(list_filter(t, lambda x: x = '{term}'))"
 
 
 def _phrase(a: str, b: str) -> str:
-    return f"len(list_filter(range(1, len(t)), i -> t[i] = '{a}' AND t[i + 1] = '{b}'))"
+    return f"len(list_filter(range(1, len(t)), lambda i: t[i] = '{a}' AND t[i + 1] = '{b}'))"
 
 
 _THREE = _bm25([_term("the"), _term("that"), _term("with")], "tf0 > 0 AND tf1 > 0 AND tf2 > 0")
@@ -99,8 +99,8 @@ ORACLE_SQL = {
         FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)""",
     "extract_keywords": rf"""WITH found AS (
             SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:[-_.][a-z0-9]+)*') AS f FROM benchmark),
-        kept AS (SELECT item_id, list_filter(f, x -> length(x) BETWEEN 3 AND 30 AND x NOT IN ({_STOP})) AS k FROM found)
-        SELECT item_id, array_to_string(list_filter(k, (x, i) -> list_position(k, x) = i)[1:12], ' ') AS keywords FROM kept""",
+        kept AS (SELECT item_id, list_filter(f, lambda x: length(x) BETWEEN 3 AND 30 AND x NOT IN ({_STOP})) AS k FROM found)
+        SELECT item_id, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i)[1:12], ' ') AS keywords FROM kept""",
     "source_tier": f"SELECT doc_id, tier, {_WEIGHT} AS weight FROM (SELECT doc_id, {_TIER} AS tier FROM documents)",
     "tier_histogram": f"SELECT tier, count(*) AS n FROM (SELECT {_TIER} AS tier FROM documents) GROUP BY tier",
     "tokenize_postings": f"""WITH {_TOK}, occ AS (SELECT id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM toks)
@@ -112,7 +112,7 @@ ORACLE_SQL = {
     "keyword_top10": f"WITH {_THREE} SELECT id, row_number() OVER (ORDER BY exact DESC, id) AS rank FROM hits QUALIFY rank <= 10",
     "keyword_or": f"""WITH {_bm25([_term("thing"), _term("estiin"), _term("citación")], "tf0 > 0 OR tf1 > 0 OR tf2 > 0")} SELECT id, score FROM hits""",
     "keyword_not": f"""WITH {_bm25([_term("the"), _term("that")], "tf0 > 0 AND NOT tf1 > 0")} SELECT id, score FROM hits""",
-    "keyword_prefix": f"""WITH {_bm25(["len(list_filter(t, x -> starts_with(x, 'thing')))"], "tf0 > 0")} SELECT id, score FROM hits""",
+    "keyword_prefix": f"""WITH {_bm25(["len(list_filter(t, lambda x: starts_with(x, 'thing')))"], "tf0 > 0")} SELECT id, score FROM hits""",
     "keyword_phrase": f"""WITH {_bm25([_phrase("of", "the")], "tf0 > 0")} SELECT id, score FROM hits""",
     "keyword_near": f"""WITH {_bm25([_term("with"), _term("that")], "tf0 > 0 AND tf1 > 0")},
         occ AS (SELECT id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM toks),

@@ -26,11 +26,9 @@ class Symbol:
     receiver: str = ""
     package: str = ""
     snippet: str = ""
-    #: The name in the symbol's id, where it is not ``receiver.name``.
-    id_name: str = ""
 
     def key(self, path: str) -> str:
-        name = self.id_name or (f"{self.receiver}.{self.name}" if self.receiver else self.name)
+        name = f"{self.receiver}.{self.name}" if self.receiver else self.name
         return f"{path}:{name}:{self.kind}"
 
 

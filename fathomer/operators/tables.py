@@ -70,7 +70,7 @@ def replace_files(tables: dict[str, DataFrame], parsed: dict[str, DataFrame], pa
     out = dict(tables)
     for name, column in FILE_COLUMN.items():
         kept = tables[name].join(paths.select(F.col("path").alias(column)), column, "left_anti").select(*tables[name].columns)
-        out[name] = kept.unionByName(last_by_key(parsed[name], KEYS[name]))
+        out[name] = kept.unionByName(last_by_key(parsed[name], KEYS[name]).select(*kept.columns))
     out["embeddings"] = tables["embeddings"].join(out["symbols"].select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").select(*tables["embeddings"].columns)
     return out
 

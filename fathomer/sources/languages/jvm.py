@@ -15,7 +15,7 @@ _JAVA_TYPE = re.compile(r"\b(class|record|interface|enum|@interface)\s+([A-Za-z_
 _JAVA_METHOD = re.compile(r"(?P<head>(?:[\w.@$]+(?:<[^;{}()]*>)?(?:\[\])*\s+|<[^;{}()]*>\s*)*)(?P<name>[A-Za-z_$]\w*)\s*\(")
 _JAVA_FIELD = re.compile(
     r"(?:^|(?<=[;{}]))(?P<lead>\s*)(?P<head>(?:@\w+(?:\([^)]*\))?\s+|(?:public|private|protected|static|final|volatile|transient)\s+)*[\w.$]+(?:<[^;{}()=]*>)?(?:\[\])*)\s+"
-    r"(?P<names>[A-Za-z_$]\w*(?:\s*(?:=[^;{}]*(?:\{[^;]*\})?)?(?:,\s*[A-Za-z_$]\w*)*)?)\s*;"
+    r"(?P<names>[A-Za-z_$]\w*(?:\s*=[^;{}]*?(?:\{[^;]*\})?)?(?:\s*,\s*[A-Za-z_$]\w*(?:\s*=[^;,{}]*)?)*)\s*;"
 )
 
 

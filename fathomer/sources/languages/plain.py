@@ -45,7 +45,7 @@ def parse_markdown(source: str) -> Parsed:
                 fence = ""
         elif not fence and (m := _HEADING.match(line)) and m[2]:
             found.append((i, m[2].strip(), line.strip()))
-    for (i, name, line), nxt in zip(found, [*found[1:], (len(lines), "", "")], strict=True):
+    for (i, name, line), nxt in zip(found, [*found[1:], (len(lines), "", "")], strict=False):
         body = "\n".join(lines[i + 1 : nxt[0]]).strip()
         end = max(i + 1, nxt[0] if nxt[0] < len(lines) else len(lines) - (not lines[-1]))
         text = "\n".join(lines[i : nxt[0]])

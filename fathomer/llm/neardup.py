@@ -8,10 +8,11 @@
 2.  The signature is cut into ``BANDS`` bands of ``ROWS`` values.  Two sets of
     similarity 0.8 agree in no band with a probability of 3e-6.  Classes that
     agree in a band share a bucket.
-3.  Every class of a bucket is paired with the bucket's first class; in small
-    buckets all are paired.  Pairs whose signatures are too far apart for the
-    similarity (by six standard deviations) are dropped, and the others are
-    confirmed on the full sets.
+3.  Every class of a bucket is paired with one class drawn from the bucket; in
+    small buckets all are paired.  Pairs whose signatures are too far apart for
+    the similarity (by six standard deviations) are dropped.  The full sets
+    confirm first the most alike pair of each class, and then the pairs whose
+    ends are still in different components.
 4.  Links make components.  In a large bucket that still has several, members
     outside its main component are compared with all its members, block by
     block, by their signatures; what passes is confirmed like the others.  So
@@ -40,7 +41,7 @@ PERMUTATIONS = BANDS * ROWS // 2
 #: Buckets of up to so many classes have all pairs compared.
 SMALL = 8
 #: Members of a large bucket compared at a time.
-BLOCK = 512
+BLOCK = 1024
 
 _FACTORS, _ADDENDS = randoms(PERMUTATIONS, 101) | np.uint64(1), randoms(PERMUTATIONS, 202)
 _BAND_SEEDS = randoms(BANDS, 303)
@@ -132,21 +133,27 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _alike(pairs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose sketches agree enough; ``marks`` has (class, sketch)."""
+    """``a, b, agree``: the pairs whose sketches agree enough; ``marks`` has (class, sketch)."""
     left = marks.select(F.col("class").alias("a"), F.col("sketch").alias("sketch_a"))
     right = marks.select(F.col("class").alias("b"), F.col("sketch").alias("sketch_b"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.where(_agreement("sketch_a", "sketch_b") >= least).select("a", "b")
+    joined = pairs.join(left, "a").join(right, "b").withColumn("agree", _agreement("sketch_a", "sketch_b"))
+    return joined.where(F.col("agree") >= least).select("a", "b", "agree")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough: 100 * shared >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``class, members``: the full sets of the classes that may have links.  Texts are shuffled here, once."""
 
     @F.pandas_udf("binary")
     def as_set(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(text, size).tobytes() for text in texts])
 
+    texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(wanted, "class", "left_semi").select("class", as_set("text").alias("members"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough: 100 * shared >= percent * union."""
+
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
@@ -158,8 +165,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str,
             out.append(100 * shared >= percent * (len(x) + len(y) - shared))
         return pd.Series(out, dtype=bool)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).cast("string").alias("text"))
-    sets = written(texts.join(wanted, "class", "left_semi").select("class", as_set("text").alias("members")), "shingle-sets")
     left = sets.select(F.col("class").alias("a"), F.col("members").alias("members_a"))
     right = sets.select(F.col("class").alias("b"), F.col("members").alias("members_b"))
     return pairs.join(left, "a").join(right, "b").where(similar("members_a", "members_b")).select("a", "b").distinct()
@@ -186,34 +191,70 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, marks: DataFrame, least: int) -> DataFrame:
-    """Pairs of large buckets that are in different components and have like sketches."""
-    members = buckets.where(F.col("n") > SMALL).select("bucket", "class").join(labels, "class", "left")
-    members = written(members.select("bucket", "class", F.coalesce("component", "class").alias("component")), "bucket-members")
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (class, component) after further links; only components that links name are worked on."""
+    ends = _apart(links, labels).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+    joined = components(written(ends, "component-links")).select(F.col("class").alias("component"), F.col("component").alias("lower"))
+    out = labels.join(joined, "component", "left")
+    return written(out.select("class", F.coalesce("lower", "component").alias("component")), "labels")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of different components, with these as ``of_a`` and ``of_b``."""
+    left = labels.select(F.col("class").alias("a"), F.col("component").alias("of_a"))
+    right = labels.select(F.col("class").alias("b"), F.col("component").alias("of_b"))
+    return pairs.join(left, "a").join(right, "b").where("of_a <> of_b")
+
+
+def _rest(buckets: DataFrame, labels: DataFrame, details: DataFrame, least: int, percent: int) -> DataFrame:
+    """The links (a, b) between components that large buckets still have.
+
+    A bucket's members outside its main component are compared with all its
+    members, a block of each at a time, on sketches and then on full sets.  A
+    pair that shares several buckets is compared in the one of the first band.
+    ``details`` has (class, sketch, bands, members).
+    """
+    members = written(buckets.where(F.col("n") > SMALL).select("bucket", "class").join(labels, "class"), "bucket-members")
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("m"))
     mains = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("c"))
     mains = written(mains.where("c > 1").select("bucket", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket-mains")
-    placed = members.join(mains, "bucket").join(marks, "class")
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    side = lambda loose, x, y: (F.lit(loose).alias("loose"), "bucket", x, y, "class", "component", "sketch")
-    loose = placed.where("component <> main").select(*placed.columns, F.explode(every).alias("y"))
-    loose = loose.select(*side(True, block.alias("x"), "y"))
-    rest = placed.select(*placed.columns, F.explode(every).alias("x")).select(*side(False, "x", block.alias("y")))
-
-    def compared(group: pd.DataFrame) -> pd.DataFrame:
+    placed = members.join(mains, "bucket").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    loose = placed.where("component <> main").select(F.lit(True).alias("loose"), "bucket", F.col("block").alias("x"), every.alias("y"), "class", "component")
+    rest = placed.select(F.lit(False).alias("loose"), "bucket", every.alias("x"), F.col("block").alias("y"), "class", "component")
+
+    def compared(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         one, two = group[group["loose"]], group[~group["loose"]]
-        if one.empty or two.empty:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        other = np.frombuffer(b"".join(two["sketch"]), np.uint8).reshape(len(two), -1)
-        classes, parts = two["class"].to_numpy(), two["component"].to_numpy()
-        found = []
-        for key, part, mark in zip(one["class"], one["component"], one["sketch"], strict=True):
-            agree = (other == np.frombuffer(mark, np.uint8)).sum(axis=1)
-            found += [(min(key, c), max(key, c)) for c in classes[(agree >= least) & (parts != part)].tolist()]
+        found = _links_within(int(key[0]), one, two, least, percent) if len(one) and len(two) else []
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return loose.union(rest).groupBy("bucket", "x", "y").applyInPandas(compared, "a long, b long").distinct()
+    both = loose.union(rest).join(details, "class")
+    return both.groupBy("bucket", "x", "y").applyInPandas(compared, "a long, b long").distinct()
+
+
+def _links_within(bucket: int, one: pd.DataFrame, two: pd.DataFrame, least: int, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of ``one`` and of ``two`` that are in different components."""
+    marks = np.frombuffer(b"".join(two["sketch"]), np.uint8).reshape(len(two), -1)
+    bands = np.stack(two["bands"].to_numpy())
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    classes, parts = two["class"].to_numpy(), two["component"].to_numpy()
+    sets = [np.frombuffer(m, np.uint64) for m in two["members"]]
+    sizes = np.array([len(m) for m in sets])
+    found = []
+    for key, part, mark, own, members in zip(one["class"], one["component"], one["sketch"], one["bands"], one["members"], strict=True):
+        mine = np.frombuffer(members, np.uint64)
+        near = (parts != part) & (100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine)))
+        near &= ~(bands[:, :band] == np.asarray(own)[:band]).any(axis=1)
+        near = np.flatnonzero(near)
+        near = near[(marks[near] == np.frombuffer(mark, np.uint8)).sum(axis=1) >= least]
+        if not len(near):
+            continue
+        theirs = np.concatenate([sets[i] for i in near])
+        place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        shared = np.add.reduceat((mine[place] == theirs).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
+        alike = 100 * shared >= percent * (sizes[near] + len(mine) - shared)
+        found += [(min(key, c), max(key, c)) for c in classes[near[alike]].tolist()]
+    return found
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -237,23 +278,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     marks = heads.select(F.col("doc_id").alias("class"), "sketch")
 
     banded = heads.select(F.col("doc_id").alias("class"), F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("class").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # The first of a bucket is drawn by a hash, so that the buckets of a large group have different firsts.
+    drawn = F.struct(F.xxhash64("bucket", "class"), "class")
+    shared = banded.groupBy("bucket").agg(F.min(drawn)["class"].alias("first"), F.count("*").alias("n")).where("n > 1")
     buckets = written(banded.join(written(shared, "shared-buckets"), "bucket"), "buckets")
-    star = buckets.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"))
+    star = buckets.where("class <> first").select(F.least("first", "class").alias("a"), F.greatest("first", "class").alias("b"))
     few = buckets.where(F.col("n").between(3, SMALL)).groupBy("bucket").agg(F.sort_array(F.collect_set("class")).alias("c"))
     within = few.select(F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-
-    fixed = {"id_col": id_col, "text_col": text_col, "size": size, "percent": percent}
     pairs = written(_alike(star.union(within).distinct(), marks, least), "pairs")
-    links = written(_confirmed(pairs, docs, **fixed), "links")
-    labels = components(links)
-    rest = written(_rest(buckets, labels, marks, least), "pairs")
+
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(buckets.where(F.col("n") > SMALL).select("class")).distinct()
+    sets = written(_sets(docs, wanted, id_col=id_col, text_col=text_col, size=size), "shingle-sets")
+    labels = classes.select("class", F.col("class").alias("component")).distinct()
+    # First the most alike partner of each class; then only what is still apart.
+    best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")), "pairs")
+    labels = _merged(labels, _confirmed(best, sets, percent))
+    apart = _apart(pairs.join(best, ["a", "b"], "left_anti"), labels)
+    labels = _merged(labels, _confirmed(written(apart, "pairs"), sets, percent))
+    details = heads.select(F.col("doc_id").alias("class"), "sketch", "bands").join(sets, "class")
+    rest = written(_rest(buckets, labels, details, least, percent), "links")
     if not rest.isEmpty():
-        links = written(links.union(_confirmed(rest, docs, **fixed)), "links")
-        labels = components(links)
+        labels = _merged(labels, rest)
 
     # Every row's class, the class's component, and for a repeated id the least of its rows'.
-    of_class = classes.join(labels, "class", "left").select("h1", "h2", F.coalesce("component", "class").alias("component"))
+    of_class = classes.join(labels, "class").select("h1", "h2", "component")
     of_class = written(of_class, "class-components")
     out = found.join(of_class, ["h1", "h2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

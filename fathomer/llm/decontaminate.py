@@ -88,12 +88,16 @@ class _Class:
 
 
 class Index:
-    """The fingerprints and shingles of a block of items."""
+    """The fingerprints and shingles of a block of items.
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    ``spread`` tells how many items of the whole benchmark hold a shingle;
+    without it the block is the whole benchmark.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], spread: dict[int, int] | None = None) -> None:
         split = [(k, h) for k, text in items if len(h := word_hashes(text))]
         found = [(k, len(h), shingles(h, min(SHINGLE, len(h)))) for k, h in split]
-        spread = Counter(x for _, _, s in found for x in set(s.tolist()))
+        spread = Counter(x for _, _, s in found for x in set(s.tolist())) if spread is None else spread
         #: A shingle that many items share says less about each.
         self.weights = {x: 1.0 / n for x, n in spread.items()}
         self.classes: dict[int, _Class] = {}
@@ -174,10 +178,11 @@ class Index:
                 out[c.words, i] = (sim, start)
 
     def _similarity(self, a: Counter, b: Counter) -> float:
-        """Weighted Jaccard of two multisets; shingles of no item weigh 1."""
+        """Weighted Jaccard of a window and an item; shingles that the item lacks weigh 1."""
         shared = total = 0.0
         for x in a.keys() | b.keys():
-            w, m, n = self.weights.get(x, 1.0), a.get(x, 0), b.get(x, 0)
+            m, n = a.get(x, 0), b.get(x, 0)
+            w = self.weights[x] if n else 1.0
             shared += w * min(m, n)
             total += w * max(m, n)
         return shared / total
@@ -206,15 +211,33 @@ def find_matches(
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
     blocks = max(1, -(-items.count() // block))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    held = written(_shingles_of(items).groupBy("shingle").agg(F.count("*").alias("n")), "benchmark-shingles") if blocks > 1 else None
     found = None
     for number in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == number)
-        shared = docs.sparkSession.sparkContext.broadcast([(r["id"], r["text"]) for r in part.collect()])
+        # At most BLOCK items and their shingles reach the driver, and from there the workers.
+        counts = None if held is None else {r["shingle"] & _ALL: r["n"] for r in held.join(_shingles_of(part).select("shingle").distinct(), "shingle").collect()}
+        shared = docs.sparkSession.sparkContext.broadcast(([(r["id"], r["text"]) for r in part.collect()], counts))
         here = texts.mapInArrow(_matcher(shared), schema)
         found = here if found is None else found.union(here)
     return found
 
 
+_ALL = (1 << 64) - 1
+
+
+def _shingles_of(items: DataFrame) -> DataFrame:
+    """``shingle``: each item's different shingles, a row each."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for text in part.column(0):
+                h = word_hashes(text.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(h, min(SHINGLE, max(1, len(h))))).view(np.int64))], names=["shingle"])
+
+    return items.select("text").mapInArrow(batches, "shingle long")
+
+
 _indexes: dict[int, Index] = {}
 
 
@@ -223,7 +246,7 @@ def _matcher(shared):  # noqa: ANN001, ANN202
         key = shared.id if hasattr(shared, "id") else id(shared)
         if key not in _indexes:
             _indexes.clear()
-            _indexes[key] = Index(shared.value)
+            _indexes[key] = Index(*shared.value)
         index = _indexes[key]
         for part in parts:
             rows = [(doc.as_py(), item, round(sim, 6), at, n) for doc, text in zip(part.column(0), part.column(1), strict=True) for item, sim, at, n in index.matches(text.as_py())]

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomer.functions.text import let
 from fathomer.llm.work import written
 
 #: White space as the contracts of this package define it: [\x20\x09-\x0D].
@@ -116,7 +117,7 @@ def with_kept_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(docs[text_col], F.lit(""))
     joined = docs.join(bitmaps, (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.flatten(F.transform("__keep", lambda r: F.slice(lines, r["start"] + 1, r["length"])))
+    kept = let(lines, lambda x: F.flatten(F.transform("__keep", lambda r: F.slice(x, r["start"] + 1, r["length"]))))
     n_lines = F.size(lines).cast("long")
     n_kept = F.aggregate("__keep", F.lit(0), lambda n, r: n + r["length"]).cast("long")
     whole = F.array(F.struct(F.lit(0).alias("start"), n_lines.cast("int").alias("length")))

@@ -87,7 +87,8 @@ def cuts(length: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[
     out = [(1, capacity)] * (length // capacity)
     rest = length % capacity
     while rest:
-        k = -(-capacity // rest)  # the smallest k with capacity / k <= rest
+        k = -(-capacity // rest)
+        k -= k > 1 and capacity // (k - 1) <= rest  # the smallest k with capacity // k <= rest
         if k >= classes:
             out.append((classes, rest))
             break

@@ -240,7 +240,8 @@ def keep_told(
     """
     host = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     model = fit(docs, id_col=id_col, text_col=text_col, declared_col=declared_col, languages=languages, sample=sample)
-    narrow = docs.select(F.col(text_col).alias("text"), F.col(declared_col).alias("declared"), host.alias("host"))
-    priors = written(host_priors(_with_evidence(narrow, model, "text", F.col("declared"), F.col("host")), languages), "host-priors")
-    fused = _fused(_with_evidence(docs, model, text_col, F.col(declared_col), host), priors, languages, least)
-    return fused.where("kept").select(*docs.columns)
+    # The row travels as one column, so that its names meet no others.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.col(declared_col).alias("declared"), host.alias("host"))
+    scored = lambda df: _with_evidence(df, model, "text", F.col("declared"), F.col("host"))
+    priors = written(host_priors(scored(rows.drop("row")), languages), "host-priors")
+    return _fused(scored(rows), priors, languages, least).where("kept").select("row.*")

@@ -330,13 +330,14 @@ def search(tokens_of: DataFrame, query: str, *, limit: int | None = 10, columns:
     arrays = {c: F.col(f"tok_{c}") for c in columns}
     counted = tokens_of.withColumns({f"tf{i}": _count(arrays, p) for i, p in enumerate(known)})
     counts = {p: F.col(f"tf{i}") for i, p in enumerate(known)}
-    figures = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("average"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(known))])
-    figure = lambda name: figures.select(name).scalar()
+    tfs = [f"tf{i}" for i in range(len(known))]
+    # The tokens are passed over once; what is written has a few numbers a row.
+    narrow = written(counted.select("id", "dl", *tfs, _matches(node, counts, arrays).alias("hit")), "term-counts")
+    figures = narrow.agg(F.count("*").alias("n"), F.avg("dl").alias("average"), *[F.count_if(F.col(tf) > 0).alias(tf) for tf in tfs]).first()
     score = F.lit(0.0)
-    for i in range(len(known)):
-        score = score + bm25(F.col(f"tf{i}"), figure(f"df{i}"), figure("n"), F.col("dl"), figure("average"))
-    hits = counted.where(_matches(node, counts, arrays)).select("id", score.alias("score"))
-    return ranked(hits, limit)
+    for tf in tfs:
+        score = score + bm25(F.col(tf), F.lit(figures[tf]), F.lit(figures["n"]), F.col("dl"), F.lit(figures["average"]))
+    return ranked(narrow.where("hit").select("id", score.alias("score")), limit)
 
 
 def _result_schema(rows: DataFrame):  # noqa: ANN202

@@ -216,3 +216,19 @@ def test_hashing_embedder_is_steady_and_normal():
     assert isinstance(E.detect({}), E.HashingEmbedder) and isinstance(E.detect({"FATHOMER_EMBED_BACKEND": "none"}), E.ZeroEmbedder)
     with pytest.raises(ValueError):
         E.detect({"FATHOMER_EMBED_BACKEND": "zzz"})
+
+
+def test_synthetic_tree_and_evaluation(spark, store):
+    from fathomer.plans.evaluation import evaluate, latencies
+    from fathomer.plans.ingest import index_files
+    from fathomer.sources.synthetic import go_files
+
+    seen = files.with_hash(go_files(spark, 6))
+    assert [r.content_hash for r in seen.orderBy("path").collect()] == [r.content_hash for r in files.with_hash(go_files(spark, 6)).orderBy("path").collect()]
+    stats = index_files(store, seen)
+    assert stats.files_indexed == 6 and stats.symbols >= 6 * (2 + 4 + 3)
+    tools = Tools(spark, store)
+    out = evaluate(tools, ["Helper0_1", "nothing like it"], mode="keyword")
+    assert {(r["query"], r["name"]) for r in out.collect()} >= {("Helper0_1", "Helper0_1"), ("nothing like it", None)}
+    assert [r["p"] for r in latencies(out).orderBy("p").collect()] == [50.0, 95.0, 99.0]
+    assert names(tools.feature_traverse("Helper0_1", 2))[:3] == ["Helper0_1", "Helper0_2", "Helper0_3"]

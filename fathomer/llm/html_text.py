@@ -51,10 +51,10 @@ _ASIDE = frozenset(
 )
 _MAIN = frozenset(("article", "main"))
 _HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|sidebar|footer|"
-    r"comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|widget|toolbar|login|"
-    r"search|skip|teaser|outbrain|taboola)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|wrap|wrapper|container|banner|space|block)|advert\w*|adsense|sponsor\w*|promo\w*|banner|"
+    r"(?:top|side|main|sub|site)?(?:nav|navbar|navigation|menu)\w*|sidebar\w*|footer|comments?|commentlist|disqus|repl(?:y|ies)|respond|"
+    r"cookie\w*|consent|gdpr|notices?|notification\w*|alert\w*|popup\w*|modal|overlay|newsletter\w*|subscri\w*|signup|share\w*|sharing|social\w*|"
+    r"related|recommend\w*|breadcrumbs?|pagination|pager|widget\w*|toolbar|login|search|skip|teaser\w*|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
 _HEAD_HINT = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
@@ -134,7 +134,7 @@ def blocks_of(page: str) -> list[Block]:
         block = Block(top.where, top.aside, top.heading)
 
     def text(raw: str) -> None:
-        if raw:
+        if raw and (block.aside or not stack[-1].aside):  # inside a block, an element may stand aside alone
             block.parts.append(raw)
             if stack[-1].link:
                 block.linked += len(raw.strip())

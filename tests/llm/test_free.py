@@ -253,6 +253,8 @@ PROSE = "The quick fox of the house was in it and that is what they had to say a
         (f"<div><a href=x>{PROSE * 3}</a></div><div>{PROSE * 3}</div><p>Short.</p><div>{PROSE * 3}</div>", " ".join([(PROSE * 3).strip(), "Short.", (PROSE * 3).strip()])),
         ("<div>buy now cheap</div>", ""),
         ("<article>open <div class=cookie-notice>c</div> end", "open end"),
+        ("<article><p>One <span class='share-bar'>Share</span> two<button>Go</button>.</p><p class=notice>N</p><div class='reader-comments'><p>Hi</p></div></article>", "One two."),
+        ("<div class='add-on'><article class=post>A</article></div>", "A"),
     ],
 )
 def test_main_text(page, text):

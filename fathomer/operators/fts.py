@@ -16,8 +16,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomer.functions.text import let, tokens
 from fathomer.workspace import written
@@ -320,7 +321,7 @@ def search(tokens_of: DataFrame, query: str, *, limit: int | None = 10, columns:
     ``tokens_of`` comes from ``tokenized``.  The score is BM25 over all
     phrases, larger is better.  A query without terms finds nothing; a
     malformed one raises ``QueryError``.  A limit of 0 or less is 10; None
-    returns all matches.
+    returns all matches, without order and rank.
     """
     limit = 10 if limit is not None and limit <= 0 else limit
     node = parse(query, columns)
@@ -340,18 +341,15 @@ def search(tokens_of: DataFrame, query: str, *, limit: int | None = 10, columns:
     return ranked(narrow.where("hit").select("id", score.alias("score")), limit)
 
 
-def _result_schema(rows: DataFrame):  # noqa: ANN202
-    from pyspark.sql import types as T
-
+def _result_schema(rows: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType())])
 
 
 def ranked(hits: DataFrame, limit: int | None) -> DataFrame:
-    """The first ``limit`` rows by score, then id, with their 1-based rank."""
-    from pyspark.sql import Window
-
-    best = hits.orderBy(F.desc("score"), "id")
-    best = best.limit(limit) if limit is not None else best
+    """The first ``limit`` rows by score, then id, with their 1-based rank; all rows as they are for None."""
+    if limit is None:
+        return hits
+    best = hits.orderBy(F.desc("score"), "id").limit(limit)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
 
 

@@ -430,6 +430,57 @@ def html_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return parse_files(files)["symbols"].select("file", "name", "kind")
 
 
+def route_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths that a parser takes, by extension or name."""
+    from fathomer.sources.parsing import routed
+
+    other = F.when(F.col("doc_id") % 9 == 0, F.concat("path", F.lit(".py"))).when(F.col("doc_id") % 9 == 1, F.lit("x/Makefile")).otherwise(F.col("path"))
+    return routed(paths(spark, sf).select("doc_id", other.alias("path")))
+
+
+def ignore_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths that an ignore file and the folder rules leave."""
+    from fathomer.sources.files import eligible, ignore_patterns, ignored
+
+    patterns = ignore_patterns("vendor/\n*.pb.go\n!d5.pb.go\n/pkg/d1*_test.go\n")
+    found = paths(spark, sf).withColumn("path", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit(".git/"), "path")).otherwise(F.col("path")))
+    return found.where(eligible(F.col("path")) & ~ignored(F.col("path"), patterns))
+
+
+def vector_codec(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors through the blob form and back."""
+    from fathomer.functions.vector import decode_floats, encode_floats
+
+    there = vectors(spark, sf).select("symbol_id", encode_floats("vector").alias("blob"))
+    back = there.select("symbol_id", F.octet_length("blob").alias("bytes"), decode_floats("blob").alias("v"))
+    return back.select("symbol_id", "bytes", F.round(F.col("v")[0].cast("double"), 6).alias("head"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """The content hash of each document's bytes."""
+    from fathomer.functions.hashing import content_hash
+
+    return _t(spark, sf, "documents").select("doc_id", content_hash(F.col("text").cast("binary")).alias("content_hash"))
+
+
+def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents through the default embedder."""
+    from fathomer.sources.embedders import HashingEmbedder, embed_rows
+
+    rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("symbol_id"), "text")
+    return embed_rows(rows, HashingEmbedder(32)).select("symbol_id", "model", "dims")
+
+
+def go_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols and calls of a synthetic tree with a file for each benchmark item."""
+    from fathomer.sources.parsing import parse_files
+    from fathomer.sources.synthetic import go_files
+
+    found = parse_files(go_files(spark, _t(spark, sf, "benchmark").count()))
+    calls_of = found["call_edges"].groupBy(F.col("caller_file").alias("file"), F.col("caller_symbol").alias("name")).agg(F.count("*").alias("calls"))
+    return found["symbols"].select("id", "file", "name", "kind", "start_line", "end_line", "receiver").join(calls_of, ["file", "name"], "left")
+
+
 QUERIES = {
     name: globals()[name]
     for name in """
@@ -440,5 +491,6 @@ QUERIES = {
     blast_radius connection_counts traverse_d1 traverse_d3 call_lists missing_embeddings incremental_skip
     reconcile_stale upsert_rows delete_cascade delete_keep_edges replace_by_file edges_dedup_pk embed_text doc_symbol
     percentiles_nearest_rank latency_rollup debounce_sessions index_counters html_symbols
+    route_files ignore_filter vector_codec content_hashes embed_documents go_symbols
     """.split()
 }

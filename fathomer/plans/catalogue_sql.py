@@ -176,4 +176,11 @@ ORACLE_SQL = {
         SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, arg_max(event_id, (ts, event_id)) AS last_event
         FROM bursts GROUP BY user_id, b""",
     "index_counters": f"WITH {_SYM} SELECT count(DISTINCT file) AS files, count(*) AS symbols, count(*) FILTER (kind = 'en') AS en FROM sym",
+    "route_files": rf"""SELECT doc_id, CASE WHEN doc_id % 9 = 1 THEN 'x/Makefile' ELSE path END AS path
+        FROM (SELECT doc_id, {_PATH} AS path FROM documents) WHERE doc_id % 9 <> 0""",
+    "ignore_filter": rf"""SELECT doc_id, path FROM (SELECT doc_id, {_PATH} AS path FROM documents)
+        WHERE doc_id % 10 <> 0 AND path NOT LIKE 'vendor/%' AND (path NOT LIKE '%.pb.go' OR path = 'api/d5.pb.go')
+          AND NOT regexp_matches(path, '^pkg/d1[^/]*_test\.go$')""",
+    "vector_codec": """SELECT vec_id AS symbol_id, (4 * len(embedding))::INTEGER AS bytes, round(embedding[1]::DOUBLE, 6) AS head,
+        round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings""",
 }

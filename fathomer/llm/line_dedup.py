@@ -85,6 +85,8 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .where(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    # Written, so that its size is known and a skewed side of the join can be split.
+    shared = written(shared, "shared-lines")
     dropped = lines.join(shared, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
     found = dropped.groupBy("doc_id", "text_hash").agg(
         F.first("n_lines").alias("n_lines"),

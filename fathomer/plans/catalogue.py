@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fathomer.functions import text as T
 from fathomer.functions import tiers
 from fathomer.operators import fts, graph, search, tables
+from fathomer.workspace import read_table
 
 _DOC = ("doc_comment",)
 _QUERY = "the that with"
@@ -20,7 +21,8 @@ _TEXT_QUERY = "How do I use the erthe reading of thing-able files in net.http an
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return read_table(spark, path) if name in ("documents", "pages") else spark.read.parquet(path)
 
 
 _PATH = """CASE doc_id % 6 WHEN 0 THEN 'src/d' || doc_id || '.go' WHEN 1 THEN 'docs/d' || doc_id || '.go'
@@ -38,7 +40,7 @@ def symbols(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("file"),
-        F.coalesce(F.get(T.tokens(F.col("text"), folded=False), F.lit(0)), F.lit("")).alias("name"),
+        F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), T.TOKEN, 0).alias("name"),
         F.col("lang").alias("kind"),
         F.lit("").alias("signature"),
         F.col("text").alias("doc_comment"),

@@ -43,6 +43,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, dealt over all cores where its files make fewer partitions than there are cores.
+
+    A file of one row group is one task, however long its rows take.  Large
+    inputs have partitions enough and are read as they are.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    few = table._jdf.queryExecution().toRdd().getNumPartitions() < cores  # a scan alone: nothing runs
+    return table.repartition(cores) if few else table
+
+
 def hadoop_path(spark: SparkSession, path: str):  # noqa: ANN201
     """(file system, path) of a path in any store that Spark reads."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

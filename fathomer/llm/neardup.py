@@ -62,12 +62,11 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 def signature(members: np.ndarray) -> np.ndarray:
     """Minimum and maximum of a set under each permutation, side by side."""
     low, high = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64), np.zeros(PERMUTATIONS, np.uint64)
-    for at in range(0, len(members), 1 << 14):
-        part = members[at : at + (1 << 14)]
-        for k in range(PERMUTATIONS):
-            # Odd factors make a permutation of the 64-bit numbers; the sets' hashes are random already.
-            h = part * _FACTORS[k] + _ADDENDS[k]
-            low[k], high[k] = min(low[k], h.min()), max(high[k], h.max())
+    for at in range(0, len(members), 1 << 10):
+        # Odd factors make permutations of the 64-bit numbers; the sets' hashes are random already.
+        hashed = members[at : at + (1 << 10)] * _FACTORS[:, None] + _ADDENDS[:, None]
+        np.minimum(low, hashed.min(axis=1), out=low)
+        np.maximum(high, hashed.max(axis=1), out=high)
     return np.stack([low, high], axis=1).ravel()
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomer.llm import decontaminate, html_text, langid, licenses, line_dedup, neardup, packing, quality, secrets, warc
-from fathomer.workspace import new_path
+from fathomer.workspace import new_path, read_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,8 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
-    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
+    # Read as it is: a task that runs again must see its rows in the same order.
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,7 +235,7 @@ def _links_within(bucket: int, one: pd.DataFrame, two: pd.DataFrame, least: int,
     """Links between rows of ``one`` and of ``two`` that are in different components."""
     marks = np.frombuffer(b"".join(two["sketch"]), np.uint8).reshape(len(two), -1)
     bands = np.stack(two["bands"].to_numpy())
-    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    band = int(np.argwhere(bands == bucket)[0, 1])
     classes, parts = two["class"].to_numpy(), two["component"].to_numpy()
     sets = [np.frombuffer(m, np.uint64) for m in two["members"]]
     sizes = np.array([len(m) for m in sets])
@@ -265,9 +265,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``component_id`` is the least document id that links reach, and the
     document of that id is ``kept``.
 
-    Rows that repeat a document id count as one document, which links with
-    what any of them links with; rows without an id are linked with none and
-    are kept, with a null component.  Empty tables give empty ones.
+    Each row is placed by its own text.  A class of equal sets goes by its
+    least id, so of rows that repeat an id with other texts those that are the
+    first of their classes count as linked.  Rows without an id are linked
+    with none and are kept, with a null component.  Empty tables give empty
+    ones.
     """
     least = least_agreement(percent / 100)
     found = written(sketches(docs, id_col=id_col, text_col=text_col, size=size), "sketches")
@@ -309,7 +311,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates, with the columns of ``docs``."""
+    """One document of each group of near-duplicates, with the columns of ``docs``.
+
+    All rows of an id stay if one of them is kept.
+    """
     judged = near_duplicates(docs, id_col=id_col, text_col=text_col, size=size, percent=percent)
-    gone = written(judged.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
+    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    gone = written(gone, "near-duplicates")
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

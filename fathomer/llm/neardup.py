@@ -215,12 +215,15 @@ def _rest(buckets: DataFrame, labels: DataFrame, details: DataFrame, least: int,
     """
     members = written(buckets.where(F.col("n") > SMALL).select("bucket", "class").join(labels, "class"), "bucket-members")
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("m"))
-    mains = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("c"))
-    mains = written(mains.where("c > 1").select("bucket", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket-mains")
-    placed = members.join(mains, "bucket").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    loose = placed.where("component <> main").select(F.lit(True).alias("loose"), "bucket", F.col("block").alias("x"), every.alias("y"), "class", "component")
-    rest = placed.select(F.lit(False).alias("loose"), "bucket", every.alias("x"), F.col("block").alias("y"), "class", "component")
+    mains = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("n"), F.count("*").alias("c"))
+    in_blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    mains = mains.where("c > 1").select("bucket", "main", in_blocks(F.col("n") - F.col("most")).alias("xs"), in_blocks(F.col("n")).alias("ys"))
+    placed = members.join(written(mains, "bucket-mains"), "bucket")
+    block = lambda count: F.pmod(F.xxhash64("class"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    # Members are repeated for each block of loose ones only, so a bucket with few of these stays small.
+    loose = placed.where("component <> main").select(F.lit(True).alias("loose"), "bucket", block("xs").alias("x"), every("ys").alias("y"), "class", "component")
+    rest = placed.select(F.lit(False).alias("loose"), "bucket", every("xs").alias("x"), block("ys").alias("y"), "class", "component")
 
     def compared(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         one, two = group[group["loose"]], group[~group["loose"]]

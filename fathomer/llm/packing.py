@@ -58,18 +58,24 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of, added = _byte_of(), {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
-        self._slow = Tokenizer.from_file(path)
+        self._path, self._library = path, None
         self._fast = tiktoken.Encoding("vocabulary", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=added) if set(added) == {_SPECIAL} else None
 
+    def _slow(self, text: str) -> list[int]:
+        if self._library is None:  # few workers meet such a text, and the library takes much memory
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return self._library.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> np.ndarray:
         if self._fast is None or _LONG_RUN.search(text):
-            return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(self._slow(text), np.uint32)
         if _SPECIAL in text:
             return np.array(self._fast.encode(text, allowed_special="all"), np.uint32)
         return self._fast.encode_to_numpy(text, disallowed_special=()) if hasattr(self._fast, "encode_to_numpy") else np.array(self._fast.encode_ordinary(text), np.uint32)

@@ -25,11 +25,12 @@ Buckets, links and components stay in tables; nothing of them reaches the driver
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +43,8 @@ PERMUTATIONS = BANDS * ROWS // 2
 SMALL = 8
 #: Members of a large bucket compared at a time.
 BLOCK = 1024
+#: Rows sent to a Python worker at a time.
+BATCH = 1000
 
 _FACTORS, _ADDENDS = randoms(PERMUTATIONS, 101) | np.uint64(1), randoms(PERMUTATIONS, 202)
 _BAND_SEEDS = randoms(BANDS, 303)
@@ -259,6 +262,18 @@ def _links_within(bucket: int, one: pd.DataFrame, two: pd.DataFrame, least: int,
     return found
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python workers get rows that hold whole sets ``BATCH`` at a time, so that these stay small in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
@@ -274,6 +289,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with none and are kept, with a null component.  Empty tables give empty
     ones.
     """
+    with _small_batches(docs.sparkSession):  # all that runs Python is written in there
+        return _near_duplicates(docs, id_col, text_col, size, percent)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     least = least_agreement(percent / 100)
     found = written(sketches(docs, id_col=id_col, text_col=text_col, size=size), "sketches")
     worded = found.where("n_shingles > 0 AND doc_id IS NOT NULL")

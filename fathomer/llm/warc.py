@@ -5,8 +5,9 @@ line breaks as line separator, writes archives that other tools can read;
 nothing is shuffled, and the commit protocol drops what lost tasks wrote.
 
 Reading.  The text reader splits files at the magic ``WARC/1.`` wherever it
-stands, also inside payloads, so every piece between two magics is only a
-candidate.  Tasks emit, for each candidate, the offset of the record that must
+begins a line, also inside payloads, so every piece between two magics is only a
+candidate.  No line of a header begins so, and so no header is cut, whatever
+its values hold.  Tasks emit, for each candidate, the offset of the record that must
 follow it by its Content-Length.  The chain of offsets that begins at a file's
 start is followed by pointer jumping, and only candidates on it are records:
 
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from fathomer.workspace import written
 
 _MAGIC = b"WARC/1."
+#: Where files are split.
+_CUT = b"\n" + _MAGIC
 _END = "\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -84,9 +87,17 @@ _CANDIDATES = (
 )
 
 
+def _gap(chunk: bytes, start: int, stop: int) -> int:
+    """Where an empty line ends a header; its last byte may be the first of the cut behind the chunk."""
+    end = chunk.find(b"\r\n\r\n", start, stop)
+    if end < 0 and chunk.endswith(b"\r\n\r") and start <= len(chunk) - 3 and len(chunk) < stop:
+        end = len(chunk) - 3
+    return end
+
+
 def _header(chunk: bytes) -> tuple[dict[str, str], int] | None:
     """The named fields of a chunk (what follows the magic) and where its block begins."""
-    end = chunk.find(b"\r\n\r\n")
+    end = _gap(chunk, 0, len(chunk) + 1)
     if end < 0 or chunk[1:3] != b"\r\n":
         return None
     fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(chunk[3:end])}
@@ -111,29 +122,35 @@ class _Block:
     def __init__(self, file: str, start: int) -> None:
         self.file, self.start, self.at = file, start, 0
         self.rows: list[list] = []
-        self.waiting: list[tuple[list, list[bytes], int]] = []
+        self.waiting: list[tuple[list, list[bytes], int, int]] = []
 
     def add(self, chunk: bytes) -> None:
-        """A piece between two magics; the magic stands before it."""
+        """A piece between two cuts; the magic stands before it, but in a file's first piece."""
         magic = self.at - len(_MAGIC)
-        self.at += len(chunk) + len(_MAGIC)
+        first_of_file = self.start == 0 and self.at == 0
+        self.at += len(chunk) + len(_CUT)
         still = []
-        for row, parts, need in self.waiting:
-            parts += [_MAGIC, chunk]
-            got = need - len(_MAGIC) - len(chunk)
+        for row, parts, need, skip in self.waiting:
+            cut = _CUT[skip:]
+            parts += [cut, chunk]
+            got = need - len(cut) - len(chunk)
             if got > 0:
-                still.append((row, parts, got))
+                still.append((row, parts, got, 0))
             else:
-                row[-2] = _sha1([*parts[:-2], (_MAGIC + chunk)[: need]])
+                row[-2] = _sha1([*parts[:-2], (cut + chunk)[:need]])
         self.waiting = still
-        parsed = _header(chunk) if self.start > 0 or magic >= 0 else None
+        if first_of_file:
+            if not chunk.startswith(_MAGIC):
+                return
+            magic, chunk = 0, chunk[len(_MAGIC) :]
+        parsed = _header(chunk)
         if parsed is None:
             return
         fields, body = parsed
         length = int(fields["content-length"])
         skip = 0
         if fields.get("content-type", "").lower().startswith("application/http"):
-            head = chunk.find(b"\r\n\r\n", body, body + length)
+            head = _gap(chunk, body, body + length)
             skip = head + 4 - body if head >= 0 else length
         digest = fields.get("warc-payload-digest", "")
         size, first = length - skip, body + skip
@@ -142,7 +159,7 @@ class _Block:
         if len(here) == size:
             row[-2] = _sha1([here])
         else:
-            self.waiting.append((row, [here], size - len(here)))
+            self.waiting.append((row, [here], size - len(here), max(0, first - len(chunk))))
         self.rows.append(row)
 
     def close(self) -> list[tuple]:
@@ -169,8 +186,8 @@ class _Block:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What stands between magics, as (file, block, bytes), in the order of the file."""
-    text = spark.read.option("lineSep", _MAGIC.decode()).option("recursiveFileLookup", "true").text(path)
+    """What stands between cuts, as (file, block, bytes), in the order of the file."""
+    text = spark.read.option("lineSep", _CUT.decode()).option("recursiveFileLookup", "true").text(path)
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("chunk"))
 
 
@@ -249,7 +266,7 @@ def _completed(spark: SparkSession, path: str, bases: DataFrame, records: DataFr
     if open_.isEmpty():
         return records
     spans = open_.select("file", "offset", "body", (F.col("body") + F.col("payload_bytes")).alias("stop"))
-    magic = len(_MAGIC)
+    cut = len(_CUT)
 
     def placed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, at = None, 0
@@ -259,11 +276,11 @@ def _completed(spark: SparkSession, path: str, bases: DataFrame, records: DataFr
                 if key != (file, start):
                     key, at = (file, start), 0
                 rels.append(at)
-                at += len(chunk.as_py()) + magic
+                at += len(chunk.as_py()) + cut
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rels, pa.int64())], names=["file", "block", "chunk", "rel"])
 
     pieces = _pieces(spark, path).mapInArrow(placed, "file string, block long, chunk binary, rel long").join(bases, ["file", "block"])
-    pieces = pieces.select(F.col("file").alias("f"), (F.col("base") + F.col("rel")).alias("at"), F.concat(F.col("chunk"), F.lit(_MAGIC)).alias("bytes"))
+    pieces = pieces.select(F.col("file").alias("f"), (F.col("base") + F.col("rel")).alias("at"), F.concat(F.col("chunk"), F.lit(_CUT)).alias("bytes"))
     inside = pieces.join(spans, (F.col("f") == F.col("file")) & (F.col("at") < F.col("stop")) & (F.col("at") + F.octet_length("bytes") > F.col("body")))
 
     def joined(group):  # noqa: ANN001, ANN202

@@ -2,6 +2,7 @@
 
 A document is contaminated if one of its windows, as many words long as a
 benchmark item, has a weighted-shingle similarity of 0.8 or more with the item.
+Of a document that has fewer words than the item, the whole is the one window.
 
 *   Windows are fingerprinted by weighted SimHash over their word shingles.
     Those that hold too few benchmark shingles to reach the similarity with any
@@ -139,12 +140,12 @@ class Index:
             weight[maybe[hit]] = found[maybe[hit]] = self.known_weights[size][place[hit]]
             before = np.concatenate([[0.0], np.cumsum(found)])
             for c in self.classes.values():
-                if c.size == size and c.words <= len(hashes):
+                if c.size == size:
                     self._in_class(c, s, weight, before, out)
-        return [(c.items[i], sim, at, c.words) for (n, i), (sim, at) in sorted(out.items()) for c in (self.classes[n],)]
+        return [(c.items[i], sim, at, min(c.words, len(hashes))) for (n, i), (sim, at) in sorted(out.items()) for c in (self.classes[n],)]
 
     def _in_class(self, c: _Class, s: np.ndarray, weight: np.ndarray, before: np.ndarray, out: dict) -> None:
-        span = c.words - c.size + 1
+        span = min(c.words - c.size + 1, len(s))
         held = before[span:] - before[:-span]
         starts = np.flatnonzero(held >= SIMILARITY * min(c.totals) - 1e-9)
         if not len(starts):
@@ -157,7 +158,7 @@ class Index:
 
     def _in_run(self, c: _Class, s: np.ndarray, weight: np.ndarray, run: np.ndarray, out: dict) -> None:
         """Windows that begin at ``run``: fingerprints, candidates, similarities."""
-        span = c.words - c.size + 1
+        span = min(c.words - c.size + 1, len(s))
         lo, hi = run[0], run[-1] + span
         sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(_signs(s[lo:hi]) * weight[lo:hi, None], axis=0)])
         bits = sums[run - lo + span] > sums[run - lo]

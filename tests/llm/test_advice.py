@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import pytest
 
-from fathomer.llm import warc
+from fathomer.llm import decontaminate, warc
 from fathomer.workspace import new_path
 
 
@@ -31,3 +32,21 @@ def test_archives_hold_pages_whose_address_holds_the_magic(spark, split):
         assert got == [(f"<urn:page:{i}>", urls[i], digest(html[i])) for i in range(6)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+# -- decontamination ---------------------------------------------------------------------------
+
+
+def similarity(window: str, item: str) -> float:
+    a, b = (Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (window.split(), item.split()))
+    return (a & b).total() / (a | b).total()
+
+
+@pytest.mark.parametrize("missing", [1, 5, 9, 10])
+def test_documents_shorter_than_an_item_are_compared_whole(missing):
+    words = [f"w{i}" for i in range(50)]
+    index = decontaminate.Index([(7, " ".join(words))])
+    for part in (words[:-missing], words[missing:]):
+        want = similarity(" ".join(part), " ".join(words))
+        found = index.matches(" ".join(part))
+        assert found == ([(7, pytest.approx(want), 0, 50 - missing)] if want >= 0.8 else [])

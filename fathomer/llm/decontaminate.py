@@ -1,16 +1,17 @@
 """Benchmark decontamination: item-sized windows, SimHash, exact similarity.
 
 A document is contaminated if one of its windows, as many words long as a
-benchmark item, has a weighted-shingle similarity of 0.8 or more with the item.
+benchmark item, has a shingle similarity of 0.8 or more with the item, weighted
+(what many items share counts less) or plain.
 Of a document that has fewer words than the item, the whole is the one window.
 
-*   Windows are fingerprinted by weighted SimHash over their word shingles.
-    Those that hold too few benchmark shingles to reach the similarity with any
+*   Windows are fingerprinted by SimHash over their word shingles, plain and,
+    where items of their length share shingles with others, weighted too.  Those that hold too few benchmark shingles to reach the similarity with any
     item of their length (an exact bound) are passed over.
 *   A multi-index over the items' fingerprints finds the candidates: cut into
     ``RADIUS + 1`` blocks, two fingerprints within ``RADIUS`` bits agree in one
     block at least, so looking up every block misses none within the radius.
-*   Exact weighted Jaccard similarity of the shingle multisets decides.
+*   The exact Jaccard similarity of the shingle multisets decides.
 
 The benchmark's index goes to the workers in blocks of at most ``BLOCK`` items,
 one pass over the documents for each block, so what is broadcast is bounded at
@@ -19,6 +20,7 @@ any benchmark size.  Documents are taken whole, one by one; nothing is shuffled.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,7 +36,9 @@ from fathomer.workspace import written
 SHINGLE = 5
 SIMILARITY = 0.8
 BITS = 128
-#: At the similarity of 0.8 fingerprints differ in 19.4 bits on average, with a deviation of 4.1.
+#: Shingles enter fingerprints by the roots of their weights.  So the cosine of a window and an item is ``S / sqrt(A * B)``,
+#: of the shared weight and both totals, and where ``S / (A + B - S)`` is 0.8 it is 8 / 9 or more, whatever the weights are:
+#: fingerprints then differ in at most 19.4 bits on average, with a deviation of 4.1.
 RADIUS = 36
 #: Items broadcast at a time.
 BLOCK = 20_000
@@ -83,23 +87,27 @@ class _Class:
     items: list[int] = field(default_factory=list)
     counts: list[Counter] = field(default_factory=list)
     totals: list[float] = field(default_factory=list)
-    prints: np.ndarray | None = None
-    #: The multi-index: for each block and value, which items have it.
-    index: np.ndarray | None = None
+    #: Whether all shingles weigh 1, so that weighted and plain similarities are the same.
+    even: bool = True
+    #: Fingerprints and multi-index (for each block and value, which items have it), plain and, if not even, weighted.
+    prints: list[np.ndarray] = field(default_factory=list)
+    index: list[np.ndarray] = field(default_factory=list)
 
 
 class Index:
     """The fingerprints and shingles of a block of items.
 
-    ``spread`` tells how many items of the whole benchmark hold a shingle;
+    ``spread`` tells how many different texts of the whole benchmark hold a shingle;
     without it the block is the whole benchmark.
     """
 
     def __init__(self, items: list[tuple[int, str]], spread: dict[int, int] | None = None) -> None:
         split = [(k, h) for k, text in items if len(h := word_hashes(text))]
         found = [(k, len(h), shingles(h, min(SHINGLE, len(h)))) for k, h in split]
-        spread = Counter(x for _, _, s in found for x in set(s.tolist())) if spread is None else spread
-        #: A shingle that many items share says less about each.
+        if spread is None:
+            texts = {h.tobytes(): s for (_, h), (_, _, s) in zip(split, found, strict=True)}
+            spread = Counter(x for s in texts.values() for x in set(s.tolist()))
+        #: A shingle that many texts share says less about each.
         self.weights = {x: 1.0 / n for x, n in spread.items()}
         self.classes: dict[int, _Class] = {}
         for key, n, s in found:
@@ -109,12 +117,14 @@ class Index:
             c.counts.append(counts)
             c.totals.append(sum(self.weights[x] * m for x, m in counts.items()))
         for c in self.classes.values():
-            sums = np.stack([(_signs(np.fromiter(m, np.uint64, len(m))) * np.array([self.weights[x] * v for x, v in m.items()])[:, None]).sum(axis=0) for m in c.counts])
-            c.prints = _packed(sums)
-            values = _block_values((sums > 0).astype(int))
-            c.index = np.zeros((RADIUS + 1, _VALUES, len(c.items)), bool)
-            for i, row in enumerate(values):
-                c.index[np.arange(RADIUS + 1), row, i] = True
+            c.even = all(self.weights[x] == 1.0 for m in c.counts for x in m)
+            for weighted in (False,) if c.even else (False, True):
+                sums = np.stack([(_signs(np.fromiter(m, np.uint64, len(m))) * np.array([self.weights[x] ** 0.5 * v if weighted else v for x, v in m.items()])[:, None]).sum(axis=0) for m in c.counts])
+                c.prints.append(_packed(sums))
+                index = np.zeros((RADIUS + 1, _VALUES, len(c.items)), bool)
+                for i, row in enumerate(_block_values((sums > 0).astype(int))):
+                    index[np.arange(RADIUS + 1), row, i] = True
+                c.index.append(index)
         self.sizes = sorted({c.size for c in self.classes.values()})
         self.known = {k: np.array(sorted({x for c in self.classes.values() if c.size == k for m in c.counts for x in m}), np.uint64) for k in self.sizes}
         self.known_weights = {k: np.array([self.weights[x] for x in v.tolist()]) for k, v in self.known.items()}
@@ -139,15 +149,22 @@ class Index:
             found, weight = np.zeros(len(s)), np.ones(len(s))
             weight[maybe[hit]] = found[maybe[hit]] = self.known_weights[size][place[hit]]
             before = np.concatenate([[0.0], np.cumsum(found)])
+            number = np.zeros(len(s) + 1)
+            number[maybe[hit] + 1] = 1
+            number = np.cumsum(number)
             for c in self.classes.values():
                 if c.size == size:
-                    self._in_class(c, s, weight, before, out)
+                    self._in_class(c, s, weight, before, number, out)
         return [(c.items[i], sim, at, min(c.words, len(hashes))) for (n, i), (sim, at) in sorted(out.items()) for c in (self.classes[n],)]
 
-    def _in_class(self, c: _Class, s: np.ndarray, weight: np.ndarray, before: np.ndarray, out: dict) -> None:
-        span = min(c.words - c.size + 1, len(s))
-        held = before[span:] - before[:-span]
-        starts = np.flatnonzero(held >= SIMILARITY * min(c.totals) - 1e-9)
+    def _in_class(self, c: _Class, s: np.ndarray, weight: np.ndarray, before: np.ndarray, number: np.ndarray, out: dict) -> None:
+        whole = c.words - c.size + 1
+        span = min(whole, len(s))
+        # S / (A + B - S) of 0.8 or more asks for S of 0.8 / 1.8 * (A + B), and so for 0.8 * A.
+        enough = number[span:] - number[:-span] >= SIMILARITY / (1 + SIMILARITY) * (whole + span) - 1e-9
+        if not c.even:
+            enough |= before[span:] - before[:-span] >= SIMILARITY * min(c.totals) - 1e-9
+        starts = np.flatnonzero(enough)
         if not len(starts):
             return
         # The signs are summed along each stretch of neighbouring windows.
@@ -160,17 +177,20 @@ class Index:
         """Windows that begin at ``run``: fingerprints, candidates, similarities."""
         span = min(c.words - c.size + 1, len(s))
         lo, hi = run[0], run[-1] + span
-        sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(_signs(s[lo:hi]) * weight[lo:hi, None], axis=0)])
-        bits = sums[run - lo + span] > sums[run - lo]
-        values = _block_values(bits)
-        agree = np.zeros((len(run), len(c.items)), bool)
-        for block in range(RADIUS + 1):
-            agree |= c.index[block, values[:, block]]
-        window, item = np.nonzero(agree)
-        apart = np.unpackbits(np.packbits(bits, axis=1)[window] ^ c.prints[item], axis=1).sum(axis=1)
-        near = apart <= RADIUS
+        signs = _signs(s[lo:hi])
+        near = np.zeros((len(run), len(c.items)), bool)
+        for weighted, (prints, index) in enumerate(zip(c.prints, c.index, strict=True)):
+            sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(signs * np.sqrt(weight[lo:hi, None]) if weighted else signs, axis=0)])
+            bits = sums[run - lo + span] > sums[run - lo]
+            values = _block_values(bits)
+            agree = np.zeros((len(run), len(c.items)), bool)
+            for block in range(RADIUS + 1):
+                agree |= index[block, values[:, block]]
+            window, item = np.nonzero(agree)
+            apart = np.unpackbits(np.packbits(bits, axis=1)[window] ^ prints[item], axis=1).sum(axis=1)
+            near[window, item] |= apart <= RADIUS
         counts, last = Counter(), -1
-        for w, i in zip(window[near].tolist(), item[near].tolist(), strict=True):
+        for w, i in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
             start = int(run[w])
             if w != last:
                 counts, last = Counter(s[start : start + span].tolist()), w
@@ -179,14 +199,17 @@ class Index:
                 out[c.words, i] = (sim, start)
 
     def _similarity(self, a: Counter, b: Counter) -> float:
-        """Weighted Jaccard of a window and an item; shingles that the item lacks weigh 1."""
+        """Jaccard of a window and an item, weighted (shingles that the item lacks weigh 1) or plain, whichever is more."""
         shared = total = 0.0
+        same = both = 0
         for x in a.keys() | b.keys():
             m, n = a.get(x, 0), b.get(x, 0)
             w = self.weights[x] if n else 1.0
             shared += w * min(m, n)
             total += w * max(m, n)
-        return shared / total
+            same += min(m, n)
+            both += max(m, n)
+        return max(shared / total, same / both)
 
 
 def find_matches(
@@ -212,7 +235,7 @@ def find_matches(
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
     blocks = max(1, -(-items.count() // block))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = written(_shingles_of(items).groupBy("shingle").agg(F.count("*").alias("n")), "benchmark-shingles") if blocks > 1 else None
+    held = written(_shingles_of(items).distinct().groupBy("shingle").agg(F.count("*").alias("n")), "benchmark-shingles") if blocks > 1 else None
     found = None
     for number in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == number)
@@ -228,15 +251,17 @@ _ALL = (1 << 64) - 1
 
 
 def _shingles_of(items: DataFrame) -> DataFrame:
-    """``shingle``: each item's different shingles, a row each."""
+    """``shingle, words``: each item's different shingles, a row each, and a hash of all its words."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for text in part.column(0):
                 h = word_hashes(text.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(h, min(SHINGLE, max(1, len(h))))).view(np.int64))], names=["shingle"])
+                found = np.unique(shingles(h, min(SHINGLE, max(1, len(h))))).view(np.int64)
+                words = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([words] * len(found), pa.binary())], names=["shingle", "words"])
 
-    return items.select("text").mapInArrow(batches, "shingle long")
+    return items.select("text").mapInArrow(batches, "shingle long, words binary")
 
 
 _indexes: dict[int, Index] = {}

@@ -50,3 +50,37 @@ def test_documents_shorter_than_an_item_are_compared_whole(missing):
         want = similarity(" ".join(part), " ".join(words))
         found = index.matches(" ".join(part))
         assert found == ([(7, pytest.approx(want), 0, 50 - missing)] if want >= 0.8 else [])
+
+
+def edited(words: list[str], *places: int) -> str:
+    return " ".join("edit" + str(i) if i in places else w for i, w in enumerate(words))
+
+
+@pytest.mark.parametrize("listings", [1, 2, 10])
+@pytest.mark.parametrize(("size", "places"), [(50, (25,)), (104, (20, 80)), (204, (50, 120))])
+def test_edited_passages_of_repeated_items_are_found(listings, size, places):
+    words = [f"s{size}w{i}" for i in range(size)]
+    item, passage = " ".join(words), edited(words, *places)
+    index = decontaminate.Index([(k, item.upper() if k % 2 else item) for k in range(listings)])
+    assert index.matches(f"before it {passage} after it") == [(k, pytest.approx(similarity(passage, item)), 2, size) for k in range(listings)]
+
+
+def test_edited_passages_of_items_of_one_template_are_found(spark):
+    template = [f"t{i}" for i in range(60)]
+    items = [(k, " ".join([*template, *(f"own{k}x{i}" for i in range(8))])) for k in range(12)]
+    passage = edited(items[3][1].split(), 2, 66)
+    assert similarity(passage, items[3][1]) >= 0.8
+    for block in (20_000, 5):
+        found = decontaminate.find_matches(table(spark, [(1, passage)]), table(spark, items + items, "item_id long, text string").distinct(), block=block)
+        assert 3 in {r.item_id for r in found.collect()}
+
+
+def test_uneven_weights_keep_fingerprints_within_the_radius():
+    template = [f"t{i}" for i in range(100)]
+    items = [" ".join([*template, *(f"own{k}x{i}" for i in range(6))]) for k in range(10)]
+    own = decontaminate.Index(list(enumerate(items)))
+    lost = 0
+    for k in range(10):
+        for at in range(0, 90, 3):
+            lost += k not in {m[0] for m in own.matches(edited(items[k].split(), at))}
+    assert lost == 0

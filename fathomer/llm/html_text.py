@@ -5,7 +5,8 @@ block by its length, the share of its characters inside links and the share of
 stop words among its words; what stands in elements made for something else
 (menus, footers, forms, adverts, comments ...) is decided as such.  Short blocks
 and those in between stay undecided, and the second pass gives them the label
-of the nearest decided neighbours in their container.
+of the nearest decided neighbours in their container.  That a block stands in an
+article or main element decides nothing but such blocks.
 
 Pages are taken whole, one by one, by an Arrow batch function; nothing is
 shuffled.
@@ -201,21 +202,23 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _first_pass(block: Block) -> str:
-    """good, bad, near or short, by the block alone."""
+    """good, bad, near or short, by the block alone.
+
+    In an article or main element few stop words leave a block undecided: tables,
+    code and languages without a list have few, too.
+    """
     size = len(block.text)
     share = block.linked / size if size else 0.0
     if block.aside or share > MOSTLY_LINKED:
         return "bad"
-    if block.where:
-        return "short" if size < SHORT else "good"
-    if share > LINKED:
+    if share > LINKED and not (block.where and size < SHORT):
         return "bad"
     if size < SHORT:
         return "short"
     stops = block.density()
     if stops >= MANY_STOPS:
         return "good" if size >= LONG else "near"
-    return "near" if stops >= FEW_STOPS else "bad"
+    return "near" if stops >= FEW_STOPS or block.where else "bad"
 
 
 def _second_pass(blocks: list[Block]) -> None:
@@ -223,7 +226,7 @@ def _second_pass(blocks: list[Block]) -> None:
 
     Where the two sides differ at the same distance, a heading and a near block
     are good and a short block is bad; in an article or main element a block
-    without decided neighbours is good.
+    without a decided neighbour on either side is good.
     """
     decided = [b.label if b.label in ("good", "bad") else "" for b in blocks]
 
@@ -244,6 +247,8 @@ def _second_pass(blocks: list[Block]) -> None:
         (d1, one), (d2, two) = before[i], after[i]
         if not one and not two:
             block.label = "good" if block.where else "bad"
+        elif block.where and not (one and two):
+            block.label = "good"
         elif one == two or d1 != d2:
             block.label = one if one and (not two or d1 <= d2) else two
         else:
@@ -251,16 +256,10 @@ def _second_pass(blocks: list[Block]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    """The main text: the good blocks in page order, joined by one space.
-
-    If the page has an article or main element with text, only blocks inside
-    one count.
-    """
+    """The main text: the good blocks in page order, joined by one space."""
     if not page:
         return ""
     blocks = blocks_of(page)
-    if any(b.where and not b.aside for b in blocks):
-        blocks = [b for b in blocks if b.where]
     for block in blocks:
         block.label = _first_pass(block)
     _second_pass(blocks)

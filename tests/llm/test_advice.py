@@ -7,9 +7,11 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from fathomer.llm import decontaminate, warc
+from fathomer.llm import decontaminate, html_text, licenses, secrets, warc
 from fathomer.workspace import new_path
+from tests.llm.test_free import OPENSSH, PKCS8, RSA, b64
 
 
 def table(spark, docs, schema="doc_id long, text string"):
@@ -84,3 +86,23 @@ def test_uneven_weights_keep_fingerprints_within_the_radius():
         for at in range(0, 90, 3):
             lost += k not in {m[0] for m in own.matches(edited(items[k].split(), at))}
     assert lost == 0
+
+
+# -- HTML --------------------------------------------------------------------------------------
+
+PROSE = "The quick fox of the house was in it and that is what they had to say about the matter at hand today. " * 3
+ADVERT = "Super mega winter sale! Brand new phones, cheap tablets, free shipping worldwide, limited stock, order now!"
+FOREIGN = "Съешь же ещё этих мягких французских булок, да выпей чаю, говорил старый мастер своему ученику вечером."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div>{PROSE}</div><article class=card><a href=x>Other story</a></article><section>{PROSE}</section>", f"{PROSE.strip()} {PROSE.strip()}"),
+        (f"<div>{PROSE}</div><article><p>{PROSE}</p><p>End.</p></article><div>{ADVERT}</div>", f"{PROSE.strip()} {PROSE.strip()} End."),
+        (f"<article><p>{PROSE}</p><p>{PROSE[:100]}<a href=x>{PROSE[:90]}</a></p></article>", PROSE.strip()),
+        (f"<div>{FOREIGN}</div><article><p>{FOREIGN}</p></article>", FOREIGN),
+    ],
+)
+def test_articles_are_evidence_and_no_filter(page, text):
+    assert html_text.main_text(page) == text

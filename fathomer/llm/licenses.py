@@ -5,8 +5,9 @@ punctuation, copyright lines and equivalent spellings no longer differ), and
 its digest is joined with the digests of known licences.  So are the digests of
 its lines and paragraphs, since most texts carry a notice rather than a licence.
 
-Only pieces that hold one of ``HINTS`` are put in canonical form.  Every known
-text holds one (see ``known_digests``), so nothing is missed.
+Only pieces that hold one of ``HINTS`` are put in canonical form.  Every text of
+this module holds one, so nothing is missed; with a caller's table, whose texts
+are not known, all pieces are.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Each canonical known text contains one of these, and canonical forms keep them.
-HINTS = ("licen", "permission", "redistribution", "warranty")
+#: Each known text contains one of these, and canonical forms keep them; "released" and "distributed" are of notices.
+HINTS = ("licen", "permission", "redistribution", "warranty", "released", "distributed")
 
 # Spellings that count as one, as (written, canonical), in canonical characters.
 SPELLINGS = (
@@ -116,7 +117,7 @@ _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*$"
 def known_texts() -> list[tuple[str, str]]:
     """(identifier, text) of every licence and notice that is looked up."""
     notices = [(key, f"{opening} {name}.") for key, names in NAMES for name in names for opening in OPENINGS]
-    return [*TEXTS, *((key, text) for key, text in notices if any(h in text.lower() for h in HINTS))]
+    return [*TEXTS, *notices]
 
 
 def canonical(text: Column) -> Column:
@@ -159,14 +160,15 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kno
     together, those without one as one document; a null or empty text has no
     licence, and an empty table gives an empty one.
     """
+    hinted = _hinted if known is None else lambda piece: piece.isNotNull()
     known = known_digests(docs.sparkSession) if known is None else known.select("digest", "license")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    whole = F.filter(F.array(F.struct(F.lit(True).alias("whole"), text.alias("piece"))), lambda x: _hinted(x["piece"]))
+    whole = F.filter(F.array(F.struct(F.lit(True).alias("whole"), text.alias("piece"))), lambda x: hinted(x["piece"]))
     part = lambda x: F.struct(F.lit(False).alias("whole"), x.alias("piece"))
-    parts = F.filter(F.concat(F.split(text, "\n", -1), F.split(text, r"\n\s*\n", -1)), _hinted)
+    parts = F.filter(F.concat(F.split(text, "\n", -1), F.split(text, r"\n\s*\n", -1)), hinted)
     pieces = F.concat(whole, F.transform(parts, part))
     # Only a text with a hint is split at all.
-    found = F.when(_hinted(text), F.transform(pieces, lambda x: F.struct(x["whole"].alias("whole"), digest(x["piece"]).alias("digest"))))
+    found = F.when(hinted(text), F.transform(pieces, lambda x: F.struct(x["whole"].alias("whole"), digest(x["piece"]).alias("digest"))))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode_outer(found).alias("p")).select("doc_id", "p.whole", "p.digest")
     matched = rows.join(known, "digest", "left")
     out = matched.groupBy("doc_id").agg(

@@ -106,3 +106,18 @@ FOREIGN = "Съешь же ещё этих мягких французских 
 )
 def test_articles_are_evidence_and_no_filter(page, text):
     assert html_text.main_text(page) == text
+
+
+# -- licenses ----------------------------------------------------------------------------------
+
+
+def test_every_notice_is_known(spark):
+    notices = [(key, f"{opening} {name}.") for key, names in licenses.NAMES for name in names for opening in licenses.OPENINGS]
+    out = {r.doc_id: (r.notices, r.n_notices) for r in licenses.scan(table(spark, [(i, f"prose\n{text}\nmore") for i, (_, text) in enumerate(notices)])).collect()}
+    assert out == {i: (key, 1) for i, (key, _) in enumerate(notices)}
+
+
+def test_texts_of_a_callers_table_need_no_hint(spark):
+    known = spark.createDataFrame([("do what you want",)], "text string").select(licenses.digest(F.col("text")).alias("digest"), F.lit("X").alias("license"))
+    out = licenses.scan(table(spark, [(1, "Do what you want!"), (2, "prose\n\nDo what you want."), (3, None)]), known=known).collect()
+    assert sorted((r.doc_id, r.license, r.notices) for r in out) == [(1, "X", "X"), (2, None, "X"), (3, None, "")]

@@ -40,6 +40,9 @@ _MIN_GROUP, _MIN_ACCESS, _MIN_HEX = 12, 18, 16
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _ANY_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
+#: Candidates over several lines: line breaks, indentation, and a last line of any length.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_BREAK = re.compile(r"\r?\n[ \t]*")
 _TOKEN = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
 _SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
@@ -153,7 +156,53 @@ def is_signed_token(header: str, payload: str) -> bool:
 def _key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
-    return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+    if is_der_key(data):
+        return "der"
+    if is_ssh_key(data):
+        return "ssh"
+    return "pem" if b"-----BEGIN " in data and _pem_spans(data.decode("latin-1")) else None
+
+
+def _pem_spans(text: str) -> list[tuple[int, int, str]]:
+    """Armoured private keys whose bodies parse."""
+    return [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if "PRIVATE KEY" in m[1] and _key_kind(_b64(re.sub(r"\s|\\[nr]", "", m[2])))]
+
+
+def _decoded(text: str) -> Iterator[bytes | None]:
+    """What a candidate may stand for."""
+    if len(text) % 2 == 0 and (not text.strip("0123456789abcdef") or not text.strip("0123456789ABCDEF")):
+        yield bytes.fromhex(text)
+    yield _b64(text)
+
+
+def _wrapped_spans(text: str) -> list[tuple[int, int, str]]:
+    """Keys over lines of equal length, the last one as long or shorter."""
+    found = []
+    for m in _WRAPPED.finditer(text):
+        lines, at = [], m.start()  # (start, end) of each
+        for b in _BREAK.finditer(text, m.start(), m.end()):
+            lines.append((at, b.start()))
+            at = b.end()
+        lines.append((at, m.end()))
+        i = 0
+        while i < len(lines):
+            width = lines[i][1] - lines[i][0]
+            j = i + 1
+            while j < len(lines) and lines[j][1] - lines[j][0] == width:
+                j += 1
+            # All lines of this width, and the shorter one behind them or none.
+            last = j < len(lines) and lines[j][1] - lines[j][0] < width
+            for stop in (j + 1, j) if last else (j,):
+                kind = None
+                if width >= 40 and stop - i > 1:
+                    whole = "".join(text[a:b] for a, b in lines[i:stop])
+                    kind = next((k for data in _decoded(whole) if (k := _key_kind(data))), None)
+                if kind:
+                    found.append((lines[i][0], lines[stop - 1][1], kind))
+                    j = stop
+                    break
+            i = j
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -172,10 +221,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of candidates whose decoded bytes parse."""
     found = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            if "PRIVATE KEY" in m[1] and _key_kind(_b64(re.sub(r"\s|\\[nr]", "", m[2]))):
-                found.append((m.start(), m.end(), "pem"))
+        found += _pem_spans(text)
     inside = [(a, b) for a, b, _ in found]
+    wrapped = [s for s in _wrapped_spans(text) if not any(a <= s[0] and s[1] <= b for a, b in inside)]
+    found += wrapped
+    inside += [(a, b) for a, b, _ in wrapped]
     covered = lambda m: any(a <= m.start() and m.end() <= b for a, b in inside)
     if "eyJ" in text:
         found += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2])]

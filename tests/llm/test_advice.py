@@ -121,3 +121,36 @@ def test_texts_of_a_callers_table_need_no_hint(spark):
     known = spark.createDataFrame([("do what you want",)], "text string").select(licenses.digest(F.col("text")).alias("digest"), F.lit("X").alias("license"))
     out = licenses.scan(table(spark, [(1, "Do what you want!"), (2, "prose\n\nDo what you want."), (3, None)]), known=known).collect()
     assert sorted((r.doc_id, r.license, r.notices) for r in out) == [(1, "X", "X"), (2, None, "X"), (3, None, "")]
+
+
+# -- secrets -----------------------------------------------------------------------------------
+
+
+def wrapped(text: str, width: int, end: str = "\n") -> str:
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def armoured(data: bytes, width: int = 64) -> str:
+    return f"-----BEGIN PRIVATE KEY-----\n{wrapped(b64(data), width)}\n-----END PRIVATE KEY-----\n"
+
+
+@pytest.mark.parametrize(
+    ("before", "key", "after", "kind"),
+    [
+        ("key\n", wrapped(b64(PKCS8), 64), "\nafter", "der"),
+        ("a long line of words\n", wrapped(b64(RSA), 76, "\r\n"), "\r\n\r\nafter", "der"),
+        ("key: |\n    ", wrapped(b64(PKCS8), 64, "\n    "), "\n", "der"),
+        ("", wrapped(b64(OPENSSH), 70), "\nword", "ssh"),
+        ("", wrapped(PKCS8.hex(), 60), "\n\n", "der"),
+        ("tls.key: ", b64(armoured(PKCS8).encode()), "\n", "pem"),
+        ("tls.key:\n", wrapped(b64(armoured(RSA).encode()), 76), "\n", "pem"),
+    ],
+)
+def test_wrapped_and_encoded_keys_are_found(before, key, after, kind):
+    spans = [s for s in secrets.find_secrets(before + key + after)[1] if s[2] not in secrets.BASE_KINDS]
+    assert spans == [(len(before), len(before) + len(key), kind)]
+
+
+def test_lines_that_do_not_parse_are_no_keys():
+    for text in (wrapped(b64(PKCS8)[4:], 64), wrapped(b64(armoured(bytes(90)).encode()), 76), "\n".join(["x" * 64] * 2000)):
+        assert [s for s in secrets.find_secrets(text)[1] if s[2] not in secrets.BASE_KINDS] == []

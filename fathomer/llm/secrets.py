@@ -261,7 +261,7 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, str]], list[tup
         return [], []
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     coded = _has_run(_CODE, data, 40)
-    if not coded and "eyJ" not in text and not _has_run(_HEX_CODE, data, _MIN_HEX) and "AKIA" not in text and "=" not in text and ":" not in text:
+    if not coded and "eyJ" not in text and not _has_run(_HEX_CODE, data, _MIN_HEX) and "AKIA" not in text and "=" not in text and ":" not in text and "-----BEGIN " not in text:
         return [], []
     base = base_spans(text)
     added = confirmed_spans(text) if coded or "eyJ" in text or "-----BEGIN " in text else []

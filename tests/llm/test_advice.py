@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fathomer.llm import decontaminate, html_text, licenses, secrets, warc
 from fathomer.workspace import new_path
-from tests.llm.test_free import OPENSSH, PKCS8, RSA, b64
+from tests.llm.test_free import OPENSSH, PKCS8, RSA, b64, tlv
 
 
 def table(spark, docs, schema="doc_id long, text string"):
@@ -126,6 +126,11 @@ def test_texts_of_a_callers_table_need_no_hint(spark):
 # -- secrets -----------------------------------------------------------------------------------
 
 
+#: Of a multiple of three bytes.
+EVEN = tlv(0x30, tlv(2, b"\1") + tlv(4, bytes(range(32))) + tlv(0xA0, bytes([6, 3, 42, 134, 72])))
+EVEN = EVEN if len(EVEN) % 3 == 0 else tlv(0x30, tlv(2, b"\1") + tlv(4, bytes(range(32))) + tlv(0xA0, bytes([6, 3 + -len(EVEN) % 3, *range(1, 4 + -len(EVEN) % 3)])))
+
+
 def wrapped(text: str, width: int, end: str = "\n") -> str:
     return end.join(text[i : i + width] for i in range(0, len(text), width))
 
@@ -154,3 +159,9 @@ def test_wrapped_and_encoded_keys_are_found(before, key, after, kind):
 def test_lines_that_do_not_parse_are_no_keys():
     for text in (wrapped(b64(PKCS8)[4:], 64), wrapped(b64(armoured(bytes(90)).encode()), 76), "\n".join(["x" * 64] * 2000)):
         assert [s for s in secrets.find_secrets(text)[1] if s[2] not in secrets.BASE_KINDS] == []
+
+
+def test_armour_of_short_lines_is_found_in_a_text_without_other_signs():
+    text = "-----BEGIN PRIVATE KEY-----\n" + wrapped(b64(EVEN), 32) + "\n-----END PRIVATE KEY-----"
+    assert "=" not in text and ":" not in text
+    assert secrets.find_secrets(text)[1] == [(0, len(text), "pem")]

@@ -115,13 +115,17 @@ def hybrid_search(
     return dedup_by_name_kind(top)
 
 
-def connections(names: DataFrame, edges: DataFrame) -> DataFrame:
-    """``name, connections``: ends of different calls among the names; a call to itself counts twice."""
+def connections(names: DataFrame, edges: DataFrame, *, small: bool = True) -> DataFrame:
+    """``name, connections``: ends of different calls among the names; a call to itself counts twice.
+
+    ``small`` names, such as a result list, are broadcast; else Spark chooses.
+    """
     some = names.select("name").distinct()
+    some = F.broadcast(some) if small else some
     inside = (
         edges.select(F.col("caller_symbol").alias("caller"), F.col("callee_symbol").alias("callee"))
-        .join(F.broadcast(some.withColumnRenamed("name", "caller")), "caller", "left_semi")
-        .join(F.broadcast(some.withColumnRenamed("name", "callee")), "callee", "left_semi")
+        .join(some.withColumnRenamed("name", "caller"), "caller", "left_semi")
+        .join(some.withColumnRenamed("name", "callee"), "callee", "left_semi")
         .distinct()
     )
     ends = inside.select(F.explode(F.array("caller", "callee")).alias("name"))

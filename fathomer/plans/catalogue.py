@@ -272,6 +272,11 @@ def connection_counts(spark: SparkSession, sf: str) -> DataFrame:
     return search.connections(parts(spark, sf).where("id < 200"), calls(spark, sf))
 
 
+def connection_counts_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The calls among all parts, by part."""
+    return search.connections(parts(spark, sf), calls(spark, sf), small=False)
+
+
 def _traverse(spark: SparkSession, sf: str, depth: int) -> DataFrame:
     nodes = parts(spark, sf)
     return graph.traverse(nodes, calls(spark, sf), nodes.where("id = 1"), depth).select("id", F.col("hop").cast("long").alias("hop"))
@@ -490,7 +495,7 @@ QUERIES = {
     qualified_split extract_keywords source_tier tier_histogram tokenize_postings doc_stats corpus_stats df_table
     keyword_search keyword_top10 keyword_or keyword_not keyword_prefix keyword_phrase keyword_near cosine_all
     semantic_topk semantic_tiered semantic_dedup knn_per_label hybrid_rrf hybrid_dedup rerank_call_graph callees callers
-    blast_radius connection_counts traverse_d1 traverse_d3 call_lists missing_embeddings incremental_skip
+    blast_radius connection_counts connection_counts_all traverse_d1 traverse_d3 call_lists missing_embeddings incremental_skip
     reconcile_stale upsert_rows delete_cascade delete_keep_edges replace_by_file edges_dedup_pk embed_text doc_symbol
     percentiles_nearest_rank latency_rollup debounce_sessions index_counters html_symbols
     route_files ignore_filter vector_codec content_hashes embed_documents go_symbols

@@ -127,3 +127,17 @@ def test_store_versions(spark, tmp_path):
     assert tables.file_hash(store.table("files"), "b.go") == "7"
     store.vacuum()
     assert names(store.table("symbols")) == ["B"]
+
+
+def test_connections_of_all_parts(spark, sf):
+    from collections import Counter
+
+    from fathomer.plans import catalogue
+
+    parts = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    lines: dict = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect():
+        lines.setdefault((r.l_orderkey, r.l_linenumber), []).append(r.l_partkey)
+    calls = {(one, two) for (order, n), found in lines.items() for one in found for two in lines.get((order, n + 1), [])}
+    want = Counter(name for call in calls if set(call) <= parts for name in call)
+    assert {r.name: r.connections for r in catalogue.QUERIES["connection_counts_all"](spark, sf).collect()} == want

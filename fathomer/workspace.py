@@ -13,6 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to a Python worker at a time, where the session does not say.
+BATCH_BYTES = 4 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -43,6 +46,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker gets at a time, unless the session has set it.
+
+    Spark's own bound is 64 MB, which the executor and the worker both hold, for
+    each task and again as Python objects.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, dealt over all cores where its files make fewer partitions than there are cores.
 

@@ -5,6 +5,9 @@ punctuation, copyright lines and equivalent spellings no longer differ), and
 its digest is joined with the digests of known licences.  So are the digests of
 its lines and paragraphs, since most texts carry a notice rather than a licence.
 
+Known are the texts in ``licence_texts``, with and without what follows their
+terms (how to apply them), short texts that are put together here, and notices.
+
 Only pieces that hold one of ``HINTS`` are put in canonical form.  Every text of
 this module holds one, so nothing is missed; with a caller's table, whose texts
 are not known, all pieces are.
@@ -12,6 +15,8 @@ are not known, all pieces are.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,13 +116,21 @@ OPENINGS = (
     "SPDX-License-Identifier:",
 )
 
-_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*$"
+#: Lines that name whose the copyright is; a line that merely begins with the word, as of a text wrapped anew, is none.
+_COPYRIGHT = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©|[<\[{]?[ \t]*(?:[0-9]{4}|year|yyyy)|(?:by )?the [^\n]*authors)"
+    r"|(?:\(c\)|©)[ \t]*(?:copyright)?[ \t]*[<\[{]?[ \t]*(?:[0-9]{4}|year|yyyy))[^\n]*$"
+)
+_LAST_LINE = "END OF TERMS AND CONDITIONS"
 
 
 def known_texts() -> list[tuple[str, str]]:
     """(identifier, text) of every licence and notice that is looked up."""
+    files = [(path.stem, path.read_text(encoding="utf-8")) for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    cut = [(key, text[: text.index(_LAST_LINE) + len(_LAST_LINE)]) for key, text in files if _LAST_LINE in text]
+    cut += [(key, text.removesuffix(_LAST_LINE)) for key, text in cut]
     notices = [(key, f"{opening} {name}.") for key, names in NAMES for name in names for opening in OPENINGS]
-    return [*TEXTS, *notices]
+    return [*TEXTS, *files, *cut, *notices]
 
 
 def canonical(text: Column) -> Column:

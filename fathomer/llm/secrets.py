@@ -23,6 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fathomer.llm.arrow import tidy
+from fathomer.workspace import bounded_batches
+
 #: Kinds in the order in which spans of equal start are listed.
 BASE_KINDS = ("assign", "access", "hex")
 ADDED_KINDS = ("pem", "der", "ssh", "token")
@@ -37,7 +40,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _MIN_GROUP, _MIN_ACCESS, _MIN_HEX = 12, 18, 16
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
+#: An armoured block: its label, header lines if any, and the body; line breaks may be written as escapes.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:(?:\s|\\[nr])*+[A-Z][A-Za-z-]*+:[^\n\\]*+(?=\n|\\[nr]))*+)([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
+_CIPHER = re.compile(r"DEK-Info:[ \t]*((?:DES|AES|CAMELLIA|SEED|IDEA|RC2)[A-Z0-9-]*),([0-9A-Fa-f]+)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _ANY_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
 #: Candidates over several lines: line breaks, indentation, and a last line of any length.
@@ -47,7 +52,6 @@ _TOKEN = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
 _SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 _OPENSSH = b"openssh-key-v1\0"
-_MAX_DEPTH = 16
 
 
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -67,40 +71,66 @@ def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, body, body + length) if body + length <= end else None
 
 
-def _children(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
-    """The elements that fill ``data[at:end]`` exactly, nested ones checked too."""
-    found = []
-    while at < end:
-        item = _tlv(data, at, end)
-        if item is None or depth > _MAX_DEPTH:
-            return None
-        if item[0] & 0x20 and _children(data, item[1], item[2], depth + 1) is None:
-            return None
-        found.append(item)
-        at = item[2]
+def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill ``data[at:end]`` exactly; None if they or any nested in them do not."""
+    found, todo, top = [], [(at, end)], True
+    while todo:
+        at, end = todo.pop()
+        while at < end:
+            item = _tlv(data, at, end)
+            if item is None:
+                return None
+            if top:
+                found.append(item)
+            if item[0] & 0x20:
+                todo.append((item[1], item[2]))
+            at = item[2]
+        top = False
     return found
 
 
-def is_der_key(data: bytes) -> bool:
-    """A DER sequence that is laid out as a private key (PKCS#1, PKCS#8, SEC1)."""
+def _within(data: bytes) -> list[tuple[int, int, int]]:
+    """The elements of a DER sequence that is all of ``data``; none if it is not."""
     outer = _tlv(data, 0, len(data))
     if outer is None or outer[0] != 0x30 or outer[2] != len(data):
-        return False
-    items = _children(data, outer[1], outer[2])
-    if not items or len(items) < 2 or items[0][0] != 0x02:
+        return []
+    return _children(data, outer[1], outer[2]) or []
+
+
+def _names_algorithm(data: bytes, item: tuple[int, int, int]) -> bool:
+    """Whether an element is a sequence that begins with an object identifier."""
+    return item[0] == 0x30 and item[1] < item[2] and data[item[1]] == 0x06
+
+
+def is_der_key(data: bytes) -> bool:
+    """A DER sequence that is laid out as a private key (PKCS#1, PKCS#8, SEC1)."""
+    items = _within(data)
+    if len(items) < 2 or items[0][0] != 0x02:
         return False
     tags = [t for t, _, _ in items]
     version = data[items[0][1] : items[0][2]]
     if len(version) != 1 or version[0] > 2:
         return False
     if tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 0x04:  # PKCS#8
-        names = _children(data, items[1][1], items[1][2])
-        return bool(names) and names[0][0] == 0x06
+        return _names_algorithm(data, items[1])
     if tags[1] == 0x04:  # SEC1
         return items[1][2] - items[1][1] in (20, 24, 28, 32, 48, 66)
     return len(tags) in (6, 9) and set(tags) == {0x02}  # DSA or PKCS#1
 
 
+def is_sealed_key(data: bytes) -> bool:
+    """An encrypted PKCS#8 key: how it is encrypted, and the octets."""
+    items = _within(data)
+    return len(items) == 2 and _names_algorithm(data, items[0]) and items[1][0] == 0x04 and items[1][2] > items[1][1]
+
+
+def _is_enciphered(head: str, body: bytes) -> bool:
+    """An old encrypted key: the header names a cipher and its start value, and the body is whole blocks of it."""
+    cipher = _CIPHER.search(head)
+    block = 0 if not cipher else 8 if cipher[1].startswith(("DES", "IDEA", "RC2")) else 16
+    return bool(block) and "ENCRYPTED" in head and len(cipher[2]) == 2 * block and len(body) > 0 and len(body) % block == 0
+
+
 def _fields(data: bytes) -> list[bytes] | None:
     """The length-prefixed fields that fill ``data`` exactly."""
     at, found = 0, []
@@ -165,7 +195,15 @@ def _key_kind(data: bytes | None) -> str | None:
 
 def _pem_spans(text: str) -> list[tuple[int, int, str]]:
     """Armoured private keys whose bodies parse."""
-    return [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if "PRIVATE KEY" in m[1] and _key_kind(_b64(re.sub(r"\s|\\[nr]", "", m[2])))]
+    found = []
+    for m in _PEM.finditer(text):
+        if "PRIVATE KEY" not in m[1]:
+            continue
+        body = _b64(re.sub(r"\s|\\[nr]", "", m[3])) or b""
+        sealed = is_sealed_key(body) if m[1].startswith("ENCRYPTED") else _is_enciphered(m[2], body)
+        if sealed or _key_kind(body):
+            found.append((m.start(), m.end(), "pem"))
+    return found
 
 
 def _decoded(text: str) -> Iterator[bytes | None]:
@@ -299,4 +337,5 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"],
             )
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(batches, schema)
+    bounded_batches(docs.sparkSession)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(batches), schema)

@@ -156,6 +156,41 @@ def test_wrapped_and_encoded_keys_are_found(before, key, after, kind):
     assert spans == [(len(before), len(before) + len(key), kind)]
 
 
+def boxed(label: str, body: str, head: str = "") -> str:
+    return f"-----BEGIN {label}-----\n{head}{body}\n-----END {label}-----"
+
+
+HEAD = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+SEALED = tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48") + tlv(0x30, b"")) + tlv(4, bytes(range(48))))
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (boxed("RSA PRIVATE KEY", wrapped(b64(bytes(range(64))), 64), HEAD), True),
+        (boxed("RSA PRIVATE KEY", wrapped(b64(bytes(range(64))), 64), HEAD).replace("\n", "\\n"), True),
+        (boxed("RSA PRIVATE KEY", wrapped(b64(bytes(range(60))), 64), HEAD), False),
+        (boxed("RSA PRIVATE KEY", wrapped(b64(bytes(range(64))), 64), HEAD.replace("AES", "DES")), False),
+        (boxed("RSA PRIVATE KEY", wrapped(b64(bytes(range(64))), 64)), False),
+        (boxed("RSA PRIVATE KEY", wrapped(b64(RSA), 64), "Comment: mine\n"), True),
+        (boxed("ENCRYPTED PRIVATE KEY", wrapped(b64(SEALED), 64)), True),
+        (boxed("ENCRYPTED PRIVATE KEY", wrapped(b64(SEALED[:-1]), 64)), False),
+        (boxed("PUBLIC KEY", wrapped(b64(RSA), 64)), False),
+    ],
+)
+def test_sealed_keys_are_found_by_their_structure(text, found):
+    assert [s for s in secrets.find_secrets(text)[1] if s[2] == "pem"] == ([(0, len(text), "pem")] if found else [])
+
+
+def test_nested_lengths_are_followed_at_any_depth():
+    inner = b""
+    for _ in range(3000):
+        n = len(inner)
+        inner = (b"\x30" + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else b"\x82" + n.to_bytes(2, "big"))) + inner
+    key = tlv(0x30, tlv(2, b"\1") + tlv(4, bytes(32)) + tlv(0xA0, inner))
+    assert secrets.is_der_key(key) and not secrets.is_der_key(key.replace(b"\x30\x00", b"\x30\x01"))
+
+
 def test_lines_that_do_not_parse_are_no_keys():
     for text in (wrapped(b64(PKCS8)[4:], 64), wrapped(b64(armoured(bytes(90)).encode()), 76), "\n".join(["x" * 64] * 2000)):
         assert [s for s in secrets.find_secrets(text)[1] if s[2] not in secrets.BASE_KINDS] == []
@@ -165,3 +200,28 @@ def test_armour_of_short_lines_is_found_in_a_text_without_other_signs():
     text = "-----BEGIN PRIVATE KEY-----\n" + wrapped(b64(EVEN), 32) + "\n-----END PRIVATE KEY-----"
     assert "=" not in text and ":" not in text
     assert secrets.find_secrets(text)[1] == [(0, len(text), "pem")]
+
+
+def test_whole_licences_are_known_in_any_wrapping(spark):
+    import textwrap
+    from pathlib import Path
+
+    folder = Path(licenses.__file__).parent / "licence_texts"
+    docs, want = [], {}
+    for path in sorted(folder.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        paragraphs = text.split("\n\n")
+        notice = lambda p: "opyright (" in p or "opyright [" in p
+        for width in (50, 100):
+            anew = "\n\n".join(p if notice(p) else textwrap.fill(p, width) for p in paragraphs)
+            for variant in (text, anew, anew.upper(), text.replace("\n", "\r\n")):
+                docs.append((len(docs), variant))
+                want[len(docs) - 1] = path.stem
+        docs.append((len(docs), text[:-300]))
+        want[len(docs) - 1] = None
+    docs.append((len(docs), "Copyright The Example Authors\n\n" + licenses._MIT))
+    want[len(docs) - 1] = "MIT"
+    out = {r.doc_id: r.license for r in licenses.scan(table(spark, docs)).collect()}
+    wrong = {k: (out[k], want[k]) for k in want if out[k] != want[k] and want[k]}
+    assert not wrong
+    assert sum(out[k] is None for k, v in want.items() if v is None) >= 7

@@ -152,37 +152,96 @@ def test_blocks_find_all_within_the_radius():
 # -- archives ----------------------------------------------------------------------------------
 
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+LONG = "\n" + FAKE.replace(": 5", ": 700") + "y" * 900 + ("\n" + FAKE) * 3
 PAYLOADS = ["", None, "x" * 700, FAKE, "a" + FAKE * 3, "WARC/1.", FAKE + "tail", "é漢\n" * 40 + FAKE * 2, FAKE.replace(": 5", ": 100000"), "x" * 700, None]
+#: Lengths that are no lengths, and false records that claim what others hold.
+PAYLOADS += ["\n" + FAKE.replace(": 5", f": {n}") for n in ("99999999999999999999", "²", "-1", "", "0x5", "5 5", "999999999999999999")] + [LONG, LONG + LONG, "\n" + FAKE.replace(": 5", ": 300") * 40]
+
+
+def sha(payload):
+    return base64.b32encode(hashlib.sha1((payload or "").encode()).digest()).decode()
 
 
 @pytest.mark.parametrize("split", ["128m", "900b"])
 def test_archives_round_trip(spark, split):
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
+        n = len(PAYLOADS)
         pages = table(spark, [(i, None if i == 3 else f"http://h/{i}\r\nX: y", p) for i, p in enumerate(PAYLOADS)], "page_id long, url string, html string").repartition(1)
-        path = new_path(spark, "t")
+        path, other = new_path(spark, "t"), new_path(spark, "t")
         warc.write_archives(pages, path)
         records = warc.read_archives(spark, path)
         got = sorted((r.record_id, r.payload_bytes, r.payload_digest, r.declared) for r in records.collect())
-        digest = lambda p: base64.b32encode(hashlib.sha1((p or "").encode()).digest()).decode()
-        assert got == sorted((f"<urn:page:{i}>", len((p or "").encode()), digest(p), digest(p)) for i, p in enumerate(PAYLOADS))
-        kinds = {r.page_id: (r.record_type, r.refers_to) for r in warc.with_revisits(records).collect()}
-        assert kinds == {i: ("response", None) for i in range(11)} | {0: ("revisit", 10), 1: ("revisit", 10), 2: ("revisit", 9)}
-        bounded = {r.page_id: r.record_type for r in warc.with_revisits(records, min_bytes=10).collect()}
+        assert got == sorted((f"<urn:page:{i}>", len((p or "").encode()), sha(p), sha(p)) for i, p in enumerate(PAYLOADS))
+        out = warc.resolved(records).collect()
+        assert all(r.intact for r in out)
+        assert {r.page_id: (r.record_type, r.refers_to) for r in out} == {i: ("response", None) for i in range(n)} | {0: ("revisit", 10), 1: ("revisit", 10), 2: ("revisit", 9)}
+        warc.write_archives(pages, other, min_bytes=10)
+        bounded = {r.page_id: r.record_type for r in warc.resolved(warc.read_archives(spark, other)).collect()}
         assert bounded[0] == "response" and bounded[2] == "revisit"
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def archive(spark, records):
+    """A folder with one file that holds the records as they are."""
+    path = new_path(spark, "t")
+    spark.createDataFrame([("".join(records),)], "value string").write.option("lineSep", "\n").text(path)
+    return path
+
+
+def record(kind, key, payload, digest, more=""):
+    http = f"HTTP/1.1 200 OK\r\nContent-Length: {len(payload)}\r\n\r\n"
+    body = http + ("" if kind == "revisit" else payload)
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{key}>\r\n{more}WARC-Payload-Digest: sha1:{digest}\r\nContent-Type: application/http\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+
+
+def test_revisits_are_records_without_payload(spark):
+    pages = table(spark, [(i, "u", "p" * 5000) for i in range(9)], "page_id long, url string, html string")
+    path = new_path(spark, "t")
+    warc.write_archives(pages, path)
+    text = "".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
+    assert text.count("WARC-Type: revisit") == 8 and text.count("p" * 5000) == 1 and text.count("WARC-Refers-To: <urn:page:8>") == 8
+
+
+def test_digests_and_references_are_checked(spark):
+    refers = lambda k: f"WARC-Refers-To: <urn:page:{k}>\r\n"
+    records = [
+        record("response", 1, "good", sha("good")), record("response", 2, "bad", sha("other")), record("revisit", 3, "good", sha("good"), refers(1)),
+        record("revisit", 4, "good", sha("other"), refers(1)), record("revisit", 5, "good", sha("good"), refers(7)), record("revisit", 6, "good", sha("good")),
+    ]
+    out = {r.page_id: r for r in warc.resolved(warc.read_archives(spark, archive(spark, records))).collect()}
+    assert {k: r.intact for k, r in out.items()} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
+    assert out[3].payload_bytes == 4 and out[3].payload_digest == sha("good") and out[3].refers_to == 1
+
+
+def test_a_record_that_the_file_cuts_short_is_none(spark):
+    whole = record("response", 1, "x" * 50, sha("x" * 50))
+    assert [r.record_id for r in warc.read_archives(spark, archive(spark, [whole, whole[:-20]])).collect()] == ["<urn:page:1>"]
+
+
+def test_hostile_payloads_take_linear_time():
+    import time
+
+    block = warc._Block("f", 0, 1 << 40)
+    began = time.perf_counter()
+    claim = b"1\r\nWARC-Type: response\r\nContent-Length: 900000000\r\n\r\n" + b"z" * 100
+    block.add(warc._MAGIC + claim)
+    for _ in range(50_000):
+        block.add(claim)
+    assert len(block.close()) == 50_001 and time.perf_counter() - began < 20
+
+
 def test_archives_of_odd_rows(spark):
     pages = table(spark, [(1, "u", "same"), (1, "u", "same"), (None, None, "same"), (0, "u", "same")], "page_id long, url string, html string").withColumn("value", F.lit(1))
+    pages = pages.withColumns({"digest": F.lit("x"), "best": F.lit(7)})
     path = new_path(spark, "t")
     warc.write_archives(pages, path)
-    out = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.with_revisits(warc.read_archives(spark, path)).collect())
-    assert out == [("0", "revisit", "1"), ("1", "response", "None"), ("1", "response", "None"), ("None", "response", "None")]
+    out = sorted((str(r.page_id), r.record_type, str(r.refers_to), r.intact) for r in warc.resolved(warc.read_archives(spark, path)).collect())
+    assert out == [("0", "revisit", "1", True), ("1", "response", "None", True), ("1", "response", "None", True), ("None", "response", "None", True)]
     empty = new_path(spark, "t")
     warc.write_archives(pages.limit(0), empty)
-    assert warc.with_revisits(warc.read_archives(spark, empty)).count() == 0
+    assert warc.resolved(warc.read_archives(spark, empty)).count() == 0
 
 
 def test_chain_ends_where_no_record_stands(spark):

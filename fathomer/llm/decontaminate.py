@@ -13,14 +13,15 @@ Of a document that has fewer words than the item, the whole is the one window.
     block at least, so looking up every block misses none within the radius.
 *   The exact Jaccard similarity of the shingle multisets decides.
 
-The benchmark's index goes to the workers in blocks of at most ``BLOCK`` items,
-one pass over the documents for each block, so what is broadcast is bounded at
-any benchmark size.  Documents are taken whole, one by one; nothing is shuffled.
+The benchmark goes to the workers in blocks of ``BLOCK`` items or ``BLOCK_BYTES``
+of text, one pass over the documents for each block, so what is broadcast is
+bounded at any benchmark size.  Documents are taken whole, one by one; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomer.llm.arrow import tidy
 from fathomer.llm.hashing import mixed, shingles, word_hashes
-from fathomer.workspace import written
+from fathomer.workspace import bounded_batches, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -40,8 +42,8 @@ BITS = 128
 #: of the shared weight and both totals, and where ``S / (A + B - S)`` is 0.8 it is 8 / 9 or more, whatever the weights are:
 #: fingerprints then differ in at most 19.4 bits on average, with a deviation of 4.1.
 RADIUS = 36
-#: Items broadcast at a time.
-BLOCK = 20_000
+#: Items broadcast at a time, and bytes of their texts, on average.
+BLOCK, BLOCK_BYTES = 20_000, 64 << 20
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
@@ -233,16 +235,18 @@ def find_matches(
     """
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    blocks = max(1, -(-items.count() // block))
+    figures = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    blocks = max(1, -(-figures["n"] // block), -(-figures["size"] // BLOCK_BYTES))
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = written(_shingles_of(items).distinct().groupBy("shingle").agg(F.count("*").alias("n")), "benchmark-shingles") if blocks > 1 else None
     found = None
     for number in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == number)
-        # At most BLOCK items and their shingles reach the driver, and from there the workers.
+        # One block's items and shingles reach the driver, and from there the workers.
         counts = None if held is None else {r["shingle"] & _ALL: r["n"] for r in held.join(_shingles_of(part).select("shingle").distinct(), "shingle").collect()}
-        shared = docs.sparkSession.sparkContext.broadcast(([(r["id"], r["text"]) for r in part.collect()], counts))
-        here = texts.mapInArrow(_matcher(shared), schema)
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r["id"], r["text"]) for r in part.collect()], counts))
+        here = texts.mapInArrow(tidy(_matcher(shared)), schema)
         found = here if found is None else found.union(here)
     return found
 
@@ -264,16 +268,20 @@ def _shingles_of(items: DataFrame) -> DataFrame:
     return items.select("text").mapInArrow(batches, "shingle long, words binary")
 
 
-_indexes: dict[int, Index] = {}
+#: The index of the block that this worker had last, by the name that the block carries.
+_last: dict[str, Index] = {}
+
+
+def _index_of(name: str, items: list[tuple[int, str]], spread: dict[int, int] | None) -> Index:
+    if name not in _last:
+        _last.clear()
+        _last[name] = Index(items, spread)
+    return _last[name]
 
 
 def _matcher(shared):  # noqa: ANN001, ANN202
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.id if hasattr(shared, "id") else id(shared)
-        if key not in _indexes:
-            _indexes.clear()
-            _indexes[key] = Index(*shared.value)
-        index = _indexes[key]
+        index = _index_of(*shared.value)
         for part in parts:
             rows = [(doc.as_py(), item, round(sim, 6), at, n) for doc, text in zip(part.column(0), part.column(1), strict=True) for item, sim, at, n in index.matches(text.as_py())]
             columns = list(zip(*rows, strict=True)) or [[]] * 5

@@ -17,7 +17,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 #: Longer texts are taken in pieces that end at white space.
-_PIECE = 1 << 21
+_PIECE = 1 << 18
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -39,12 +39,15 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _power(kind: str, base: int, count: int) -> np.ndarray:
-    """Powers 0.. of a base, kept for the next text."""
-    if len(_powers[kind]) < count:
+    """Powers 0.. of a base, kept for the next text; texts come in pieces, so they are bounded."""
+    known = _powers[kind]
+    if len(known) < count:
         steps = np.full(max(count, 1 << 16), base, np.uint64)
         steps[0] = 1
-        _powers[kind] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[kind][:count]
+        known = np.cumprod(steps, dtype=np.uint64)
+        if count <= 2 * _PIECE:  # a longer piece is one word, and rare
+            _powers[kind] = known
+    return known[:count]
 
 
 def _piece_hashes(data: np.ndarray) -> np.ndarray:

@@ -1,11 +1,12 @@
 """Language ID: evidence of text, markup, address and host, fused by Bayes' rule.
 
 Text likelihoods come from hashed byte trigrams, one multinomial for each
-language, fitted on a bounded sample of rows whose language is declared
-(``SAMPLE`` rows a language, in the order of a hash of their ids).  All else
-covers the whole corpus: the text posteriors of all rows are summed by host and
-by address suffix with grouped aggregation, and the prior of a host is smoothed
-towards its suffix, and that of a suffix towards the corpus.
+language, fitted on a bounded sample of rows whose language is declared (one row
+for each of at most ``SAMPLE`` ids a language, in the order of a hash of the
+ids), whose trigrams workers count.  All else covers the whole corpus: the text
+posteriors of all rows are summed by host and by address suffix with grouped
+aggregation, and the prior of a host is smoothed towards its suffix, and that of
+a suffix towards the corpus.  Each text is scored once.
 
 The table of host priors has a row a host.  It is written out and joined on the
 host; Spark broadcasts it only if the written size is below its threshold, and
@@ -15,21 +16,25 @@ splits the partition of a hot host otherwise.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomer.workspace import written
+from fathomer.llm.arrow import give_back, tidy
+from fathomer.llm.html_text import main_texts
+from fathomer.workspace import bounded_batches, written
 
 LANGUAGES = ("en", "fr", "de", "es")
 UNKNOWN = "und"
 #: Rows a language that the trigram model is fitted on, at most.
 SAMPLE = 400
 BUCKETS = 1 << 16
+#: Tasks that count the trigrams of the sample.
+COUNTERS = 4
 #: Trigrams overlap, so their log-likelihoods count only in part.
 TEXT_WEIGHT = 0.2
 #: How often declared languages and address suffixes are right.
@@ -45,6 +50,8 @@ SUFFIX_LANGUAGE = {
     "mx": "es", "ar": "es", "co": "es", "cl": "es", "pe": "es",
 }
 
+_HTML_LANG = r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)"
+
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[97:123] = np.arange(97, 123)
@@ -80,19 +87,29 @@ class Model:
 
 
 def fit(rows: DataFrame, *, id_col: str, text_col: str, declared_col: str, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` rows of each declared language."""
-    base = rows.select(F.col(id_col).alias("id"), primary(F.col(declared_col)).alias("lang"))
-    ids = [base.where(F.col("lang") == x).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample) for x in languages]
-    picked = ids[0]
-    for more in ids[1:]:
-        picked = picked.union(more)
-    chosen = [r[0] for r in picked.collect()]  # at most sample * languages ids
-    counts = np.full((BUCKETS, len(languages)), 0.5)
-    if chosen:
-        found = rows.where(F.col(id_col).isin(chosen)).select(primary(F.col(declared_col)).alias("lang"), F.col(text_col).alias("text"))
-        for row in found.toLocalIterator():
-            if row["lang"] in languages:
-                np.add.at(counts[:, list(languages).index(row["lang"])], trigrams(row["text"] or ""), 1)
+    """A model from one row for each of at most ``sample`` ids of each declared language.
+
+    Of an id's rows the one of the least text counts.  The driver gets counts
+    alone, at most ``COUNTERS`` tables of them.
+    """
+    bounded_batches(rows.sparkSession)
+    base = rows.select(F.col(id_col).alias("id"), primary(F.col(declared_col)).alias("lang")).where(F.col("lang").isin(*languages) & F.col("id").isNotNull())
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    picked = base.withColumn("n", first).where(F.col("n") <= sample).select("lang", "id").distinct()  # Spark cuts each task's rows before the shuffle
+    texts = rows.select(F.col(id_col).alias("id"), primary(F.col(declared_col)).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(picked), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
+    order = list(languages)
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((BUCKETS, len(order)), np.uint32)
+        for part in parts:
+            for lang, text in zip(part.column(0), part.column(1), strict=True):
+                np.add.at(table[:, order.index(lang.as_py())], trigrams(text.as_py() or ""), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["table"])
+
+    counts = np.full((BUCKETS, len(order)), 0.5)
+    for row in texts.select("lang", "text").coalesce(COUNTERS).mapInArrow(tidy(count), "table binary").collect():
+        counts += np.frombuffer(row["table"], np.uint32).reshape(counts.shape)
     return Model(tuple(languages), np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
@@ -125,32 +142,30 @@ def _soft(logs: Column) -> Column:
     return F.transform(powers, lambda p: p / total)
 
 
-def _scored(rows: DataFrame, model: Model, text_col: str) -> Column:
+def _scores(rows: DataFrame, model: Model, text: Column) -> Column:
     shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS * languages floats, at any input
+    bounded_batches(rows.sparkSession)
 
-    @F.pandas_udf("array<double>")
-    def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.scores(text) for text in texts])
+    @F.arrow_udf("array<double>")
+    def scores(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        for texts in parts:
+            yield pa.array([own.scores(text.as_py()) for text in texts], pa.list_(pa.float64()))
+        give_back()
 
-    return scores(F.col(text_col).cast("string"))
+    return scores(text.cast("string"))
 
 
-def _with_evidence(rows: DataFrame, model: Model, text_col: str, declared: Column, host: Column) -> DataFrame:
-    """Adds ``_host, _suffix, _size, _text`` (weighted log-likelihoods) and ``_said`` (log evidence of markup and address)."""
+def _with_evidence(rows: DataFrame, model: Model, text: Column, declared: Column, host: Column) -> DataFrame:
+    """Adds ``_host, _suffix, _size, _mean`` (mean log-likelihoods of a trigram), ``_text`` (weighted sums) and ``_said`` (log evidence of markup and address)."""
     n = len(model.languages)
-    suffix = suffix_of(host)
     hints = F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair])
-    said = zip(
-        _log_evidence(primary(declared), model.languages, DECLARED_RIGHT),
-        _log_evidence(F.coalesce(F.try_element_at(hints, suffix), F.lit("")), model.languages, SUFFIX_RIGHT),
-        strict=True,
-    )
-    scored = rows.withColumn("_scores", _scored(rows, model, text_col))
+    hinted = F.coalesce(F.try_element_at(hints, F.col("_suffix")), F.lit(""))
+    said = zip(_log_evidence(primary(declared), model.languages, DECLARED_RIGHT), _log_evidence(hinted, model.languages, SUFFIX_RIGHT), strict=True)
+    scored = rows.withColumn("_scores", _scores(rows, model, text)).withColumn("_host", host).withColumn("_suffix", suffix_of(F.col("_host")))
     size = F.element_at("_scores", n + 1)
     return scored.withColumns(
         {
-            "_host": host,
-            "_suffix": suffix,
             "_size": size,
             "_mean": F.slice("_scores", 1, n),
             "_text": F.transform(F.slice("_scores", 1, n), lambda x: x * size * TEXT_WEIGHT),
@@ -212,16 +227,33 @@ def identify(
     equally so), or leaves the posterior below ``least``.  A null text is
     empty, a null or unknown declared language says nothing, and rows without
     a host share one.  Each row stands for itself: repeated and null ids stay
-    as they are, and an empty table gives an empty one.
+    as they are, and an empty table gives an empty one.  Rows without an id are
+    never in the model's sample.
     """
     host = F.coalesce(F.col("source").cast("string"), F.lit("")) if host is None else host
     model = fit(rows, id_col=id_col, text_col=text_col, declared_col=declared_col, languages=languages, sample=sample)
     narrow = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(declared_col).alias("declared"), F.col(text_col).alias("text"), host.alias("host"))
-    scored = written(_with_evidence(narrow, model, "text", F.col("declared"), F.col("host")).drop("text", "host"), "language-scores")
+    scored = written(_with_evidence(narrow, model, F.col("text"), F.col("declared"), F.col("host")).drop("text", "host"), "language-scores")
     priors = written(host_priors(scored, languages), "host-priors")
     return _fused(scored, priors, languages, least).select("doc_id", "declared", "predicted", "posterior", "kept")
 
 
+def of_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
+    """``page_id, declared, predicted, posterior, kept`` for every page.
+
+    The text is the page's main text, the declared language that of its
+    ``html`` element, and the host that of its address.  Rows are taken one by
+    one: repeated and null ids stay as they are, other columns are not read, a
+    null page has no text, and an empty table gives an empty one.
+    """
+    bounded_batches(pages.sparkSession)
+    declared = F.nullif(F.regexp_extract(html_col, _HTML_LANG, 1), F.lit(""))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), declared.alias("markup"), F.col(url_col).alias("url"), main_texts(F.col(html_col)).alias("text"))
+    rows = written(rows, "page-texts")  # extracted once
+    out = identify(rows, id_col="page_id", declared_col="markup", host=host_of(F.col("url")), sample=sample)
+    return out.withColumnRenamed("doc_id", "page_id")
+
+
 def keep_told(
     docs: DataFrame,
     *,
@@ -235,13 +267,14 @@ def keep_told(
 ) -> DataFrame:
     """The rows of ``docs`` whose language is told, with the columns of ``docs``.
 
-    The decisions are those of ``identify``.  Texts are scored twice, for the
-    priors and for the verdict, so that they need no shuffle.
+    The decisions are those of ``identify``.  Rows are written once with their
+    scores, so that no text is scored twice or shuffled.
     """
-    host = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     model = fit(docs, id_col=id_col, text_col=text_col, declared_col=declared_col, languages=languages, sample=sample)
     # The row travels as one column, so that its names meet no others.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.col(declared_col).alias("declared"), host.alias("host"))
-    scored = lambda df: _with_evidence(df, model, "text", F.col("declared"), F.col("host"))
-    priors = written(host_priors(scored(rows.drop("row")), languages), "host-priors")
-    return _fused(scored(rows), priors, languages, least).where("kept").select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    own = lambda name: F.col("row")[name]
+    host = F.coalesce(own(source_col).cast("string"), F.lit(""))
+    scored = written(_with_evidence(rows, model, own(text_col), own(declared_col), host), "language-scores")
+    priors = written(host_priors(scored, languages), "host-priors")
+    return _fused(scored, priors, languages, least).where("kept").select("row.*")

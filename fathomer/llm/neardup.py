@@ -14,10 +14,12 @@
     confirm first the most alike pair of each class, and then the pairs whose
     ends are still in different components.
 4.  Links make components.  In a large bucket that still has several, members
-    outside its main component are compared with all its members, block by
-    block, by their signatures; what passes is confirmed like the others.  So
-    every pair that shares a bucket is linked, found unlike, or already in one
-    component, without listing the pairs of a group.
+    outside its main component are paired with the bucket's hub, the member of
+    most links: what a group was copied from.  Those still outside are compared
+    with all members, block by block, by their signatures and then by their
+    sets, without listing the pairs of a group.  So every pair that shares a
+    bucket is linked, found unlike, or already in one component.  Blocks are
+    bounded in members and in the size of their sets.
 
 Buckets, links and components stay in tables; nothing of them reaches the driver.
 """
@@ -27,21 +29,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomer.llm.arrow import give_back, tidy
 from fathomer.llm.hashing import mixed, randoms, shingles, word_hashes
-from fathomer.workspace import written
+from fathomer.workspace import bounded_batches, written
 
 BANDS, ROWS = 32, 5
 PERMUTATIONS = BANDS * ROWS // 2
 #: Buckets of up to so many classes have all pairs compared.
 SMALL = 8
-#: Members of a large bucket compared at a time.
-BLOCK = 1024
+#: Members of a large bucket compared at a time, and shingles in their sets, on average (one set is never split).
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 _FACTORS, _ADDENDS = randoms(PERMUTATIONS, 101) | np.uint64(1), randoms(PERMUTATIONS, 202)
 _BAND_SEEDS = randoms(BANDS, 303)
@@ -119,16 +121,33 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, size: int) -> DataF
             )
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(batches, _SKETCHED)
+    bounded_batches(docs.sparkSession)
+    return texts.mapInArrow(tidy(batches), _SKETCHED)
 
 
-@F.pandas_udf(T.IntegerType())
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and where each value begins and the last ends."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    edges = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[edges[0] : edges[-1]], edges - edges[0]
+
+
+def _members(column: pa.Array) -> list[np.ndarray]:
+    """A column of sets as arrays of hashes."""
+    data, edges = _values(column)
+    return [data[a:b].view(np.uint64) if (a & 7) == 0 else np.frombuffer(data[a:b].tobytes(), np.uint64) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+@F.arrow_udf(T.IntegerType())
+def _agreement(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """How many bytes of two sketches agree."""
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    left, right = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (a, b))
-    return pd.Series((left == right).sum(axis=1).astype(np.int32))
+    for a, b in parts:
+        left, right = (_values(x)[0].reshape(len(x), -1) if len(x) else np.zeros((0, 1), np.uint8) for x in (a, b))
+        yield pa.array((left == right).sum(axis=1).astype(np.int32))
+    give_back()
 
 
 def _alike(pairs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
@@ -142,9 +161,11 @@ def _alike(pairs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
     """``class, members``: the full sets of the classes that may have links.  Texts are shuffled here, once."""
 
-    @F.pandas_udf("binary")
-    def as_set(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(text, size).tobytes() for text in texts])
+    @F.arrow_udf("binary")
+    def as_set(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield pa.array([shingle_set(text.as_py(), size).tobytes() for text in texts], pa.binary())
+        give_back()
 
     texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).cast("string").alias("text"))
     return texts.join(wanted, "class", "left_semi").select("class", as_set("text").alias("members"))
@@ -153,16 +174,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, siz
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough: 100 * shared >= percent * union."""
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            out.append(100 * shared >= percent * (len(x) + len(y) - shared))
-        return pd.Series(out, dtype=bool)
+    @F.arrow_udf("boolean")
+    def similar(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in parts:
+            out = []
+            for x, y in zip(_members(a), _members(b), strict=True):
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                out.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            yield pa.array(out, pa.bool_())
+        give_back()
 
     left = sets.select(F.col("class").alias("a"), F.col("members").alias("members_a"))
     right = sets.select(F.col("class").alias("b"), F.col("members").alias("members_b"))
@@ -205,7 +227,33 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where("of_a <> of_b")
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, details: DataFrame, least: int, percent: int) -> DataFrame:
+def _loose(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The large buckets that have several components.
+
+    Returns their members (``bucket, class, size, component, main, ...``), and
+    a row for each with ``main``, its largest component, and in how many blocks
+    the other members (``xs``) and all (``ys``) are taken.
+    """
+    members = written(buckets.where(F.col("n") > SMALL).select("bucket", "class", "size").join(labels, "class"), "bucket-members")
+    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
+    most = F.max(F.struct("m", "component", "s"))
+    mains = parts.groupBy("bucket").agg(most.alias("most"), F.sum("m").alias("n"), F.sum("s").alias("s"), F.count("*").alias("c")).where("c > 1")
+    blocks = lambda rows, size: F.ceil(F.greatest(rows / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    xs = blocks(F.col("n") - F.col("most.m"), F.col("s") - F.col("most.s"))
+    mains = written(mains.select("bucket", F.col("most.component").alias("main"), xs.alias("xs"), blocks(F.col("n"), F.col("s")).alias("ys")), "bucket-mains")
+    return members.join(mains, "bucket"), mains
+
+
+def _hub_pairs(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``a, b``: each member outside its bucket's main component with the bucket's member of most links."""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    known = written(degrees, "link-counts")
+    hubs = placed.select("bucket", "class").join(known, "class").groupBy("bucket").agg(F.max_by("class", F.struct("links", "class")).alias("hub"))
+    loose = placed.where("component <> main").select("bucket", "class").join(written(hubs, "bucket-hubs"), "bucket").where("class <> hub")
+    return loose.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+
+
+def _rest(placed: DataFrame, details: DataFrame, least: int, percent: int) -> DataFrame:
     """The links (a, b) between components that large buckets still have.
 
     A bucket's members outside its main component are compared with all its
@@ -213,49 +261,52 @@ def _rest(buckets: DataFrame, labels: DataFrame, details: DataFrame, least: int,
     pair that shares several buckets is compared in the one of the first band.
     ``details`` has (class, sketch, bands, members).
     """
-    members = written(buckets.where(F.col("n") > SMALL).select("bucket", "class").join(labels, "class"), "bucket-members")
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("m"))
-    mains = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("n"), F.count("*").alias("c"))
-    in_blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
-    mains = mains.where("c > 1").select("bucket", "main", in_blocks(F.col("n") - F.col("most")).alias("xs"), in_blocks(F.col("n")).alias("ys"))
-    placed = members.join(written(mains, "bucket-mains"), "bucket")
     block = lambda count: F.pmod(F.xxhash64("class"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     # Members are repeated for each block of loose ones only, so a bucket with few of these stays small.
     loose = placed.where("component <> main").select(F.lit(True).alias("loose"), "bucket", block("xs").alias("x"), every("ys").alias("y"), "class", "component")
     rest = placed.select(F.lit(False).alias("loose"), "bucket", every("xs").alias("x"), block("ys").alias("y"), "class", "component")
 
-    def compared(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        one, two = group[group["loose"]], group[~group["loose"]]
-        found = _links_within(int(key[0]), one, two, least, percent) if len(one) and len(two) else []
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    def compared(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        is_loose = group["loose"].to_numpy()
+        found = _links_within(key[0].as_py(), _Members(group, is_loose), _Members(group, ~is_loose), least, percent) if is_loose.any() and not is_loose.all() else []
+        give_back()
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     both = loose.union(rest).join(details, "class")
-    return both.groupBy("bucket", "x", "y").applyInPandas(compared, "a long, b long").distinct()
+    return both.groupBy("bucket", "x", "y").applyInArrow(compared, "a long, b long").distinct()
+
+
+class _Members:
+    """Some rows of a block as arrays."""
+
+    def __init__(self, group: pa.Table, wanted: np.ndarray) -> None:
+        rows = group.filter(pa.array(wanted)).combine_chunks()
+        one = lambda name: c.chunk(0) if (c := rows[name]).num_chunks else pa.array([], c.type)
+        self.classes, self.parts = one("class").to_numpy(), one("component").to_numpy()
+        self.marks = _values(one("sketch"))[0].reshape(len(self.classes), -1)
+        self.bands = one("bands").flatten().to_numpy().reshape(len(self.classes), -1)
+        self.sets = _members(one("members"))
+        self.sizes = np.array([len(m) for m in self.sets])
 
 
-def _links_within(bucket: int, one: pd.DataFrame, two: pd.DataFrame, least: int, percent: int) -> list[tuple[int, int]]:
+def _links_within(bucket: int, one: _Members, two: _Members, least: int, percent: int) -> list[tuple[int, int]]:
     """Links between rows of ``one`` and of ``two`` that are in different components."""
-    marks = np.frombuffer(b"".join(two["sketch"]), np.uint8).reshape(len(two), -1)
-    bands = np.stack(two["bands"].to_numpy())
-    band = int(np.argwhere(bands == bucket)[0, 1])
-    classes, parts = two["class"].to_numpy(), two["component"].to_numpy()
-    sets = [np.frombuffer(m, np.uint64) for m in two["members"]]
-    sizes = np.array([len(m) for m in sets])
+    band = int(np.argwhere(two.bands == bucket)[0, 1])
     found = []
-    for key, part, mark, own, members in zip(one["class"], one["component"], one["sketch"], one["bands"], one["members"], strict=True):
-        mine = np.frombuffer(members, np.uint64)
-        near = (parts != part) & (100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine)))
-        near &= ~(bands[:, :band] == np.asarray(own)[:band]).any(axis=1)
+    for key, part, mark, own, mine in zip(one.classes.tolist(), one.parts, one.marks, one.bands, one.sets, strict=True):
+        near = (two.parts != part) & (100 * np.minimum(two.sizes, len(mine)) >= percent * np.maximum(two.sizes, len(mine)))
+        near &= ~(two.bands[:, :band] == own[:band]).any(axis=1)
         near = np.flatnonzero(near)
-        near = near[(marks[near] == np.frombuffer(mark, np.uint8)).sum(axis=1) >= least]
-        if not len(near):
-            continue
-        theirs = np.concatenate([sets[i] for i in near])
-        place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-        shared = np.add.reduceat((mine[place] == theirs).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
-        alike = 100 * shared >= percent * (sizes[near] + len(mine) - shared)
-        found += [(min(key, c), max(key, c)) for c in classes[near[alike]].tolist()]
+        near = near[(two.marks[near] == mark).sum(axis=1) >= least]
+        for i in near.tolist():
+            theirs = two.sets[i]
+            place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            shared = int((mine[place] == theirs).sum())
+            if 100 * shared >= percent * (len(theirs) + len(mine) - shared):
+                other = int(two.classes[i])
+                found.append((min(key, other), max(key, other)))
     return found
 
 
@@ -281,7 +332,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     heads = worded.join(classes.select("h1", "h2", F.col("class").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
     marks = heads.select(F.col("doc_id").alias("class"), "sketch")
 
-    banded = heads.select(F.col("doc_id").alias("class"), F.explode("bands").alias("bucket"))
+    banded = heads.select(F.col("doc_id").alias("class"), F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
     # The first of a bucket is drawn by a hash, so that the buckets of a large group have different firsts.
     drawn = F.struct(F.xxhash64("bucket", "class"), "class")
     shared = banded.groupBy("bucket").agg(F.min(drawn)["class"].alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -296,13 +347,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = classes.select("class", F.col("class").alias("component")).distinct()
     # First the most alike partner of each class; then only what is still apart.
     best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")), "pairs")
-    labels = _merged(labels, _confirmed(best, sets, percent))
+    links = written(_confirmed(best, sets, percent), "links")
+    labels = _merged(labels, links)
     apart = _apart(pairs.join(best, ["a", "b"], "left_anti"), labels)
-    labels = _merged(labels, _confirmed(written(apart, "pairs"), sets, percent))
-    details = heads.select(F.col("doc_id").alias("class"), "sketch", "bands").join(sets, "class")
-    rest = written(_rest(buckets, labels, details, least, percent), "links")
-    if not rest.isEmpty():
-        labels = _merged(labels, rest)
+    more = written(_confirmed(written(apart, "pairs"), sets, percent), "links")
+    labels = _merged(labels, more)
+    # Large buckets that are still in parts: with their hubs, and then block by block.
+    placed, mains = _loose(buckets, labels)
+    if not mains.isEmpty():
+        hubs = _alike(_hub_pairs(placed, links.union(more)).join(pairs, ["a", "b"], "left_anti"), marks, least)
+        hubs = written(_confirmed(written(hubs, "pairs"), sets, percent), "links")
+        if not hubs.isEmpty():
+            labels = _merged(labels, hubs)
+            placed, mains = _loose(buckets, labels)
+        details = heads.select(F.col("doc_id").alias("class"), "sketch", "bands").join(sets, "class")
+        rest = written(_rest(placed, details, least, percent), "links")
+        if not rest.isEmpty():
+            labels = _merged(labels, rest)
 
     # Every row's class, the class's component, and for a repeated id the least of its rows'.
     of_class = classes.join(labels, "class").select("h1", "h2", "component")

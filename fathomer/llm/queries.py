@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomer.llm import decontaminate, html_text, langid, licenses, line_dedup, neardup, packing, quality, secrets, warc
+from fathomer.llm import decontaminate, html_text, langid, licenses, line_dedup, neardup, oracle, packing, quality, secrets, warc
 from fathomer.workspace import new_path, read_table
 
 
@@ -38,7 +38,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as archive records, read back and told apart by payload."""
     path = new_path(spark, "archives")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
-    return warc.with_revisits(warc.read_archives(spark, path))
+    return warc.resolved(warc.read_archives(spark, path))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every page, from its main text, markup and address."""
-    pages = _table(spark, sf_dir, "pages")
-    declared = pages.select("page_id", "url", F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1).alias("markup"))
-    texts = html_text.extract(pages).select("page_id", "text").join(declared, "page_id")
-    out = langid.identify(texts, id_col="page_id", declared_col="markup", host=langid.host_of(F.col("url")))
-    return out.withColumnRenamed("doc_id", "page_id")
+    return langid.of_pages(_table(spark, sf_dir, "pages"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,64 +95,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op4_minhash_near_dedup": r"""
-        WITH RECURSIVE words AS (
-            SELECT doc_id, regexp_extract_all(
-                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                       '[^\x20\x09-\x0D]+') AS w
-            FROM documents),
-        placed AS (
-            SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM words WHERE len(w) > 0),
-        grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS gram FROM placed),
-        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-        shared AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m
-            FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
-        links AS (
-            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-            WHERE 100 * m >= 80 * (x.n + y.n - m)),
-        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-        reached AS (
-            SELECT doc_id AS a, doc_id AS b FROM documents
-            UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a),
-        least AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
-        SELECT l.doc_id, coalesce(n, 0) AS n_shingles, component_id, l.doc_id = component_id AS kept
-        FROM least l LEFT JOIN sizes s ON s.doc_id = l.doc_id
-    """,
+    "op1_line_dedup": oracle.LINE_DEDUP,
     "op2_license_scan": licenses.oracle_sql(),
-    "op5_warc": r"""
-        WITH hashed AS (
-            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS hex
-            FROM pages),
-        digested AS (
-            SELECT page_id, payload_bytes, translate(
-                       to_base(('0x' || substr(hex, 1, 10))::BIGINT, 32, 8) || to_base(('0x' || substr(hex, 11, 10))::BIGINT, 32, 8) ||
-                       to_base(('0x' || substr(hex, 21, 10))::BIGINT, 32, 8) || to_base(('0x' || substr(hex, 31, 10))::BIGINT, 32, 8),
-                       '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
-            FROM hashed),
-        best AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM digested)
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id <> best THEN best END AS refers_to
-        FROM best
-    """,
-    "op1_line_dedup": r"""
-        WITH lines AS (
-            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-            FROM documents),
-        keyed AS (
-            SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-            FROM lines),
-        shared AS (
-            SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20
-            GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-        judged AS (
-            SELECT keyed.doc_id, pos, line, keeper IS NOT NULL AND keyed.doc_id <> keeper AS gone
-            FROM keyed LEFT JOIN shared ON keyed.k = shared.k)
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-        FROM judged GROUP BY doc_id
-    """,
+    "op3_decontamination": oracle.DECONTAMINATION,
+    "op4_minhash_near_dedup": oracle.NEAR_DEDUP,
+    "op5_warc": oracle.WARC,
+    "op6_quality_rules": oracle.quality_rules(quality.BUCKETS, quality.SHRINK, quality.THRESHOLD, quality.MAX_TRUSTED),
+    "op10_secret_scan": oracle.secret_scan(),
 }

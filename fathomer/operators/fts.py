@@ -1,10 +1,10 @@
 """Keyword search: a full-text query language, ranked by BM25.
 
 A query is parsed into a tree of phrases and turned into expressions over the
-token arrays of a row, so one pass over the rows gives matches, phrase counts
-and lengths; the corpus figures are one aggregate of the same pass.  ``Index``
-stores the token arrays once, with postings sorted by term for look-ups that
-should not read the corpus.
+places at which each row has the phrases' terms.  ``Index`` stores postings
+once, sorted by term, with each row's length, and answers from the postings of
+the query's terms alone, whose filter reaches the Parquet scan.  ``search``
+answers from token arrays without an index, in one pass over all rows.
 
 The language: barewords, ``"phrases"``, ``prefix*``, ``^first``, ``a + b``,
 ``column : term``, ``{a b} : term``, ``NEAR(a b, n)``, ``AND``, ``OR``, ``NOT``
@@ -225,44 +225,90 @@ def phrases(node: Node) -> list[Phrase]:
     return [node.phrase] if node.phrase else [p for part in node.parts for p in phrases(part)]
 
 
-def _starts(array: Column, phrase: Phrase) -> Column:
-    """The positions at which a phrase begins in a token array."""
-    last = len(phrase.terms) - 1
+class _Tokens:
+    """Where phrases begin in a row that has token arrays."""
 
-    def here(a: Column, first: Column, i: Column) -> Column:
-        fits = F.lit(True)
-        for k, term in enumerate(phrase.terms):
-            token = first if k == 0 else F.get(a, i + k)
-            same = F.coalesce(token.startswith(term) if phrase.prefix and k == last else token == term, F.lit(False))
-            fits = fits & same
-        return fits & (i == 0) if phrase.initial else fits
+    def __init__(self, columns: tuple[str, ...]) -> None:
+        self.columns = columns
 
-    found = let(array, lambda a: F.filter(F.transform(a, lambda t, i: F.when(here(a, t, i), i)), lambda p: p.isNotNull()))
-    return found if phrase.terms else F.array().cast("array<int>")
+    def starts(self, phrase: Phrase, column: str) -> Column:
+        last = len(phrase.terms) - 1
 
+        def here(a: Column, first: Column, i: Column) -> Column:
+            fits = F.lit(True)
+            for k, term in enumerate(phrase.terms):
+                token = first if k == 0 else F.get(a, i + k)
+                same = F.coalesce(token.startswith(term) if phrase.prefix and k == last else token == term, F.lit(False))
+                fits = fits & same
+            return fits & (i == 0) if phrase.initial else fits
 
-def _count(arrays: dict[str, Column], phrase: Phrase) -> Column:
-    if not phrase.terms:
-        return F.lit(0)
-    total = F.lit(0)
-    for name in phrase.columns if phrase.columns is not None else arrays:
+        return let(F.col(f"tok_{column}"), lambda a: F.filter(F.transform(a, lambda t, i: F.when(here(a, t, i), i)), lambda p: p.isNotNull()))
+
+    def count(self, phrase: Phrase, column: str) -> Column:
         if len(phrase.terms) == 1 and not phrase.initial:
             term = phrase.terms[0]
-            total = total + F.size(F.filter(arrays[name], lambda t: t.startswith(term) if phrase.prefix else t == term))
-        else:
-            total = total + F.size(_starts(arrays[name], phrase))
+            return F.size(F.filter(f"tok_{column}", lambda t: t.startswith(term) if phrase.prefix else t == term))
+        return F.size(self.starts(phrase, column))
+
+
+class _Places:
+    """Where phrases begin in a row that has the places of each of the query's terms."""
+
+    def __init__(self, columns: tuple[str, ...], known: list[Phrase]) -> None:
+        self.columns = columns
+        self.slots: dict[tuple[str, bool], int] = {}
+        for phrase in known:
+            for k, term in enumerate(phrase.terms):
+                self.slots.setdefault((term, phrase.prefix and k == len(phrase.terms) - 1), len(self.slots))
+
+    def wanted(self) -> Column:
+        """The postings that are needed."""
+        return _any([F.col("term").startswith(t) if prefix else F.col("term") == t for t, prefix in self.slots])
+
+    def gathered(self) -> list[Column]:
+        """Aggregates of a row's postings: the places of each term in each column."""
+        out = []
+        for (term, prefix), slot in self.slots.items():
+            same = F.col("term").startswith(term) if prefix else F.col("term") == term
+            out += [F.flatten(F.collect_list(F.when(same & (F.col("col") == c), F.col("positions")))).alias(f"p{slot}_{c}") for c in self.columns]
+        return out
+
+    def _places(self, phrase: Phrase, k: int, column: str) -> Column:
+        return F.col(f"p{self.slots[phrase.terms[k], phrase.prefix and k == len(phrase.terms) - 1]}_{column}")
+
+    def starts(self, phrase: Phrase, column: str) -> Column:
+        more = range(1, len(phrase.terms))
+
+        def here(p: Column) -> Column:
+            fits = p == 0 if phrase.initial else F.lit(True)
+            for k in more:
+                fits = fits & F.array_contains(self._places(phrase, k, column), p + k)
+            return fits
+
+        first = self._places(phrase, 0, column)
+        return F.filter(first, here) if phrase.initial or len(phrase.terms) > 1 else first
+
+    def count(self, phrase: Phrase, column: str) -> Column:
+        return F.size(self.starts(phrase, column))
+
+
+def _count(rows: _Tokens | _Places, phrase: Phrase) -> Column:
+    total = F.lit(0)
+    if phrase.terms:
+        for name in phrase.columns if phrase.columns is not None else rows.columns:
+            total = total + rows.count(phrase, name)
     return total
 
 
-def _near(arrays: dict[str, Column], node: Node) -> Column:
+def _near(rows: _Tokens | _Places, node: Node) -> Column:
     """Whether one column holds all phrases with at most ``gap`` tokens between them."""
     found = F.lit(False)
     parts = [p.phrase for p in node.parts]
-    for name in parts[0].columns if parts[0].columns is not None else arrays:
-        anchor = _starts(arrays[name], parts[0])
+    if not all(p.terms for p in parts):
+        return found
+    for name in parts[0].columns if parts[0].columns is not None else rows.columns:
         size = len(parts[0].terms)
-        near = F.lit(True)
-        spots = [_starts(arrays[name], p) for p in parts[1:]]
+        spots = [rows.starts(p, name) for p in parts[1:]]
 
         def close(i: Column, j: Column, other: Phrase) -> Column:
             between = F.when(j >= i, j - i - size).otherwise(i - j - len(other.terms))
@@ -274,15 +320,14 @@ def _near(arrays: dict[str, Column], node: Node) -> Column:
                 ok = ok & F.exists(spot, lambda j: close(i, j, other))
             return ok
 
-        near = F.exists(anchor, all_close)
-        found = found | near
+        found = found | F.exists(rows.starts(parts[0], name), all_close)
     return found
 
 
-def _matches(node: Node, counts: dict[Phrase, Column], arrays: dict[str, Column]) -> Column:
+def _matches(node: Node, counts: dict[Phrase, Column], rows: _Tokens | _Places) -> Column:
     if node.phrase:
         return counts[node.phrase] > 0 if node.phrase.terms else F.lit(True)
-    sides = [_matches(p, counts, arrays) for p in node.parts]
+    sides = [_matches(p, counts, rows) for p in node.parts]
     if node.kind == "or":
         return _any(sides)
     if node.kind == "not":
@@ -290,12 +335,12 @@ def _matches(node: Node, counts: dict[Phrase, Column], arrays: dict[str, Column]
     both = F.lit(True)
     for side in sides:
         both = both & side
-    return both & _near(arrays, node) if node.kind == "near" else both
+    return both & _near(rows, node) if node.kind == "near" else both
 
 
 def _any(sides: list[Column]) -> Column:
-    found = F.lit(False)
-    for side in sides:
+    found = sides[0]
+    for side in sides[1:]:
         found = found | side
     return found
 
@@ -328,19 +373,25 @@ def search(tokens_of: DataFrame, query: str, *, limit: int | None = 10, columns:
     known = list(dict.fromkeys(phrases(node))) if node else []
     if not any(p.terms for p in known):
         return tokens_of.sparkSession.createDataFrame([], _result_schema(tokens_of))
-    arrays = {c: F.col(f"tok_{c}") for c in columns}
-    counted = tokens_of.withColumns({f"tf{i}": _count(arrays, p) for i, p in enumerate(known)})
+    rows = _Tokens(columns)
+    counted = tokens_of.withColumns({f"tf{i}": _count(rows, p) for i, p in enumerate(known)})
     counts = {p: F.col(f"tf{i}") for i, p in enumerate(known)}
     tfs = [f"tf{i}" for i in range(len(known))]
     # The tokens are passed over once; what is written has a few numbers a row.
-    narrow = written(counted.select("id", "dl", *tfs, _matches(node, counts, arrays).alias("hit")), "term-counts")
+    narrow = written(counted.select("id", "dl", *tfs, _matches(node, counts, rows).alias("hit")), "term-counts")
     figures = narrow.agg(F.count("*").alias("n"), F.avg("dl").alias("average"), *[F.count_if(F.col(tf) > 0).alias(tf) for tf in tfs]).first()
-    score = F.lit(0.0)
-    for tf in tfs:
-        score = score + bm25(F.col(tf), F.lit(figures[tf]), F.lit(figures["n"]), F.col("dl"), F.lit(figures["average"]))
+    score = _score({tf: F.lit(figures[tf]) for tf in tfs}, figures["n"], figures["average"])
     return ranked(narrow.where("hit").select("id", score.alias("score")), limit)
 
 
+def _score(frequencies: dict[str, Column], n: int, average: float | None) -> Column:
+    """BM25 over the phrases, in order; ``frequencies`` has how many rows each count (``tf0`` ...) is not zero in."""
+    score = F.lit(0.0)
+    for tf, df in frequencies.items():
+        score = score + bm25(F.col(tf), df, F.lit(n), F.col("dl"), F.lit(average))
+    return score
+
+
 def _result_schema(rows: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType())])
 
@@ -354,17 +405,23 @@ def ranked(hits: DataFrame, limit: int | None) -> DataFrame:
 
 
 def postings(tokens_of: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """The inverted index: ``term, id, col, tf, positions``."""
-    parts = None
-    for c in columns:
-        one = tokens_of.select("id", F.lit(c).alias("col"), F.posexplode(f"tok_{c}").alias("pos", "term"))
-        parts = one if parts is None else parts.union(one)
-    return parts.groupBy("term", "id", "col").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """The inverted index: ``term, id, col, tf, positions, dl``.
+
+    Rows are dealt by id before their tokens are listed, so that tokens are
+    counted where they are.
+    """
+    dealt = tokens_of.repartition("id")
+
+    def listed(name: str) -> Column:
+        return F.transform(f"tok_{name}", lambda t, i: F.struct(F.lit(name).alias("col"), i.alias("pos"), t.alias("term")))
+
+    rows = dealt.select("id", "dl", F.inline(F.flatten(F.array(*map(listed, columns)))))
+    return rows.groupBy("term", "id", "col", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "id", "col", "tf", "positions", "dl")
 
 
 @dataclass
 class Index:
-    """Token arrays and postings, written once and read by every query.
+    """Postings and token arrays, written once and read by every query.
 
     Postings are range-partitioned and sorted by term, so a filter on terms
     skips all but a few row groups.
@@ -372,17 +429,45 @@ class Index:
 
     tokens_of: DataFrame
     postings: DataFrame
+    #: How many rows there are, and their mean length.
+    n: int
+    average: float
     columns: tuple[str, ...] = field(default=COLUMNS)
 
     @classmethod
-    def build(cls, rows: DataFrame, *, id_col: str = "id", columns: tuple[str, ...] = COLUMNS) -> Index:
-        arrays = written(tokenized(rows, id_col=id_col, columns=columns), "tokens")
+    def build(cls, rows: DataFrame, *, id_col: str = "id", columns: tuple[str, ...] = COLUMNS, folded: bool = True) -> Index:
+        arrays = written(tokenized(rows, id_col=id_col, columns=columns, folded=folded), "tokens")
         inverted = written(postings(arrays, columns).repartitionByRange("term").sortWithinPartitions("term", "id"), "postings")
-        return cls(arrays, inverted, columns)
+        figures = arrays.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
+        return cls(arrays, inverted, figures["n"], figures["average"] or 0.0, columns)
 
     def search(self, query: str, limit: int | None = 10) -> DataFrame:
-        return search(self.tokens_of, query, limit=limit, columns=self.columns)
+        """As ``fts.search``, from the postings of the query's terms.
+
+        Only rows that hold one of the terms are shuffled, with the places of
+        these terms.
+        """
+        limit = 10 if limit is not None and limit <= 0 else limit
+        node = parse(query, self.columns)
+        known = list(dict.fromkeys(phrases(node))) if node else []
+        if not all(p.terms for p in known) or not known:  # what has no terms may match all rows
+            return search(self.tokens_of, query, limit=limit, columns=self.columns)
+        rows = _Places(self.columns, known)
+        placed = self.postings.where(rows.wanted()).groupBy("id", "dl").agg(*rows.gathered())
+        counts = {p: F.col(f"tf{i}") for i, p in enumerate(known)}
+        tfs = [f"tf{i}" for i in range(len(known))]
+        counted = placed.withColumns({f"tf{i}": _count(rows, p) for i, p in enumerate(known)})
+        narrow = counted.select("id", "dl", *tfs, _matches(node, counts, rows).alias("hit"))
+        # One row, from the same postings.
+        figures = narrow.agg(F.struct(*[F.count_if(F.col(tf) > 0).alias(tf) for tf in tfs]).alias("df")).scalar()
+        score = _score({tf: figures[tf] for tf in tfs}, self.n, self.average)
+        return ranked(narrow.where("hit").select("id", score.alias("score")), limit)
 
     def document_frequency(self, terms: list[str]) -> DataFrame:
         """``term, df``, read from the postings of the terms alone."""
         return self.postings.where(F.col("term").isin(*terms)).groupBy("term").agg(F.countDistinct("id").alias("df"))
+
+
+def find(source: Index | DataFrame, query: str, *, limit: int | None = 10, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """``search`` over an index or, without one, over token arrays."""
+    return source.search(query, limit) if isinstance(source, Index) else search(source, query, limit=limit, columns=columns)

@@ -40,6 +40,14 @@ def similarities(embeddings: DataFrame, query: Sequence[float], *, model: str |
     return rows.select(F.col("symbol_id").alias("id"), cosine(F.col("vector"), query).alias("cosine"))
 
 
+def nearest(embeddings: DataFrame, query: Sequence[float], limit: int = 10, *, model: str | None = None, digits: int | None = None) -> DataFrame:
+    """``id, cosine`` of the ``limit`` most similar vectors, ties by id; ``digits`` rounds first."""
+    found = similarities(embeddings, query, model=model)
+    if digits is not None:
+        found = found.withColumn("cosine", F.round("cosine", digits))
+    return found.orderBy(F.desc("cosine"), "id").limit(limit)
+
+
 def semantic_search(
     symbols: DataFrame, embeddings: DataFrame, query: Sequence[float], limit: int = 10, *, model: str | None = None, digits: int | None = None, dedup: bool = True
 ) -> DataFrame:
@@ -51,17 +59,21 @@ def semantic_search(
     """
     limit = at_least_one(limit)
     rounded = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    raw = similarities(embeddings, query, model=model).withColumn("cosine", rounded(F.col("cosine")))
-    best = raw.orderBy(F.desc("cosine"), "id").limit(OVERSELECT * limit)
+    best = nearest(embeddings, query, OVERSELECT * limit, model=model, digits=digits)
     scored = symbols.join(F.broadcast(best), "id").withColumn("score", rounded(F.col("cosine") * tier_weight(F.col("source_tier"))))
     top = with_rank(scored.drop("cosine").orderBy(F.desc("score"), "id").limit(limit), F.desc("score"), "id")
     return dedup_by_name_kind(top) if dedup else top
 
 
-def keyword_search(symbols: DataFrame, tokens_of: DataFrame, query: str, limit: int = 10, *, columns: tuple[str, ...] = fts.COLUMNS) -> DataFrame:
+def keyword_search(symbols: DataFrame, tokens_of: fts.Index | DataFrame, query: str, limit: int = 10, *, columns: tuple[str, ...] = fts.COLUMNS) -> DataFrame:
     """Symbols by BM25: symbol columns, ``score``, ``rank``."""
-    hits = fts.search(tokens_of, query, limit=at_least_one(limit), columns=columns)
-    return symbols.join(F.broadcast(hits), "id")
+    hits = fts.find(tokens_of, query, limit=at_least_one(limit), columns=columns)
+    return symbols.join(F.broadcast(hits), "id")  # ``limit`` rows
+
+
+def with_symbols(symbols: DataFrame, hits: DataFrame) -> DataFrame:
+    """All hits of a keyword search with their symbols' columns; hits may be many."""
+    return symbols.join(hits, "id")
 
 
 def cleaned(symbols: DataFrame, query: str) -> str:
@@ -81,7 +93,7 @@ def fuse(semantic: DataFrame, keyword: DataFrame, *, absent: int) -> DataFrame:
 def hybrid_search(
     symbols: DataFrame,
     embeddings: DataFrame,
-    tokens_of: DataFrame,
+    tokens_of: fts.Index | DataFrame,
     vector: Sequence[float],
     query: str,
     limit: int = 10,
@@ -103,9 +115,9 @@ def hybrid_search(
     if not strict:
         terms = " ".join('"' + t + '"' for t in terms.split())
     try:
-        found = fts.search(tokens_of, terms, limit=wide, columns=columns)
+        found = fts.find(tokens_of, terms, limit=wide, columns=columns)
     except fts.QueryError:
-        found = fts.search(tokens_of, "", limit=wide, columns=columns)
+        found = fts.find(tokens_of, "", limit=wide, columns=columns)
     semantic = semantic_search(symbols, embeddings, vector, wide, digits=digits, model=model)
     fused = fuse(semantic, found, absent=wide + 100)
     if digits is not None:
@@ -115,13 +127,9 @@ def hybrid_search(
     return dedup_by_name_kind(top)
 
 
-def connections(names: DataFrame, edges: DataFrame, *, small: bool = True) -> DataFrame:
-    """``name, connections``: ends of different calls among the names; a call to itself counts twice.
-
-    ``small`` names, such as a result list, are broadcast; else Spark chooses.
-    """
+def connections(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """``name, connections``: ends of different calls among the names; a call to itself counts twice."""
     some = names.select("name").distinct()
-    some = F.broadcast(some) if small else some
     inside = (
         edges.select(F.col("caller_symbol").alias("caller"), F.col("callee_symbol").alias("callee"))
         .join(some.withColumnRenamed("name", "caller"), "caller", "left_semi")
@@ -150,7 +158,7 @@ def search(
     *,
     symbols: DataFrame,
     embeddings: DataFrame,
-    tokens_of: DataFrame,
+    tokens_of: fts.Index | DataFrame,
     edges: DataFrame,
     embed: Callable[[str], Sequence[float]],
     limit: int = 10,

@@ -2,18 +2,25 @@
 
 The tables hold no source code, so they stand in for it: ``documents`` for
 symbols, ``embeddings`` for their vectors, consecutive parts of an order for
-calls, ``events`` for file changes.
+calls, ``events`` for file changes; parsers get sources that are made for each
+row of ``supplier`` (``plans.samples``).
+
+What an index holds is made once an application, as an index is: the token
+postings and the call edges.  All else is computed by each query.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomer.functions import text as T
 from fathomer.functions import tiers
 from fathomer.operators import fts, graph, search, tables
-from fathomer.workspace import read_table
+from fathomer.plans.samples import SAMPLES
+from fathomer.workspace import once, read_table, written
 
 _DOC = ("doc_comment",)
 _QUERY = "the that with"
@@ -57,20 +64,29 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
-    """Consecutive parts of an order as caller and callee."""
-    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    later = lines.select("l_orderkey", F.col("l_partkey").alias("callee_symbol"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
-    return lines.join(later, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("caller_symbol"), "callee_symbol").distinct()
+    """Consecutive parts of an order as caller and callee: the table of call edges."""
+
+    def build() -> DataFrame:
+        lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+        later = lines.select("l_orderkey", F.col("l_partkey").alias("callee_symbol"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
+        edges = lines.join(later, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("caller_symbol"), "callee_symbol").distinct()
+        return written(edges, "call-edges")
+
+    return once(spark, "calls", sf, build)
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("name"), "p_brand")
 
 
-def _vector(spark: SparkSession, sf: str, key: int = 0) -> list[float]:
-    """The vector of one row, as a query."""
-    row = vectors(spark, sf).where(F.col("symbol_id") == key).select("vector").first()
-    return [float(x) for x in row[0]] if row else []
+def _vector(spark: SparkSession, sf: str) -> list[float]:
+    """The vector of row 0, as a query: what a model would give."""
+
+    def build() -> list[float]:
+        row = vectors(spark, sf).where("symbol_id = 0").select("vector").first()
+        return [float(x) for x in row[0]] if row else []
+
+    return once(spark, "query-vector", sf, build)
 
 
 # -- projections and look-ups -------------------------------------------------------------------
@@ -95,9 +111,10 @@ def symbols_by_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def symbol_json(spark: SparkSession, sf: str) -> DataFrame:
-    """The lines, range and member name that result lists show."""
-    s = symbols(spark, sf)
-    return s.select("id", T.line_range(F.col("start_line"), F.col("end_line")).alias("lines"), T.member_name(F.col("receiver"), F.col("name")).alias("member"))
+    """Each symbol as result lists show it."""
+    from fathomer.plans.tools import symbol_json as shown
+
+    return symbols(spark, sf).select("id", F.to_json(shown()).alias("json"))
 
 
 def id_build(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,8 +159,20 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     return fts.tokenized(symbols(spark, sf), columns=_DOC, folded=False)
 
 
+def _index(spark: SparkSession, sf: str) -> fts.Index:
+    """Postings of the texts, as they are written."""
+    return once(spark, "index", sf, lambda: fts.Index.build(symbols(spark, sf), columns=_DOC, folded=False))
+
+
+def _full_index(spark: SparkSession, sf: str) -> fts.Index:
+    """Postings of all columns, folded: what search uses by default."""
+    return once(spark, "full-index", sf, lambda: fts.Index.build(symbols(spark, sf)))
+
+
 def tokenize_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return fts.postings(_tokens(spark, sf), _DOC).select("term", "id", "tf", F.col("positions")[0].alias("first_pos"))
+    """The inverted index, made anew."""
+    places = F.array_join(F.transform("positions", lambda p: p.cast("string")), ",")
+    return fts.postings(_tokens(spark, sf), _DOC).select("term", "id", "tf", "dl", places.alias("positions"))
 
 
 def doc_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,18 +188,41 @@ def df_table(spark: SparkSession, sf: str) -> DataFrame:
     return distinct.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _keyword(spark: SparkSession, sf: str, query: str, limit: int | None = None) -> DataFrame:
-    hits = fts.search(_tokens(spark, sf), query, limit=limit, columns=_DOC)
-    return hits.select("id", F.round("score", 6).alias("score"))
+def _keyword(spark: SparkSession, sf: str, query: str) -> DataFrame:
+    return _index(spark, sf).search(query, None).select("id", F.round("score", 6).alias("score"))
 
 
 def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     return _keyword(spark, sf, _QUERY)
 
 
+def keyword_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without an index, from the tokens of all rows."""
+    return fts.search(_tokens(spark, sf), _QUERY, limit=None, columns=_DOC).select("id", F.round("score", 6).alias("score"))
+
+
 def keyword_top10(spark: SparkSession, sf: str) -> DataFrame:
-    out = fts.search(_tokens(spark, sf), _QUERY, limit=10, columns=_DOC)
-    return out.select("id", "rank")
+    return _index(spark, sf).search(_QUERY, 10).select("id", "rank")
+
+
+def keyword_default(spark: SparkSession, sf: str) -> DataFrame:
+    """The best fifty over all columns, folded."""
+    return _full_index(spark, sf).search("Thé OR ciON*", 50).select("id", F.round("score", 6).alias("score"), "rank")
+
+
+def keyword_column(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of one column, and terms of any other."""
+    return _full_index(spark, sf).search("name : the -name : of", None).select("id", F.round("score", 6).alias("score"))
+
+
+def _matched(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _full_index(spark, sf).search("^the OR \"que la\"", None)
+    return search.with_symbols(symbols(spark, sf), hits)
+
+
+def keyword_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that begin with a term, or hold a phrase in any column, with their symbols."""
+    return _matched(spark, sf).select("id", "name", "kind", F.round("score", 6).alias("score"))
 
 
 def keyword_or(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,8 +255,8 @@ def cosine_all(spark: SparkSession, sf: str) -> DataFrame:
 
 def semantic_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The best ten vectors for the query vector: the flagship."""
-    best = cosine_all(spark, sf).orderBy(F.desc("cosine"), "vec_id").limit(10)
-    return search.with_rank(best, F.desc("cosine"), "vec_id")
+    best = search.nearest(vectors(spark, sf), _vector(spark, sf), 10, digits=6)
+    return search.with_rank(best, F.desc("cosine"), "id").select(F.col("id").alias("vec_id"), "cosine", "rank")
 
 
 def _semantic(spark: SparkSession, sf: str, **options: object) -> DataFrame:
@@ -231,7 +283,7 @@ def knn_per_label(spark: SparkSession, sf: str) -> DataFrame:
 
 def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     semantic = search.semantic_search(symbols(spark, sf), vectors(spark, sf), _vector(spark, sf), 30, digits=6)
-    keyword = fts.search(_tokens(spark, sf), _QUERY, limit=30, columns=_DOC)
+    keyword = _index(spark, sf).search(_QUERY, 30)
     return semantic, keyword
 
 
@@ -242,7 +294,7 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    out = search.hybrid_search(symbols(spark, sf), vectors(spark, sf), _tokens(spark, sf), _vector(spark, sf), "thing with that", 10, columns=_DOC, digits=9)
+    out = search.hybrid_search(symbols(spark, sf), vectors(spark, sf), _index(spark, sf), _vector(spark, sf), "thing with that", 10, digits=9)
     return out.select("id", "rank")
 
 
@@ -269,12 +321,8 @@ def blast_radius(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def connection_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return search.connections(parts(spark, sf).where("id < 200"), calls(spark, sf))
-
-
-def connection_counts_all(spark: SparkSession, sf: str) -> DataFrame:
     """The calls among all parts, by part."""
-    return search.connections(parts(spark, sf), calls(spark, sf), small=False)
+    return search.connections(parts(spark, sf), calls(spark, sf))
 
 
 def _traverse(spark: SparkSession, sf: str, depth: int) -> DataFrame:
@@ -292,8 +340,11 @@ def traverse_d3(spark: SparkSession, sf: str) -> DataFrame:
 
 def call_lists(spark: SparkSession, sf: str) -> DataFrame:
     """The ordered callees of each caller, as one text."""
-    grouped = calls(spark, sf).groupBy("caller_symbol").agg(F.sort_array(F.collect_list("callee_symbol")).alias("c"))
-    return grouped.select("caller_symbol", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("callees"))
+    from fathomer.plans.ingest import in_order
+
+    edges = calls(spark, sf).withColumn("seq", F.col("callee_symbol"))
+    listed = in_order(edges, [F.col("caller_symbol")], "callee_symbol")
+    return listed.select("caller_symbol", F.array_join(F.transform("callee_symbols", lambda x: x.cast("string")), ",").alias("callees"))
 
 
 # -- tables -------------------------------------------------------------------------------------
@@ -348,17 +399,16 @@ def _chosen(spark: SparkSession) -> DataFrame:
 
 
 def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """How many rows each table keeps when two files go."""
-    left = tables.delete_files(_indexed(spark, sf), _chosen(spark))
-    return _sizes(left)
+    """What each table keeps when two files go."""
+    return _keys(tables.delete_files(_indexed(spark, sf), _chosen(spark)))
 
 
 def delete_keep_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _sizes(tables.delete_files(_indexed(spark, sf), _chosen(spark), keep_orphan_edges=True))
+    return _keys(tables.delete_files(_indexed(spark, sf), _chosen(spark), keep_orphan_edges=True))
 
 
 def replace_by_file(spark: SparkSession, sf: str) -> DataFrame:
-    """How many rows each table has when two files are replaced by their even symbols."""
+    """What each table holds when two files are replaced by their even symbols and the imports of one kind."""
     now = _indexed(spark, sf)
     chosen = ["src1", "src2"]
     even = now["symbols"].where(F.col("file").isin(chosen) & (F.col("id") % 2 == 0))
@@ -366,15 +416,22 @@ def replace_by_file(spark: SparkSession, sf: str) -> DataFrame:
         "files": now["files"].where(F.col("path").isin(chosen)),
         "symbols": even,
         "call_edges": now["call_edges"].where(F.col("caller_file").isin(chosen) & (F.col("line") % 2 == 0)),
-        "import_edges": now["import_edges"].where("1 = 0"),
+        "import_edges": now["import_edges"].where(F.col("importer_file").isin(chosen) & (F.col("imported_path") == "en")),
     }
-    return _sizes(tables.replace_files(now, parsed, _chosen(spark)))
+    return _keys(tables.replace_files(now, parsed, _chosen(spark)))
+
+
+_KEY_COLUMNS = {
+    "files": ("path",), "symbols": ("file", "id"), "embeddings": ("symbol_id",), "import_edges": ("importer_file", "imported_path"),
+    "call_edges": ("caller_file", "caller_symbol", "callee_symbol", "line"),
+}
 
 
-def _sizes(found: dict[str, DataFrame]) -> DataFrame:
+def _keys(found: dict[str, DataFrame]) -> DataFrame:
+    """``table, key``: a row for each row of each table."""
     out = None
     for name, table in sorted(found.items()):
-        one = table.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        one = table.select(F.lit(name).alias("table"), F.concat_ws("|", *[F.col(c).cast("string") for c in _KEY_COLUMNS[name]]).alias("key"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -387,12 +444,15 @@ def edges_dedup_pk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
-    """The text by which each symbol is embedded, with the callees of the part of its number."""
-    grouped = calls(spark, sf).groupBy(F.col("caller_symbol").alias("id")).agg(F.sort_array(F.collect_list("callee_symbol")).alias("c"))
-    joined = symbols(spark, sf).join(grouped, "id", "left")
-    names = F.transform(F.coalesce("c", F.array().cast("array<bigint>")), lambda x: x.cast("string"))
-    text = T.embed_text(F.col("file"), F.col("kind"), F.col("name"), receiver=F.col("receiver"), doc=T.first_line(F.col("doc_comment")), calls=names)
-    return joined.select("id", text.alias("text"))
+    """The text by which each symbol is embedded, with its first 80 characters as snippet, the callees of the part of its number, and its file's kinds as imports."""
+    from fathomer.plans.ingest import enriched
+
+    shown = symbols(spark, sf).withColumns({"snippet": F.left(F.coalesce("doc_comment", F.lit("")), F.lit(80)), "doc_comment": T.first_line(F.col("doc_comment"))})
+    own = shown.select(F.col("id").alias("caller_symbol_id"), F.col("file").alias("caller_file"), F.col("name").alias("caller_symbol"))
+    edges = calls(spark, sf).select(F.col("caller_symbol").alias("caller_symbol_id"), F.col("callee_symbol").cast("string").alias("callee_symbol"), F.col("callee_symbol").alias("seq"))
+    edges = edges.join(own, "caller_symbol_id").select("caller_file", "caller_symbol", "callee_symbol", "seq").distinct()
+    imports = shown.select(F.col("file").alias("importer_file"), F.col("kind").alias("imported_path"), F.ascii("kind").alias("seq")).distinct()
+    return enriched(shown, edges, imports).select(F.col("symbol_id").alias("id"), "text")
 
 
 def doc_symbol(spark: SparkSession, sf: str) -> DataFrame:
@@ -471,21 +531,44 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents through the default embedder."""
+    """Documents through the default embedder: the numbers that are not zero."""
     from fathomer.sources.embedders import HashingEmbedder, embed_rows
 
-    rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("symbol_id"), "text")
-    return embed_rows(rows, HashingEmbedder(32)).select("symbol_id", "model", "dims")
+    rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("symbol_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = embed_rows(rows, HashingEmbedder(32)).select("symbol_id", "model", "dims", F.posexplode("vector").alias("place", "value"))
+    return found.where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 5))
+
 
+def embed_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries through the cache of two: how often the model was asked, and what came out."""
+    from fathomer.sources.embedders import cache_trace
 
-def go_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """Symbols and calls of a synthetic tree with a file for each benchmark item."""
+    asked = _t(spark, sf, "region").select("r_regionkey").orderBy("r_regionkey")
+    return cache_trace(spark, [r[0] % 3 for r in asked.collect()] * 2, size=2)  # five rows at any size
+
+
+def _sample(spark: SparkSession, sf: str, language: str) -> DataFrame:
+    """What the parser of a language finds in a source for each supplier."""
+    from fathomer.plans import samples
     from fathomer.sources.parsing import parse_files
-    from fathomer.sources.synthetic import go_files
 
-    found = parse_files(go_files(spark, _t(spark, sf, "benchmark").count()))
-    calls_of = found["call_edges"].groupBy(F.col("caller_file").alias("file"), F.col("caller_symbol").alias("name")).agg(F.count("*").alias("calls"))
-    return found["symbols"].select("id", "file", "name", "kind", "start_line", "end_line", "receiver").join(calls_of, ["file", "name"], "left")
+    return samples.flat(parse_files(samples.files(_t(spark, sf, "supplier"), language)))
+
+
+def synthetic_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols and calls by file of a synthetic tree with a file for each customer."""
+    from fathomer.sources.parsing import parse_files
+    from fathomer.sources.synthetic import LANGUAGES, source_files
+
+    out = None
+    for language in LANGUAGES:
+        found = parse_files(source_files(_t(spark, sf, "customer").select(F.col("c_custkey").alias("id")), language))
+        kinds = ("struct", "method", "function")
+        counts = found["symbols"].groupBy(F.col("file").alias("path")).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+        edges = found["call_edges"].groupBy(F.col("caller_file").alias("path")).agg(F.count("*").alias("calls"))
+        one = counts.join(edges, "path", "left").select("path", *kinds, F.coalesce("calls", F.lit(0)).alias("calls"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 QUERIES = {
@@ -495,9 +578,10 @@ QUERIES = {
     qualified_split extract_keywords source_tier tier_histogram tokenize_postings doc_stats corpus_stats df_table
     keyword_search keyword_top10 keyword_or keyword_not keyword_prefix keyword_phrase keyword_near cosine_all
     semantic_topk semantic_tiered semantic_dedup knn_per_label hybrid_rrf hybrid_dedup rerank_call_graph callees callers
-    blast_radius connection_counts connection_counts_all traverse_d1 traverse_d3 call_lists missing_embeddings incremental_skip
+    blast_radius connection_counts traverse_d1 traverse_d3 call_lists missing_embeddings incremental_skip
     reconcile_stale upsert_rows delete_cascade delete_keep_edges replace_by_file edges_dedup_pk embed_text doc_symbol
     percentiles_nearest_rank latency_rollup debounce_sessions index_counters html_symbols
-    route_files ignore_filter vector_codec content_hashes embed_documents go_symbols
+    route_files ignore_filter vector_codec content_hashes embed_documents embed_cached synthetic_trees
+    keyword_scan keyword_default keyword_column keyword_first
     """.split()
-}
+} | {f"{language}_symbols": functools.partial(_sample, language=language) for language in SAMPLES if language != "html"}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from fathomer.functions.text import STOPWORDS
+from fathomer.functions.xxh_sql import text_hashes
+from fathomer.plans import samples
 
 _PATH = """CASE doc_id % 6 WHEN 0 THEN 'src/d' || doc_id || '.go' WHEN 1 THEN 'docs/d' || doc_id || '.go'
     WHEN 2 THEN 'vendor/d' || doc_id || '.go' WHEN 3 THEN 'rel' || doc_id || '/CHANGELOG.md'
@@ -24,26 +26,40 @@ _COS = """q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
     cos AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS cosine FROM embeddings, q)"""
 
 
-def _bm25(counts: list[str], match: str, digits: int = 6) -> str:
+#: Tokens of the name and of the text, without marks.
+_FOLDED = rf"""{_SYM}, toks AS (
+    SELECT id, regexp_extract_all(strip_accents(lower(name)), '[\p{{L}}\p{{N}}]+') AS nm,
+           regexp_extract_all(strip_accents(lower(coalesce(doc_comment, ''))), '[\p{{L}}\p{{N}}]+') AS t FROM sym)"""
+
+
+def _bm25(counts: list[str], match: str, digits: int = 6, toks: str = _TOK, length: str = "len(t)") -> str:
     """Scores of all matches; ``counts`` are the phrases' counts over the tokens ``t``."""
     tfs = ", ".join(f"{c} AS tf{i}" for i, c in enumerate(counts))
     dfs = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(counts)))
     part = "greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * (tf{i} * 2.2) / (tf{i} + 1.2 * (0.25 + 0.75 * dl / average))"
     score = " + ".join(part.format(i=i) for i in range(len(counts)))
-    return f"""{_TOK},
-        tf AS (SELECT id, len(t) AS dl, {tfs} FROM toks),
+    return f"""{toks},
+        tf AS (SELECT id, {length} AS dl, {tfs} FROM toks),
         fig AS (SELECT count(*) AS n, avg(dl) AS average, {dfs} FROM tf),
         hits AS (SELECT id, round({score}, {digits}) AS score, {score} AS exact FROM tf, fig WHERE {match})"""
 
 
-def _term(term: str) -> str:
-    return f"len(list_filter(t, lambda x: x = '{term}'))"
+def _term(term: str, tokens: str = "t") -> str:
+    return f"len(list_filter({tokens}, lambda x: x = '{term}'))"
+
+
+def _prefix(term: str, tokens: str = "t") -> str:
+    return f"len(list_filter({tokens}, lambda x: starts_with(x, '{term}')))"
 
 
 def _phrase(a: str, b: str) -> str:
     return f"len(list_filter(range(1, len(t)), lambda i: t[i] = '{a}' AND t[i + 1] = '{b}'))"
 
 
+def _folded(counts: list[str], match: str) -> str:
+    return _bm25(counts, match, toks=_FOLDED, length="len(t) + len(nm)")
+
+
 _THREE = _bm25([_term("the"), _term("that"), _term("with")], "tf0 > 0 AND tf1 > 0 AND tf2 > 0")
 
 
@@ -69,25 +85,40 @@ def _reach(depth: int) -> str:
         SELECT id, min(hop)::BIGINT AS hop FROM walk GROUP BY id"""
 
 
-def _sizes(files: str, symbols: str, embeddings: str, calls: str, imports: str) -> str:
-    """Row counts of the five tables under a condition each."""
+def _keys(files: str, symbols: str, embeddings: str, calls: str, imports: str) -> str:
+    """The keys of the five tables under a condition each."""
     return f"""WITH {_SYM}
-        SELECT 'files' AS name, count(*) AS n FROM (SELECT DISTINCT file FROM sym) WHERE {files}
-        UNION ALL SELECT 'symbols', count(*) FROM sym WHERE {symbols}
-        UNION ALL SELECT 'embeddings', count(*) FROM embeddings LEFT JOIN sym ON id = vec_id WHERE {embeddings}
-        UNION ALL SELECT 'call_edges', count(*) FROM (SELECT DISTINCT file, name, kind, start_line FROM sym) WHERE {calls}
-        UNION ALL SELECT 'import_edges', count(*) FROM (SELECT DISTINCT file, kind FROM sym) WHERE {imports}"""
+        SELECT 'files' AS "table", file AS key FROM (SELECT DISTINCT file FROM sym) WHERE {files}
+        UNION ALL SELECT 'symbols', concat_ws('|', file, id) FROM sym WHERE {symbols}
+        UNION ALL SELECT 'embeddings', vec_id::VARCHAR FROM embeddings LEFT JOIN sym ON id = vec_id WHERE {embeddings}
+        UNION ALL SELECT 'call_edges', concat_ws('|', file, name, kind, start_line) FROM (SELECT DISTINCT file, name, kind, start_line FROM sym) WHERE {calls}
+        UNION ALL SELECT 'import_edges', concat_ws('|', file, kind) FROM (SELECT DISTINCT file, kind FROM sym) WHERE {imports}"""
 
 
 _OUT = "file NOT IN ('src1', 'src2')"
 
+
+def _drawn(salt: str, low: int, high: int) -> str:
+    return f"(('0x' || substr(md5('42:' || c_custkey || ':{salt}'), 1, 8))::BIGINT % {high - low + 1} + {low})"
+
+
+_TREES = f"SELECT c_custkey AS k, {_drawn('types', 2, 4)} AS t, {_drawn('methods', 2, 4)} AS m, {_drawn('functions', 3, 7)} AS f FROM customer"
+
+
+def _plain(x: str) -> str:
+    for written, meant in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{written}', {meant})"
+    return x
+
+
 ORACLE_SQL = {
     "symbol_by_id": f"WITH {_SYM} SELECT {_BRIEF} FROM sym WHERE id = 7",
     "symbols_by_file": f"WITH {_SYM} SELECT {_BRIEF} FROM sym WHERE file = 'src3' ORDER BY start_line",
     "symbols_by_ids": f"WITH {_SYM} SELECT {_BRIEF} FROM sym WHERE id IN (3, 5, 8, 13, 21, 1000000000)",
     "symbols_by_names": f"WITH {_SYM} SELECT {_BRIEF} FROM sym WHERE name IN ('the', 'la', 'and')",
-    "symbol_json": f"""WITH {_SYM} SELECT id, start_line || '-' || end_line AS lines,
-        CASE WHEN receiver <> '' THEN receiver || '.' || name ELSE name END AS member FROM sym""",
+    "symbol_json": f"""WITH {_SYM} SELECT id, '{{"file":' || to_json(file) || ',"name":' || to_json(name) || ',"kind":' || to_json(kind)
+        || ',"signature":"","lines":"' || start_line || '-' || end_line || '"' || CASE WHEN doc_comment <> '' THEN ',"doc":' || to_json(doc_comment) ELSE '' END
+        || CASE WHEN receiver <> '' THEN ',"receiver":' || to_json(receiver) ELSE '' END || '}}' AS json FROM sym""",
     "id_build": f"""WITH {_SYM} SELECT id, file || ':' || CASE WHEN receiver <> '' THEN receiver || '.' ELSE '' END || name || ':' || kind
         AS symbol_id FROM sym""",
     "first_line": "SELECT doc_id, trim(split_part(split_part(coalesce(text, ''), chr(10), 1), '{', 1)) AS line FROM documents",
@@ -103,12 +134,18 @@ ORACLE_SQL = {
         SELECT item_id, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i)[1:12], ' ') AS keywords FROM kept""",
     "source_tier": f"SELECT doc_id, tier, {_WEIGHT} AS weight FROM (SELECT doc_id, {_TIER} AS tier FROM documents)",
     "tier_histogram": f"SELECT tier, count(*) AS n FROM (SELECT {_TIER} AS tier FROM documents) GROUP BY tier",
-    "tokenize_postings": f"""WITH {_TOK}, occ AS (SELECT id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM toks)
-        SELECT term, id, count(*) AS tf, min(pos)::INTEGER AS first_pos FROM occ GROUP BY term, id""",
+    "tokenize_postings": f"""WITH {_TOK}, occ AS (SELECT id, len(t)::INTEGER AS dl, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM toks)
+        SELECT term, id, count(*) AS tf, dl, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM occ GROUP BY term, id, dl""",
     "doc_stats": f"WITH {_TOK} SELECT id, len(t)::INTEGER AS dl FROM toks",
     "corpus_stats": f"WITH {_TOK} SELECT count(*) AS n, round(avg(len(t)), 6) AS avgdl FROM toks",
     "df_table": f"WITH {_TOK} SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(t) AS term FROM toks) GROUP BY term",
     "keyword_search": f"WITH {_THREE} SELECT id, score FROM hits",
+    "keyword_scan": f"WITH {_THREE} SELECT id, score FROM hits",
+    "keyword_default": f"""WITH {_folded([f"{_term('the')} + {_term('the', 'nm')}", f"{_prefix('cion')} + {_prefix('cion', 'nm')}"], "tf0 > 0 OR tf1 > 0")}
+        SELECT id, score, row_number() OVER (ORDER BY exact DESC, id) AS rank FROM hits QUALIFY rank <= 50""",
+    "keyword_column": f"""WITH {_folded([_term("the", "nm"), _term("of")], "tf0 > 0 AND tf1 > 0")} SELECT id, score FROM hits""",
+    "keyword_first": f"""WITH {_folded(["coalesce((nm[1] = 'the')::INTEGER, 0) + coalesce((t[1] = 'the')::INTEGER, 0)", _phrase("que", "la")], "tf0 > 0 OR tf1 > 0")}
+        SELECT hits.id, name, kind, score FROM hits JOIN sym ON sym.id = hits.id""",
     "keyword_top10": f"WITH {_THREE} SELECT id, row_number() OVER (ORDER BY exact DESC, id) AS rank FROM hits QUALIFY rank <= 10",
     "keyword_or": f"""WITH {_bm25([_term("thing"), _term("estiin"), _term("citación")], "tf0 > 0 OR tf1 > 0 OR tf2 > 0")} SELECT id, score FROM hits""",
     "keyword_not": f"""WITH {_bm25([_term("the"), _term("that")], "tf0 > 0 AND NOT tf1 > 0")} SELECT id, score FROM hits""",
@@ -142,8 +179,8 @@ ORACLE_SQL = {
     "callees": f"WITH {_CALLS} SELECT DISTINCT callee AS name FROM calls WHERE caller = 1",
     "callers": f"WITH {_CALLS} SELECT DISTINCT caller AS name FROM calls WHERE callee = 1",
     "blast_radius": f"WITH {_CALLS} SELECT p_partkey AS id, p_brand FROM part WHERE p_partkey IN (SELECT caller FROM calls WHERE callee = 1)",
-    "connection_counts": f"""WITH {_CALLS}, pairs AS (SELECT * FROM calls WHERE caller IN (SELECT p_partkey FROM part WHERE p_partkey < 200)
-            AND callee IN (SELECT p_partkey FROM part WHERE p_partkey < 200))
+    "connection_counts": f"""WITH {_CALLS}, pairs AS (SELECT * FROM calls WHERE caller IN (SELECT p_partkey FROM part)
+            AND callee IN (SELECT p_partkey FROM part))
         SELECT name, count(*) AS connections FROM (SELECT caller AS name FROM pairs UNION ALL SELECT callee FROM pairs) GROUP BY name""",
     "traverse_d1": _reach(1),
     "traverse_d3": _reach(3),
@@ -153,17 +190,21 @@ ORACLE_SQL = {
         FROM documents WHERE doc_id % 13 <> 0 AND (doc_id % 7 = 0 OR doc_id % 11 = 0)""",
     "reconcile_stale": "SELECT doc_id::VARCHAR AS path FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 = 0",
     "upsert_rows": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'REBUILT' ELSE c_mktsegment END AS c_mktsegment FROM customer",
-    "delete_cascade": _sizes(_OUT, _OUT, "file IS NULL OR " + _OUT, _OUT, _OUT),
-    "delete_keep_edges": _sizes(_OUT, _OUT, "file IS NULL OR " + _OUT, "TRUE", "TRUE"),
-    "replace_by_file": _sizes("TRUE", f"{_OUT} OR id % 2 = 0", f"{_OUT} OR id % 2 = 0", f"{_OUT} OR start_line % 2 = 0", _OUT),
+    "delete_cascade": _keys(_OUT, _OUT, "file IS NULL OR " + _OUT, _OUT, _OUT),
+    "delete_keep_edges": _keys(_OUT, _OUT, "file IS NULL OR " + _OUT, "TRUE", "TRUE"),
+    "replace_by_file": _keys("TRUE", f"{_OUT} OR id % 2 = 0", f"{_OUT} OR id % 2 = 0", f"{_OUT} OR start_line % 2 = 0", f"{_OUT} OR kind = 'en'"),
     "edges_dedup_pk": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
         QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1""",
     "embed_text": f"""WITH {_SYM}, {_CALLS},
-        ranked AS (SELECT caller, callee, row_number() OVER (PARTITION BY caller ORDER BY callee) AS i FROM calls),
-        listed AS (SELECT caller, string_agg(callee::VARCHAR, ', ' ORDER BY callee) AS c FROM ranked WHERE i <= 10 GROUP BY caller),
-        parts AS (SELECT *, trim(split_part(split_part(doc_comment, chr(10), 1), '{{', 1)) AS line FROM sym LEFT JOIN listed ON caller = id)
+        called AS (SELECT DISTINCT file, name, callee FROM calls JOIN sym ON sym.id = caller),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY file, name ORDER BY callee) AS i FROM called),
+        listed AS (SELECT file, name, string_agg(callee::VARCHAR, ', ' ORDER BY callee) AS c FROM ranked WHERE i <= 10 GROUP BY file, name),
+        imported AS (SELECT file, string_agg(kind, ', ' ORDER BY kind) AS m FROM (SELECT DISTINCT file, kind FROM sym) GROUP BY file),
+        parts AS (SELECT sym.*, c, m, trim(split_part(split_part(coalesce(doc_comment, ''), chr(10), 1), '{{', 1)) AS line, left(coalesce(doc_comment, ''), 80) AS snippet
+            FROM sym LEFT JOIN listed ON listed.file = sym.file AND listed.name = sym.name LEFT JOIN imported ON imported.file = sym.file)
         SELECT id, file || ' ' || kind || ' ' || CASE WHEN receiver <> '' THEN receiver || '.' ELSE '' END || name
-            || CASE WHEN line <> '' THEN chr(10) || line ELSE '' END || coalesce(chr(10) || 'calls: ' || c, '') AS text FROM parts""",
+            || CASE WHEN line <> '' THEN chr(10) || line ELSE '' END || CASE WHEN snippet <> '' THEN chr(10) || snippet ELSE '' END
+            || coalesce(chr(10) || 'calls: ' || c, '') || coalesce(chr(10) || 'imports: ' || m, '') AS text FROM parts""",
     "doc_symbol": """SELECT doc_id, left(array_to_string(string_split(text, chr(10))[1:5], chr(10)), 300) AS signature,
         md5(left(text, 4000)) AS doc_md5 FROM documents WHERE text <> ''""",
     "percentiles_nearest_rank": """SELECT p::DOUBLE AS p, list_sort(v)[greatest(ceil(len(v) * p / 100.0), 1)::BIGINT] AS value
@@ -183,4 +224,28 @@ ORACLE_SQL = {
           AND NOT regexp_matches(path, '^pkg/d1[^/]*_test\.go$')""",
     "vector_codec": """SELECT vec_id AS symbol_id, (4 * len(embedding))::INTEGER AS bytes, round(embedding[1]::DOUBLE, 6) AS head,
         round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings""",
-}
+    "html_symbols": rf"""WITH found AS (
+            SELECT page_id, 'element' AS kind, unnest(regexp_extract_all(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1)) AS x FROM pages
+            UNION ALL SELECT page_id, 'section', unnest(regexp_extract_all(html, '(?is)<h[1-6](?:\s[^>]*)?>(.*?)</h[1-6]\s*>', 1)) FROM pages)
+        SELECT DISTINCT 'p' || page_id || '.html' AS file, trim({_plain("x")}) AS name, kind FROM found WHERE trim(x) <> ''""",
+    "content_hashes": f"""WITH RECURSIVE texts AS (SELECT DISTINCT text AS word FROM documents WHERE text IS NOT NULL),{text_hashes("texts", seed=0)}
+        SELECT doc_id, lower(hex(h::UBIGINT)) AS content_hash FROM documents LEFT JOIN hashed ON word = text""",
+    "embed_documents": r"""WITH split AS (
+            SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[\p{L}\p{N}]+')) AS tok FROM documents),
+        hashed AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM split),
+        sums AS (SELECT doc_id, h % 32 AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS v FROM hashed GROUP BY ALL),
+        norms AS (SELECT doc_id, sqrt(sum(v * v)::DOUBLE) AS norm FROM sums GROUP BY doc_id)
+        SELECT doc_id AS symbol_id, 'hashing' AS model, 32 AS dims, place, round((v / norm)::FLOAT::DOUBLE, 5) AS value FROM sums JOIN norms USING (doc_id) WHERE v <> 0""",
+    "embed_cached": """WITH RECURSIVE asked AS (SELECT list(r_regionkey % 3 ORDER BY r_regionkey) AS one FROM region),
+        full_ AS (SELECT one || one AS q FROM asked),
+        walk AS (
+            SELECT 0::BIGINT AS step, []::BIGINT[] AS known, 0::BIGINT AS asked
+            UNION ALL SELECT step + 1,
+                CASE WHEN list_contains(known, q[step + 1]) THEN known WHEN len(known) >= 2 THEN known[2:] || [q[step + 1]::BIGINT] ELSE known || [q[step + 1]::BIGINT] END,
+                asked + CASE WHEN list_contains(known, q[step + 1]) THEN 0 ELSE 1 END
+            FROM walk, full_ WHERE step < len(q))
+        SELECT step, q[step]::BIGINT AS query, asked FROM walk, full_ WHERE step > 0""",
+    "synthetic_trees": f"""WITH trees AS ({_TREES})
+        SELECT 'pkg' || k % 10 || '/file' || k || '.go' AS path, t AS struct, t * m AS method, f AS function, t * m + f - 1 AS calls FROM trees
+        UNION ALL SELECT 'pkg' || k % 10 || '/file' || k || '.java', t + 1, t * m + f, 0, t * m + f - 1 FROM trees""",
+} | {f"{language}_symbols": samples.sql(language) for language in samples.SAMPLES}

@@ -25,13 +25,15 @@ class IndexStats:
     duration: float
 
 
+def in_order(rows: DataFrame, keys: list, value: str) -> DataFrame:
+    """``keys`` and the list ``<value>s``: the values of each key, in the order of ``seq``."""
+    return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", value))), lambda x: x[value]).alias(value + "s"))
+
+
 def enriched(symbols: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
     """``symbol_id, text``: symbols with snippet, callees and imports, in source order."""
-    ordered = lambda rows, keys, value: rows.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("seq", value))), lambda x: x[value]).alias(value + "s")
-    )
-    called = ordered(calls, [F.col("caller_file").alias("file"), F.col("caller_symbol").alias("name")], "callee_symbol")
-    imported = ordered(imports, [F.col("importer_file").alias("file")], "imported_path")
+    called = in_order(calls, [F.col("caller_file").alias("file"), F.col("caller_symbol").alias("name")], "callee_symbol")
+    imported = in_order(imports, [F.col("importer_file").alias("file")], "imported_path")
     joined = symbols.join(called, ["file", "name"], "left").join(imported, "file", "left")
     c = F.col
     text = embed_text(

@@ -57,7 +57,7 @@ class Tools:
         t = self.store.tables()
         vectors = t["embeddings"].where(F.col("model") == self.embedder.model)
         return search.search(
-            query, mode, symbols=t["symbols"], embeddings=vectors, tokens_of=self.keywords().tokens_of, edges=t["call_edges"], embed=self.embed, limit=limit, strict=strict
+            query, mode, symbols=t["symbols"], embeddings=vectors, tokens_of=self.keywords(), edges=t["call_edges"], embed=self.embed, limit=limit, strict=strict
         )
 
     def file_skeleton(self, path: str) -> DataFrame:
@@ -72,7 +72,7 @@ class Tools:
         symbols = self.store.table("symbols")
         seeds = symbols.where(F.col("name") == query)
         if seed == "fts10":
-            seeds = search.keyword_search(symbols, self.keywords().tokens_of, query, 10).where(F.col("name") == query)
+            seeds = search.keyword_search(symbols, self.keywords(), query, 10).where(F.col("name") == query)
         return graph.traverse(symbols, self.store.table("call_edges"), seeds, depth)
 
     def blast_radius(self, symbol: str) -> DataFrame:

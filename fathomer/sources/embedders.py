@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import random
@@ -16,7 +17,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH = 2000
 
@@ -42,14 +43,12 @@ class HashingEmbedder:
     model: str = "hashing"
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
-        import xxhash
-
         out = []
         for text in texts:
             vector = np.zeros(self.dims)
             for token in re.findall(r"[^\W_]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text).lower()):
-                h = xxhash.xxh3_64_intdigest(token.encode())
-                vector[h % self.dims] += 1.0 if h >> 63 else -1.0
+                h = int.from_bytes(hashlib.md5(token.encode(), usedforsecurity=False).digest()[:4], "big")
+                vector[h % self.dims] += 1.0 if h >> 31 else -1.0
             norm = float(np.sqrt((vector**2).sum()))
             out.append((vector / norm if norm else vector).tolist())
         return out
@@ -193,6 +192,22 @@ class Caching:
         return list(self._known[query])
 
 
+def cache_trace(spark: SparkSession, queries: Sequence, *, size: int = 512) -> DataFrame:
+    """``step, query, asked``: how many queries had reached the model after each step."""
+    asked: list[str] = []
+
+    class Counting(HashingEmbedder):
+        def embed(self, texts: Sequence[str]) -> list[list[float]]:
+            asked.extend(texts)
+            return super().embed(texts)
+
+    cached, rows = Caching(Counting(4), size=size), []
+    for step, query in enumerate(queries, 1):
+        cached(str(query))
+        rows.append((step, query, len(asked)))
+    return spark.createDataFrame(rows, "step long, query long, asked long")
+
+
 def detect(settings: dict[str, str] | None = None) -> Embedder:
     """An embedder by settings (default: the environment); without any, the hashing one."""
     s = os.environ if settings is None else settings

@@ -99,9 +99,9 @@ def _block(code: Code, start: int, end: int, owner: str, plus: bool, out: Parsed
         if inside(m.start()) or plain in _KEYWORDS or plain.lstrip("~") in _KEYWORDS or "=" in head or re.search(r"\b(?:return|typedef|using|goto)\b", head):
             at = max(at, after)
             continue
-        scope = name.rsplit("::", 1)[0].split("::")[-1] if "::" in name else owner
+        scope = name.rsplit("::", 1)[0] if "::" in name else owner
         scope = re.sub(r"<.*", "", scope)
-        if not head.strip() and not (plus and (scope and plain.lstrip("~") == scope)):
+        if not head.strip() and not (plus and (scope and plain.lstrip("~") == scope.split("::")[-1])):
             at = max(at, after)
             continue
         mark = re.compile(r"[{;=]|,").search(text, after)

@@ -77,6 +77,7 @@ def _parse(source: str, *, typed: bool) -> Parsed:
             if k["name"] in _KEYWORDS:
                 continue
             begin, end = brace + 1 + k.start("at"), _body(code, brace + 1 + k.end("name"))[1]
+            begin += len(k["at"]) - len(k["at"].lstrip())
             out.symbols.append(code.symbol(k["name"], "method", begin, end, receiver=m["name"]))
     if typed:
         for pattern, kind in _TYPES:

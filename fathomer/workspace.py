@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +34,27 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """What this application writes lies apart from what others do."""
+    return f"{work_dir(spark)}/fathomer/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the work folder that nothing has used before."""
-    return f"{work_dir(spark)}/fathomer/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_made: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, name: str, folder: str, build: Callable[[], object]) -> object:
+    """What ``build`` makes of the tables in a folder, made once an application while their files stay as they are."""
+    system, path = hadoop_path(spark, folder)
+    files = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(path)))
+    key = (spark.sparkContext.applicationId, name, folder)
+    if key not in _made or _made[key][0] != files:
+        _made[key] = (files, build())
+    return _made[key][1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -75,6 +94,8 @@ def hadoop_path(spark: SparkSession, path: str):  # noqa: ANN201
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every table and archive left in the work folder."""
-    system, path = hadoop_path(spark, f"{work_dir(spark)}/fathomer")
+    """Delete every table and archive that this application has left in the work folder."""
+    system, path = hadoop_path(spark, _own_folder(spark))
     system.delete(path, True)
+    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
+        del _made[key]

@@ -23,6 +23,11 @@ def rows(spark):
     return fts.tokenized(spark.createDataFrame([(k, *v) for k, v in TEXTS.items()], "id string, name string, signature string, doc_comment string")).cache()
 
 
+@pytest.fixture(scope="module")
+def index(spark):
+    return fts.Index.build(spark.createDataFrame([(k, *v) for k, v in TEXTS.items()], "id string, name string, signature string, doc_comment string"))
+
+
 def found(rows, query, limit=10):
     return [r["id"] for r in fts.search(rows, query, limit=limit).orderBy("rank").collect()]
 
@@ -57,8 +62,17 @@ def found(rows, query, limit=10):
         ('""', set()),
     ],
 )
-def test_matches(rows, query, ids):
+def test_matches(rows, index, query, ids):
     assert set(found(rows, query)) == ids
+    plain = [(r["id"], r["rank"], pytest.approx(r["score"])) for r in fts.search(rows, query).orderBy("rank").collect()]
+    assert [(r["id"], r["rank"], r["score"]) for r in index.search(query).orderBy("rank").collect()] == plain
+
+
+def test_index_reads_only_the_terms_of_a_query(index):
+    plan = index.search('"pod affinity" OR log*', None)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
+    assert "EqualTo(term,pod)" in pushed and "StringStartsWith(term,log)" in pushed
+    assert "tok_" not in plan and "Python" not in plan
 
 
 @pytest.mark.parametrize("query", ["pod-affinity", "net.http", "(a", "a AND", "nope : a", '"open', "NEAR(a b, x)"])
@@ -87,10 +101,7 @@ def test_bm25_equals_the_formula(rows, terms):
     assert got == pytest.approx(naive_bm25(terms))
 
 
-def test_index_gives_the_same_and_frequencies(spark):
-    symbols = spark.createDataFrame([(k, *v) for k, v in TEXTS.items()], "id string, name string, signature string, doc_comment string")
-    index = fts.Index.build(symbols)
-    assert {r["id"] for r in index.search("pod").collect()} == {"a", "b"}
+def test_index_gives_frequencies(index):
     assert {r["term"]: r["df"] for r in index.document_frequency(["pod", "login", "zz"]).collect()} == {"pod": 2, "login": 1}
 
 

@@ -140,4 +140,4 @@ def test_connections_of_all_parts(spark, sf):
         lines.setdefault((r.l_orderkey, r.l_linenumber), []).append(r.l_partkey)
     calls = {(one, two) for (order, n), found in lines.items() for one in found for two in lines.get((order, n + 1), [])}
     want = Counter(name for call in calls if set(call) <= parts for name in call)
-    assert {r.name: r.connections for r in catalogue.QUERIES["connection_counts_all"](spark, sf).collect()} == want
+    assert {r.name: r.connections for r in catalogue.QUERIES["connection_counts"](spark, sf).collect()} == want

@@ -94,8 +94,15 @@ def fit(rows: DataFrame, *, id_col: str, text_col: str, declared_col: str, langu
     """
     bounded_batches(rows.sparkSession)
     base = rows.select(F.col(id_col).alias("id"), primary(F.col(declared_col)).alias("lang")).where(F.col("lang").isin(*languages) & F.col("id").isNotNull())
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = base.withColumn("n", first).where(F.col("n") <= sample).select("lang", "id").distinct()  # Spark cuts each task's rows before the shuffle
+    found = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    # Only hashes low enough for some four samples of a language are compared at all.
+    low = F.lit(False)
+    for lang, n in found.items():
+        most = min(2**63 - 1, (4 * sample << 64) // n - 2**63)
+        low = low | ((F.col("lang") == lang) & (F.col("hash") <= most))
+    few = base.withColumn("hash", F.xxhash64("id")).where(low).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
+    picked = few.withColumn("n", first).where(F.col("n") <= sample).select("lang", "id")
     texts = rows.select(F.col(id_col).alias("id"), primary(F.col(declared_col)).alias("lang"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(F.broadcast(picked), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
     order = list(languages)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fathomer.functions.xxh_sql import hash_long, text_hashes
+
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -121,78 +123,16 @@ DECONTAMINATION = rf"""
 # -- quality rules -----------------------------------------------------------------------------
 
 
-def _mod(x: str) -> str:
-    return f"(({x}) % 18446744073709551616::UHUGEINT)"
-
-
-def _turned(x: str, by: int) -> str:
-    return f"(({x} * {2**by}::UHUGEINT) % 18446744073709551616::UHUGEINT + {x} // {2 ** (64 - by)}::UHUGEINT)"
-
-
-_P = [f"{p}::UHUGEINT" for p in (0, 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
-
-
-def _settled(h: str) -> str:
-    """The last steps of XXH64."""
-    return f"""list_reduce([{h}, 33::UHUGEINT, 29::UHUGEINT, 32::UHUGEINT], lambda a, r:
-        CASE r WHEN 33 THEN {_mod(f"xor(a, a // {2**33}::UHUGEINT) * {_P[2]}")} WHEN 29 THEN {_mod(f"xor(a, a // {2**29}::UHUGEINT) * {_P[3]}")}
-        ELSE xor(a, a // {2**32}::UHUGEINT) END)"""
-
-
-def _hash_long(value: str, seed: str) -> str:
-    """XXH64 of one 64-bit number, both unsigned."""
-    fed = f"xor({_mod(f'{seed} + {_P[5]} + 8')}, {_mod(_turned(_mod(f'{value} * {_P[2]}'), 31) + f' * {_P[1]}')})"
-    return _settled(_mod(f"{_turned(fed, 27)} * {_P[1]} + {_P[4]}"))
-
-
-def _number(hexes: str, at: str, size: int) -> str:
-    """``size`` bytes from byte ``at`` (0-based) of a text of hexadecimal digits, least byte first."""
-    return " + ".join(f"('0x' || substr({hexes}, 2 * ({at}) + {2 * i + 1}, 2))::UHUGEINT * {256**i}::UHUGEINT" for i in range(size))
-
-
-def _lane(k: int, value: str) -> str:
-    return _mod(f"{_turned(_mod(f'v[{k}] + {value} * {_P[2]}'), 31)} * {_P[1]}")
-
-
-def _word_hashes(words: str) -> str:
-    """A CTE ``hashed`` (word, h): XXH64, seed 42, of the UTF-8 bytes of the table ``words`` (word)."""
-    eight = _number("x", "p", 8)
-    start = [_mod(f"42 + {_P[1]} + {_P[2]}"), _mod(f"42 + {_P[2]}"), "42::UHUGEINT", _mod(f"42 + 18446744073709551616::UHUGEINT - {_P[1]}")]
-    lanes = ", ".join(_lane(k + 1, "(" + _number("x", f"s * 32 + {8 * k}", 8) + ")") for k in range(4))
-    gathered = _mod(" + ".join(f"{_turned(f'v[{k}]', t)}" for k, t in ((1, 1), (2, 7), (3, 12), (4, 18))))
-    steps = ""
-    for k in range(1, 5):
-        lane = _mod(_turned(_mod(f"v[{k}] * {_P[2]}"), 31) + f" * {_P[1]}")
-        steps += f"""
-    merged{k} AS (SELECT *, {_mod(f"xor(g{k - 1}, {lane}) * {_P[1]} + {_P[4]}")} AS g{k} FROM {f"merged{k - 1}" if k > 1 else "gathered"}),"""
-    return f"""
-    hexes AS (SELECT word, hex(encode(word)) AS x, octet_length(encode(word)) AS n FROM {words}),
-    lanes AS (
-        SELECT word, x, n, 0 AS s, n // 32 AS stripes, [{", ".join(start)}] AS v FROM hexes
-        UNION ALL SELECT word, x, n, s + 1, stripes, [{lanes}] FROM lanes WHERE s < stripes),
-    gathered AS (SELECT word, x, n, v, {gathered} AS g0 FROM lanes WHERE s = stripes),{steps}
-    begun AS (SELECT word, x, n, (n // 32) * 32 AS p, {_mod(f"CASE WHEN n >= 32 THEN g4 ELSE 42 + {_P[5]} END + n::UHUGEINT")} AS h FROM merged4),
-    fed AS (
-        SELECT word, x, n, p, h FROM begun
-        UNION ALL SELECT word, x, n,
-            CASE WHEN n - p >= 8 THEN p + 8 WHEN n - p >= 4 THEN p + 4 ELSE p + 1 END,
-            CASE WHEN n - p >= 8 THEN {_mod(f"{_turned(f'xor(h, {_mod(_turned(_mod(f'({eight}) * {_P[2]}'), 31) + f' * {_P[1]}')})', 27)} * {_P[1]} + {_P[4]}")}
-                 WHEN n - p >= 4 THEN {_mod(f"{_turned(f'xor(h, {_mod(f"({_number('x', 'p', 4)}) * {_P[1]}")})', 23)} * {_P[2]} + {_P[3]}")}
-                 ELSE {_mod(f"{_turned(f'xor(h, {_mod(f"({_number('x', 'p', 1)}) * {_P[5]}")})', 11)} * {_P[1]}")} END
-        FROM fed WHERE p < n),
-    hashed AS (SELECT word, {_settled("h")} AS h FROM fed WHERE p = n)"""
-
-
 def quality_rules(buckets: int, shrink: float, threshold: float, max_trusted: int) -> str:
     """The base counts and the verdict; hashes are computed here anew, by the definition of XXH64."""
-    pair = _hash_long("b", _hash_long("a", "42::UHUGEINT"))
-    id_hash = _hash_long("doc_id::UHUGEINT", "42::UHUGEINT")
+    pair = hash_long("b", hash_long("a", "42::UHUGEINT"))
+    id_hash = hash_long("doc_id::UHUGEINT", "42::UHUGEINT")
     signed = "CASE WHEN h >= 9223372036854775808::UHUGEINT THEN h::HUGEINT - 18446744073709551616::HUGEINT ELSE h::HUGEINT END"
     return rf"""
     WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     split AS (SELECT doc_id, text, regexp_extract_all(text, {_WORDS}) AS w FROM texts),
     placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
-    vocabulary AS (SELECT DISTINCT word FROM placed),{_word_hashes("vocabulary")},
+    vocabulary AS (SELECT DISTINCT word FROM placed),{text_hashes("vocabulary")},
     coded AS (SELECT doc_id, i, word, h FROM placed JOIN hashed USING (word)),
     neighbours AS (SELECT doc_id, h AS a, lead(h) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM coded),
     pair_hashes AS (SELECT a, b, {pair} AS h FROM (SELECT DISTINCT a, b FROM neighbours WHERE b IS NOT NULL)),

@@ -1,4 +1,4 @@
-"""Command line: ``python -m fathomer.cli index|search|skeleton|traverse|blast|backfill|watch|version``."""
+"""Command line: ``python -m fathomer.cli index|search|skeleton|traverse|blast|backfill|watch|serve|version``."""
 
 from __future__ import annotations
 
@@ -21,7 +21,11 @@ def parser() -> argparse.ArgumentParser:
     for name in ("index", "watch"):
         p = sub.add_parser(name)
         p.add_argument("--path", default=".")
-        p.add_argument("--force", action="store_true")
+        p.add_argument("--force", action="store_true", help="index files that have not changed, too")
+    index = sub.choices["index"]
+    index.add_argument("--no-hidden", dest="hidden", action="store_false", help="pass over names that begin with a dot or an underscore")
+    index.add_argument("--reconcile", action="store_true", help="delete files that are gone")
+    sub.add_parser("serve", help="answer tool calls on standard input and output")
     p = sub.add_parser("search")
     p.add_argument("query")
     p.add_argument("--mode", default="hybrid", choices=("keyword", "semantic", "hybrid"))
@@ -44,12 +48,16 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     spark = spark or SparkSession.builder.appName("fathomer").getOrCreate()
     tools = Tools(spark, Store(spark, args.store), detect())
     if args.command == "index":
-        s = tools.index(args.path, force=args.force)
+        s = tools.index(args.path, force=args.force, hidden=args.hidden, remove_gone=args.reconcile)
         print(f"indexed {s.files_indexed} files, skipped {s.files_skipped}, {s.symbols} symbols, {s.duration:.1f} s")
     elif args.command == "watch":
         from fathomer.streaming.watch import watch
 
-        watch(spark, args.path, tools.store, embedder=tools.embedder).awaitTermination()
+        watch(spark, args.path, tools.store, embedder=tools.embedder, force=args.force).awaitTermination()
+    elif args.command == "serve":
+        from fathomer.server import Server
+
+        Server(tools).run(sys.stdin, sys.stdout)
     elif args.command == "search":
         print(as_json(tools.search(args.query, args.mode, args.limit), "rank"))
     elif args.command == "skeleton":

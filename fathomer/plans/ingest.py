@@ -12,7 +12,7 @@ from fathomer.functions.text import embed_text
 from fathomer.operators import tables as ops
 from fathomer.plans.store import Store
 from fathomer.sources.embedders import Embedder, HashingEmbedder, ZeroEmbedder, embed_rows
-from fathomer.sources.files import read_tree, with_hash
+from fathomer.sources.files import list_tree, read_tree, with_hash
 from fathomer.sources.parsing import parse_files, routed
 from fathomer.workspace import written
 
@@ -47,8 +47,13 @@ def index_files(store: Store, seen: DataFrame, *, embedder: Embedder | None = No
     began = time.monotonic()
     embedder = embedder or HashingEmbedder()
     seen = routed(seen)
-    changed = written(ops.changed_files(seen, store.table("files"), force=force), "changed")
+    known = store.table("files")
+    seen = written(seen, "seen")  # the files are read once
+    changed = ops.changed_files(seen, known, force=force)
+    touched = seen.join(known, ["path", "content_hash"]).where(seen["mod_time"] != known["mod_time"]).select("path", "content_hash", seen["mod_time"], known["lang"])
     total, indexed = seen.count(), changed.count()
+    if not force and not touched.isEmpty():  # the same contents, written anew
+        store.upsert("files", touched)
     count = 0
     if indexed:
         parsed = parse_files(changed)
@@ -63,14 +68,14 @@ def index_files(store: Store, seen: DataFrame, *, embedder: Embedder | None = No
     return IndexStats(indexed, total - indexed, count, time.monotonic() - began)
 
 
-def index_tree(spark: SparkSession, root: str, store: Store, *, embedder: Embedder | None = None, force: bool = False, hidden: bool = False) -> IndexStats:
+def index_tree(spark: SparkSession, root: str, store: Store, *, embedder: Embedder | None = None, force: bool = False, hidden: bool = True) -> IndexStats:
     """Index what has changed below a root.  Files that are gone stay until ``reconcile``."""
     return index_files(store, with_hash(read_tree(spark, root, hidden=hidden)), embedder=embedder, force=force)
 
 
-def reconcile(spark: SparkSession, root: str, store: Store, *, hidden: bool = False) -> int:
+def reconcile(spark: SparkSession, root: str, store: Store, *, hidden: bool = True) -> int:
     """Delete the files that are no longer below a root; how many there were."""
-    gone = written(ops.stale_files(store.table("files"), read_tree(spark, root, hidden=hidden)), "gone")
+    gone = written(ops.stale_files(store.table("files"), list_tree(spark, root, hidden=hidden)), "gone")
     count = gone.count()
     if count:
         store.delete_files(gone)

@@ -37,7 +37,7 @@ class Tools:
         self.embed = Caching(self.embedder)
         self._index: tuple[str, fts.Index] | None = None
 
-    def index(self, root: str, *, force: bool = False, remove_gone: bool = False, hidden: bool = False) -> IndexStats:
+    def index(self, root: str, *, force: bool = False, remove_gone: bool = False, hidden: bool = True) -> IndexStats:
         stats = index_tree(self.spark, root, self.store, embedder=self.embedder, force=force, hidden=hidden)
         if remove_gone:
             reconcile(self.spark, root, self.store, hidden=hidden)
@@ -48,7 +48,7 @@ class Tools:
 
     def keywords(self) -> fts.Index:
         """The full-text index of the current symbols, rebuilt when they change."""
-        version = self.store._pointer().get("symbols", "")
+        version = self.store.version("symbols")
         if self._index is None or self._index[0] != version:
             self._index = (version, fts.Index.build(self.store.table("symbols")))
         return self._index[1]

@@ -10,8 +10,9 @@ import re
 import time
 import urllib.error
 import urllib.request
-from collections import OrderedDict
+from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -130,6 +131,8 @@ class BedrockEmbedder:
     dims: int = 1024
     region: str = "us-east-1"
     max_bytes: int = 28_000
+    #: Calls at a time.
+    concurrent: int = 8
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
         try:
@@ -137,12 +140,14 @@ class BedrockEmbedder:
         except ImportError as problem:
             raise Permanent("boto3 is not installed") from problem
         client = boto3.client("bedrock-runtime", region_name=self.region)
-        out = []
-        for text in texts:
+
+        def one(text: str) -> list[float]:
             short = text.encode()[: self.max_bytes].decode("utf-8", "ignore")
             body = json.dumps({"inputText": short, "dimensions": self.dims, "normalize": True})
-            out.append(json.loads(client.invoke_model(modelId=self.model, body=body)["body"].read())["embedding"])
-        return out
+            return json.loads(client.invoke_model(modelId=self.model, body=body)["body"].read())["embedding"]
+
+        with ThreadPoolExecutor(self.concurrent) as pool:
+            return list(pool.map(one, texts))
 
 
 @dataclass
@@ -208,10 +213,28 @@ def cache_trace(spark: SparkSession, queries: Sequence, *, size: int = 512) -> D
     return spark.createDataFrame(rows, "step long, query long, asked long")
 
 
+def answers(url: str, timeout: float = 1.0) -> bool:
+    """Whether a server answers at an address."""
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as answer:  # noqa: S310
+            return answer.status == 200
+    except (OSError, ValueError):
+        return False
+
+
 def detect(settings: dict[str, str] | None = None) -> Embedder:
-    """An embedder by settings (default: the environment); without any, the hashing one."""
+    """An embedder by settings (default: the environment).
+
+    Without a backend, or with ``auto``, a text-embeddings server is looked for,
+    then an Ollama server, each at its set or default address; without either the
+    hashing embedder serves.
+    """
     s = os.environ if settings is None else settings
     backend = s.get("FATHOMER_EMBED_BACKEND", "")
+    if backend in ("", "auto"):
+        url = s.get("FATHOMER_EMBED_URL")
+        found = [name for name, base, path in (("tei", TeiEmbedder.url, "/health"), ("ollama", OllamaEmbedder.url, "/api/tags")) if answers((url or base).rstrip("/") + path)]
+        backend = found[0] if found else "hashing"
     if backend == "openai":
         return Retrying(OpenAIEmbedder(s["FATHOMER_EMBED_URL"], s["FATHOMER_EMBED_MODEL"], int(s["FATHOMER_EMBED_DIMS"]), s.get("FATHOMER_EMBED_KEY", "")))
     if backend == "bedrock":
@@ -222,23 +245,33 @@ def detect(settings: dict[str, str] | None = None) -> Embedder:
         return Retrying(OllamaEmbedder(s.get("FATHOMER_EMBED_URL", OllamaEmbedder.url), s.get("FATHOMER_EMBED_MODEL", OllamaEmbedder.model)))
     if backend == "none":
         return ZeroEmbedder()
-    if backend in ("", "hashing"):
+    if backend == "hashing":
         return HashingEmbedder()
     raise ValueError(f"unknown embedding backend {backend!r}")
 
 
-def embed_rows(rows: DataFrame, embedder: Embedder, *, batch: int = BATCH) -> DataFrame:
+def embed_rows(rows: DataFrame, embedder: Embedder, *, batch: int = BATCH, in_flight: int = 2) -> DataFrame:
     """``symbol_id, model, dims, vector`` for ``rows`` (``symbol_id, text``).
 
-    A batch that fails is tried text by text; texts that fail alone are left
-    out, and a later backfill finds them missing.
+    Each task keeps ``in_flight`` batches under way.  A batch that fails is tried
+    text by text; texts that fail alone are left out, and a later backfill finds
+    them missing.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for at in range(0, len(part), batch):
-                some = part.iloc[at : at + batch]
-                yield _embedded(some["symbol_id"].tolist(), some["text"].tolist(), embedder)
+                yield part.iloc[at : at + batch]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: deque = deque()
+        with ThreadPoolExecutor(in_flight) as pool:
+            for some in batches(parts):
+                waiting.append(pool.submit(_embedded, some["symbol_id"].tolist(), some["text"].tolist(), embedder))
+                if len(waiting) >= in_flight:
+                    yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
 
     return rows.select("symbol_id", "text").mapInPandas(run, f"symbol_id {rows.schema['symbol_id'].dataType.simpleString()}, model string, dims int, vector array<float>")
 

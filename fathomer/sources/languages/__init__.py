@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from fathomer.sources.languages import c, ecma, go, jvm, plain, rust
@@ -48,21 +48,32 @@ LANGUAGES: list[Language] = [
 ]
 
 
+_BUILT_IN = len(LANGUAGES)
+
+
 def register(language: Language) -> None:
-    """Add a language; it takes over extensions and names that others have."""
+    """Add a language; it takes over extensions and names that others have.
+
+    Jobs that parse carry the added languages to the workers.
+    """
     LANGUAGES.append(language)
 
 
-def by_extension() -> dict[str, Language]:
-    return {e: language for language in LANGUAGES for e in language.extensions}
+def registered() -> list[Language]:
+    """The languages that were added."""
+    return LANGUAGES[_BUILT_IN:]
+
+
+def by_extension(added: Sequence[Language] = ()) -> dict[str, Language]:
+    return {e: language for language in [*LANGUAGES, *added] for e in language.extensions}
 
 
-def by_file() -> dict[str, Language]:
-    return {f: language for language in LANGUAGES for f in language.files}
+def by_file(added: Sequence[Language] = ()) -> dict[str, Language]:
+    return {f: language for language in [*LANGUAGES, *added] for f in language.files}
 
 
-def language_of(path: str) -> Language | None:
+def language_of(path: str, added: Sequence[Language] = ()) -> Language | None:
     """The language of a path: by extension in lower case, then by exact name."""
     base = posixpath.basename(path)
     dot = base.rfind(".")
-    return by_extension().get(base[dot:].lower() if dot >= 0 else "") or by_file().get(base)
+    return by_extension(added).get(base[dot:].lower() if dot >= 0 else "") or by_file(added).get(base)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomer.functions.tiers import source_tier
-from fathomer.sources.languages import by_extension, by_file, language_of
-from fathomer.workspace import written
+from fathomer.sources.languages import Language, by_extension, by_file, language_of, registered
+from fathomer.workspace import bounded_batches, written
 
 _SYMBOL = (
     "struct<id string, name string, kind string, signature string, doc_comment string, start_line int, end_line int, "
@@ -27,12 +27,17 @@ def routed(files: DataFrame) -> DataFrame:
     return files.where(ext.isin(*by_extension()) | base.isin(*by_file()))
 
 
-def _parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parser(added: list[Language]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A parser of batches that also knows the languages that the driver has added."""
+    return lambda parts: _parse(parts, added)
+
+
+def _parse(parts: Iterator[pa.RecordBatch], added: list[Language]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         rows = []
         for path, content in zip(part.column(0), part.column(1), strict=True):
             path, data = path.as_py(), content.as_py()
-            language = language_of(path)
+            language = language_of(path, added)
             if language is None:
                 continue
             error, symbols, calls, imports = None, [], [], []
@@ -72,7 +77,8 @@ def parse_files(files: DataFrame, *, materialize: bool = True) -> dict[str, Data
     Of symbols of equal id the last in the file stays; of equal edges, the first.
     ``parsed`` has a row a file, with the language and the error, if any.
     """
-    parsed = routed(files).select("path", "content").mapInArrow(_parse, _PARSED)
+    bounded_batches(files.sparkSession)
+    parsed = routed(files).select("path", "content").mapInArrow(_parser(registered()), _PARSED)
     parsed = written(parsed, "parsed") if materialize else parsed
     rows = parsed.select("path", F.explode("symbols").alias("s")).select(F.col("path").alias("file"), "s.*")
     keyed = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "seq").alias("r")).select("r.*")

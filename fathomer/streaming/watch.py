@@ -1,39 +1,74 @@
-"""Continuous ingestion: changed files by a file stream, deletions by listing.
+"""Continuous ingestion: a stream of ticks, each of which compares the tree with the index.
 
-A file source reports new and changed files but never deletions, so each
-micro-batch also compares the index with what is on disk.  Repeated versions of
-a file within a batch count once, the last one; versions whose hash is stored
-already change nothing.
+A file source reports new and changed files but no deletions, so the stream is a
+clock: at each tick the tree is listed (no file is opened) and joined with the
+stored paths and times.  Files that are gone are deleted, whether or not another
+has changed.  Files that are new or have another time are read and indexed, but
+for those that changed within the last ``quiet`` seconds: these wait for a later
+tick, so that a burst of writes of a path is indexed once.  Contents whose hash
+is stored already change nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fathomer.functions.text import basename
-from fathomer.operators.tables import last_by_key
-from fathomer.plans.ingest import IndexStats, index_files, index_tree, reconcile
+from fathomer.plans.ingest import IndexStats, index_files, index_tree
 from fathomer.plans.store import Store
 from fathomer.sources.embedders import Embedder
-from fathomer.sources.files import eligible, ignore_patterns, ignored, read_ignore_file, with_hash
-from fathomer.workspace import hadoop_path, work_dir
+from fathomer.sources.files import list_tree, read_tree, with_hash
+from fathomer.sources.parsing import routed
+from fathomer.workspace import work_dir, written
 
-_RAW = "path string, modificationTime timestamp, length long, content binary"
+#: Seconds for which a path must be left alone before it is indexed.
+QUIET = 0.5
+#: Paths that are named to the reader; of more changes the whole tree is read.
+NAMED = 5000
 
 
-def file_changes(spark: SparkSession, root: str, *, max_files: int = 1000) -> DataFrame:
-    """A stream of the eligible files below a root: ``path`` (relative), ``mod_time``, ``content``."""
-    system, base = hadoop_path(spark, root.rstrip("/"))
-    prefix = system.makeQualified(base).toUri().getPath().rstrip("/") + "/"
-    raw = spark.readStream.format("binaryFile").schema(_RAW).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(root)
-    bare = F.url_decode(F.replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), F.lit("+"), F.lit("%2B")))
-    relative = F.substring_index(bare, prefix, -1)
-    rows = raw.select(relative.alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mod_time"), "content")
-    return rows.where(eligible(F.col("path")) & ~ignored(F.col("path"), ignore_patterns(read_ignore_file(spark, root))) & (basename(F.col("path")) != ""))
+@dataclass
+class Pass:
+    """One comparison of a tree with its index."""
+
+    spark: SparkSession
+    root: str
+    store: Store
+    embedder: Embedder | None = None
+    quiet: float = QUIET
+
+    def changes(self, now: float | None = None) -> tuple[DataFrame, DataFrame]:
+        """(``path, mod_time`` of new and changed files that have been left alone, ``path`` of files that are gone)."""
+        known = self.store.table("files").select("path", "mod_time")
+        there = written(routed(list_tree(self.spark, self.root)).select("path", "mod_time"), "listing")
+        latest = int(((time.time() if now is None else now) - self.quiet) * 1e9)
+        changed = there.join(known, ["path", "mod_time"], "left_anti").where(F.col("mod_time") <= latest)
+        return changed, known.select("path").join(there.select("path"), "path", "left_anti")
+
+    def run(self, now: float | None = None) -> IndexStats | None:
+        """Bring the index up to date; None if nothing has changed."""
+        changed, gone = (written(x, "changes") for x in self.changes(now))
+        none = gone.isEmpty()
+        if not none:
+            self.store.delete_files(gone)
+        some = [r["path"] for r in changed.select("path").limit(NAMED + 1).collect()]
+        if some:
+            files = read_tree(self.spark, self.root, only=some if len(some) <= NAMED else None)
+            files = files if len(some) <= NAMED else files.join(changed.select("path"), "path", "left_semi")
+            return index_files(self.store, with_hash(files), embedder=self.embedder)
+        return None if none else IndexStats(0, 0, 0, 0.0)
+
+
+def checkpoint_of(spark: SparkSession, root: str, store: Store) -> str:
+    """The default checkpoint of a watch: one for each tree and store."""
+    name = hashlib.sha256(f"{root}\n{store.root}".encode()).hexdigest()[:16]
+    return f"{work_dir(spark)}/fathomer/watch-{name}"
 
 
 def watch(
@@ -43,27 +78,28 @@ def watch(
     *,
     embedder: Embedder | None = None,
     checkpoint: str | None = None,
-    interval: str | None = "1 second",
+    interval: str = "1 second",
+    quiet: float = QUIET,
+    force: bool = False,
     on_batch: Callable[[IndexStats], None] | None = None,
 ) -> StreamingQuery:
-    """Bring the index up to date and keep it so.
+    """Bring the index up to date and keep it so, until the query is stopped.
 
-    Starts with a batch run and a reconciliation, so changes made while nobody
-    watched are found.  ``interval`` is the trigger; None handles what is there
-    and stops.
+    Starts with a batch run and a comparison, so changes made while nobody
+    watched are found; ``force`` indexes everything then.  ``interval`` is how
+    often the tree is listed.  ``on_batch`` gets the figures of each change.
     """
-    first = index_tree(spark, root, store, embedder=embedder)
-    reconcile(spark, root, store)
+    one = Pass(spark, root, store, embedder, quiet)
+    first = index_tree(spark, root, store, embedder=embedder, force=force)
+    one.run()
     if on_batch:
         on_batch(first)
 
-    def apply(batch: DataFrame, number: int) -> None:
-        latest = last_by_key(batch, ["path"], F.col("mod_time"))
-        stats = index_files(store, with_hash(latest), embedder=embedder)
-        reconcile(spark, root, store)
-        if on_batch:
+    def tick(batch: DataFrame, number: int) -> None:
+        stats = one.run()
+        if stats and on_batch:
             on_batch(stats)
 
-    writer = file_changes(spark, root).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint or f"{work_dir(spark)}/fathomer/watch")
-    writer = writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
-    return writer.start()
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = clock.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint or checkpoint_of(spark, root, store))
+    return writer.trigger(processingTime=interval).start()

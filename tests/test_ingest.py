@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fathomer.cli import main
-from fathomer.plans.ingest import backfill, index_tree, reconcile
+from fathomer.plans.ingest import backfill, index_files, index_tree, reconcile
 from fathomer.plans.store import Store
 from fathomer.plans.tools import Tools, as_json
+from fathomer.server import Server
 from fathomer.sources import embedders as E
-from fathomer.sources import files
+from fathomer.sources import files, languages
+from fathomer.sources.languages.code import Symbol
 from fathomer.streaming.debounce import debounced
-from fathomer.streaming.watch import watch
+from fathomer.streaming.watch import Pass, checkpoint_of, watch
 
 CHAIN = """package a
 
@@ -62,8 +68,16 @@ def names(df, column="name"):
 
 def test_tree_rules(spark, tree):
     seen = ["Makefile", "a.go", "docs/guide.md", "notes.unknown", "vendor/v.go"]
-    assert names(files.read_tree(spark, str(tree)), "path") == seen
-    assert names(files.read_tree(spark, str(tree), hidden=True), "path") == sorted([*seen, ".env", ".gitignore"])
+    (tree / "_ex").mkdir()
+    (tree / "_ex/b.go").write_text("package b\n")
+    every = sorted([*seen, ".env", ".gitignore", "_ex/b.go"])
+    assert names(files.read_tree(spark, str(tree), hidden=False), "path") == seen
+    assert names(files.read_tree(spark, str(tree)), "path") == names(files.list_tree(spark, str(tree)), "path") == every
+    assert [(r.path, bytes(r.content)) for r in files.read_tree(spark, str(tree), only=["_ex/b.go", "skip/z.go"]).collect()] == [("_ex/b.go", b"package b\n")]
+    # By an address that only Spark's readers open.
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.trees.link./src", tree.as_uri())
+    assert names(files.read_tree(spark, "viewfs://trees/src"), "path") == names(files.list_tree(spark, "viewfs://trees/src"), "path") == every
+    assert [bytes(r.content) for r in files.read_tree(spark, "viewfs://trees/src", only=["_ex/b.go"]).collect()] == [b"package b\n"]
 
 
 @pytest.mark.parametrize(
@@ -88,18 +102,18 @@ def test_ignore_patterns(spark, patterns, path, ignored):
 
 def test_index_skip_force_change_and_delete(spark, tree, store):
     first = index_tree(spark, str(tree), store)
-    assert (first.files_indexed, first.files_skipped) == (4, 0)
+    assert (first.files_indexed, first.files_skipped) == (5, 0)
     symbols = store.table("symbols")
-    assert names(symbols) == ["DoStep", "Finalize", "Guide", "Makefile", "Orchestrate", "Vendored"]
+    assert names(symbols) == [".env", "DoStep", "Finalize", "Guide", "Makefile", "Orchestrate", "Vendored"]
     assert {r["name"]: r["source_tier"] for r in symbols.collect()}["Vendored"] == 3
-    assert store.table("embeddings").count() == 6
+    assert store.table("embeddings").count() == 7
     again = index_tree(spark, str(tree), store)
-    assert (again.files_indexed, again.files_skipped, again.symbols) == (0, 4, 0)
-    assert index_tree(spark, str(tree), store, force=True).files_indexed == 4
+    assert (again.files_indexed, again.files_skipped, again.symbols) == (0, 5, 0)
+    assert index_tree(spark, str(tree), store, force=True).files_indexed == 5
     (tree / "a.go").write_text("package a\n\nfunc Other() {}\n")
     assert index_tree(spark, str(tree), store).files_indexed == 1
     assert "Other" in names(store.table("symbols")) and "DoStep" not in names(store.table("symbols"))
-    assert store.table("call_edges").count() == 0 and store.table("embeddings").count() == 4
+    assert store.table("call_edges").count() == 0 and store.table("embeddings").count() == 5
     os.remove(tree / "docs/guide.md")
     assert reconcile(spark, str(tree), store) == 1 and reconcile(spark, str(tree), store) == 0
     assert "Guide" not in names(store.table("symbols"))
@@ -109,7 +123,7 @@ def test_no_model_then_backfill(spark, tree, store):
     index_tree(spark, str(tree), store, embedder=E.ZeroEmbedder())
     assert store.table("embeddings").count() == 0
     model = E.HashingEmbedder(dims=16)
-    assert backfill(store, model) == 6 and backfill(store, model) == 0
+    assert backfill(store, model) == 7 and backfill(store, model) == 0
     assert {r["dims"] for r in store.table("embeddings").collect()} == {16}
 
 
@@ -133,15 +147,98 @@ def test_tools(spark, tree, store, capsys):
     assert json.loads(capsys.readouterr().out)["callers"][0]["name"] == "Orchestrate"
 
 
-def test_watch_picks_up_changes_and_deletions(spark, tree, store, tmp_path):
-    seen = []
-    checkpoint = str(tmp_path / "checkpoint")
-    watch(spark, str(tree), store, checkpoint=checkpoint, interval=None, on_batch=seen.append).awaitTermination(120)
-    assert [s.files_indexed for s in seen] == [4, 0]
+def test_one_file_changes_one_bucket(spark, tree, store):
+    index_tree(spark, str(tree), store)
+    before = store._latest()[1]["tables"]["symbols"]
+    (tree / "a.go").write_text("package a\n\nfunc Other() {}\n")
+    index_tree(spark, str(tree), store)
+    after = store._latest()[1]["tables"]["symbols"]
+    assert len(before) > 1 and sum(before[b] != after.get(b) for b in before) == 1
+    store.vacuum()
+    assert "Other" in names(store.table("symbols")) and len(os.listdir(store.root + "/versions")) <= 2
+
+
+def test_a_writer_that_comes_second_works_on_what_the_first_left(spark, store, monkeypatch):
+    row = lambda path: spark.createDataFrame([(path, "h", 1, "go")], "path string, content_hash string, mod_time long, lang string")
+    other, publish, tried = Store(spark, store.root), Store._publish, []
+
+    def late(self, number, version):
+        if self is store and not tried:
+            tried.append(number)
+            other.upsert("files", row("b.go"))
+        return publish(self, number, version)
+
+    monkeypatch.setattr(Store, "_publish", late)
+    store.upsert("files", row("a.go"))
+    assert names(store.table("files"), "path") == ["a.go", "b.go"] and tried
+
+
+def test_a_change_is_indexed_once_it_is_left_alone(spark, tree, store):
+    index_tree(spark, str(tree), store)
+    one = Pass(spark, str(tree), store, quiet=60)
     (tree / "new.go").write_text("package n\n\nfunc Fresh() {}\n")
-    os.remove(tree / "vendor/v.go")
-    watch(spark, str(tree), store, checkpoint=checkpoint, interval=None).awaitTermination(120)
-    assert "Fresh" in names(store.table("symbols")) and "Vendored" not in names(store.table("symbols"))
+    assert one.run() is None and "Fresh" not in names(store.table("symbols"))
+    assert one.run(now=time.time() + 61).files_indexed == 1 and "Fresh" in names(store.table("symbols"))
+    assert one.run(now=time.time() + 61) is None
+    os.utime(tree / "new.go", (1, 1))  # the same contents, another time
+    assert one.run().files_indexed == 0 and one.run() is None
+
+
+def _until(holds, seconds=90):
+    end = time.time() + seconds
+    while time.time() < end:
+        if holds():
+            return True
+        time.sleep(0.5)
+    return False
+
+
+def test_watch_sees_changes_and_deletions_of_their_own(spark, tree, store, tmp_path):
+    seen = []
+    query = watch(spark, str(tree), store, checkpoint=str(tmp_path / "checkpoint"), quiet=0.1, on_batch=seen.append)
+    try:
+        assert seen[0].files_indexed == 5
+        os.remove(tree / "vendor/v.go")  # nothing else changes
+        assert _until(lambda: "Vendored" not in names(store.table("symbols")))
+        (tree / "deep/er").mkdir(parents=True)
+        (tree / "deep/er/new.go").write_text("package n\n\nfunc Fresh() {}\n")
+        assert _until(lambda: "Fresh" in names(store.table("symbols")))
+        os.rename(tree / "deep/er/new.go", tree / "moved.go")
+        assert _until(lambda: names(store.table("symbols").where("name = 'Fresh'"), "file") == ["moved.go"])
+    finally:
+        query.stop()
+    assert checkpoint_of(spark, "a", store) != checkpoint_of(spark, "b", store)
+
+
+def test_languages_that_are_added_are_parsed_by_workers(spark, store):
+    def parse(source, path):
+        return languages.Parsed([Symbol(line, "function") for line in source.split()])
+
+    languages.register(languages.Language("lines", parse, (".lines",)))
+    try:
+        seen = files.with_hash(spark.createDataFrame([("a.lines", 1, bytearray(b"one two"))], "path string, mod_time long, content binary"))
+        assert index_files(store, seen).files_indexed == 1 and names(store.table("symbols")) == ["one", "two"]
+    finally:
+        languages.LANGUAGES.pop()
+
+
+def test_server_answers_tool_calls(spark, tree, store):
+    server = Server(Tools(spark, store), str(tree))
+    ask = lambda method, key=1, **params: json.loads(server.answer(json.dumps({"jsonrpc": "2.0", "id": key, "method": method, "params": params})))
+    call = lambda name, **arguments: ask("tools/call", name=name, arguments=arguments)["result"]
+    assert ask("initialize")["result"]["serverInfo"]["name"] == "fathomer" and ask("ping")["result"] == {}
+    assert [t["name"] for t in ask("tools/list")["result"]["tools"]] == ["index", "search", "file_skeleton", "feature_traverse", "blast_radius"]
+    assert "indexed 5 files" in call("index")["content"][0]["text"]
+    assert json.loads(call("search", query="DoStep", mode="keyword", limit=3)["content"][0]["text"])[0]["name"] == "DoStep"
+    assert {s["name"] for s in json.loads(call("feature_traverse", query="Orchestrate", depth=1)["content"][0]["text"])} == {"Orchestrate", "DoStep"}
+    assert len(json.loads(call("file_skeleton", path="a.go")["content"][0]["text"])) == 3
+    assert json.loads(call("blast_radius", symbol="DoStep")["content"][0]["text"])["callers"][0]["name"] == "Orchestrate"
+    assert call("search")["isError"] and call("search", query="x", mode="zzz")["isError"]
+    assert ask("tools/call", name="nope")["error"]["code"] == -32602 and ask("nope")["error"]["code"] == -32601
+    assert json.loads(server.answer("{"))["error"]["code"] == -32700 and server.answer('{"method": "notifications/initialized"}') is None
+    out = io.StringIO()
+    server.run(io.StringIO('{"id": 1, "method": "ping"}\n\n'), out)
+    assert json.loads(out.getvalue()) == {"jsonrpc": "2.0", "id": 1, "result": {}}
 
 
 def test_debounce_on_a_stream(spark, tmp_path):
@@ -210,6 +307,63 @@ def test_answers_of_servers_are_checked(monkeypatch):
         E.OllamaEmbedder().embed(["a", "b"])
 
 
+@pytest.fixture
+def model_server():
+    """A server with the interfaces of the three model servers; it lists what it was asked."""
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *args):
+            pass
+
+        def reply(self, code, body):
+            data = json.dumps(body).encode()
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self):
+            self.reply(200 if self.path in server.known else 404, {})
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, body, self.headers.get("Authorization")))
+            texts = body.get("input") or body.get("inputs")
+            vectors = [[float(len(t)), 1.0] for t in texts]
+            if self.path == "/api/embed":
+                self.reply(200, {"embeddings": vectors})
+            elif self.path == "/embed":
+                self.reply(200, vectors)
+            elif texts == ["refused"]:
+                self.reply(400, {"error": "no"})
+            else:
+                self.reply(200, {"data": [{"index": i, "embedding": v} for i, v in reversed(list(enumerate(vectors)))]})
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    server.known, server.asked = {"/health"}, asked
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield server
+    server.shutdown()
+
+
+def test_model_servers_are_found_and_asked(model_server):
+    url = f"http://127.0.0.1:{model_server.server_address[1]}"
+    assert isinstance(E.detect({"FATHOMER_EMBED_URL": url}).inner, E.TeiEmbedder)
+    model_server.known = {"/api/tags"}
+    assert isinstance(E.detect({"FATHOMER_EMBED_BACKEND": "auto", "FATHOMER_EMBED_URL": url}).inner, E.OllamaEmbedder)
+    model_server.known = set()
+    assert isinstance(E.detect({"FATHOMER_EMBED_URL": url}), E.HashingEmbedder)
+    want = [[2.0, 1.0], [3.0, 1.0]]
+    assert E.OllamaEmbedder(url, "m").embed(["ab", "abc"]) == E.TeiEmbedder(url).embed(["ab", "abc"]) == E.OpenAIEmbedder(url, "m", 2, "key").embed(["ab", "abc"]) == want
+    assert [(path, auth) for path, _, auth in model_server.asked] == [("/api/embed", None), ("/embed", None), ("/v1/embeddings", "Bearer key")]
+    assert model_server.asked[0][1] == {"model": "m", "input": ["ab", "abc"]}
+    with pytest.raises(E.Permanent):
+        E.OpenAIEmbedder(url, "m", 2).embed(["refused"])
+    with pytest.raises(RuntimeError):
+        E.OpenAIEmbedder(url, "m", 3).embed(["ab"])
+
+
 def test_hashing_embedder_is_steady_and_normal():
     a, b, empty = E.HashingEmbedder(64).embed(["parse config", "parse config", ""])
     assert a == b and np.linalg.norm(a) == pytest.approx(1) and not any(empty)

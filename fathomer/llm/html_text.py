@@ -9,7 +9,7 @@ longer ones first, then, with these decided too, the short ones.
 What is made for something else is no main text, whatever it reads like: some
 elements and roles (menus, footers, forms, scripts ...), and elements named after
 adverts, notices, sidebars, menus and comments.  Only whole words of a class or
-id count, and none of them where the element holds the article itself.  Names
+id count, and, but for comments, none of them where the element holds the article itself.  Names
 that say less (``WEAK``) decide against short blocks alone.  That a block stands
 in an article or main element decides only where the rules leave it open.
 
@@ -62,12 +62,13 @@ _ASIDE = frozenset(
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
-# Words of classes and ids that name adverts, comments, menus, sides of a page and notices.
+# Words of classes and ids that name readers' comments, whose parts may be articles of their own.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+# Words that name adverts, menus, sides of a page and notices.
 STRONG = frozenset(
     """
     ad ads adbox adslot adunit adspace adblock adbanner adwrap adwrapper adcontainer advert adverts advertisement
     advertisements advertising adsense sponsor sponsors sponsored promo promos promotion outbrain taboola
-    comment comments commentlist disqus respond reply replies
     nav navbar navigation topnav sidenav subnav mainnav sitenav menu submenu mainmenu topmenu sidemenu menubar breadcrumb
     breadcrumbs pagination pager
     sidebar sidebars footer
@@ -79,8 +80,9 @@ STRONG = frozenset(
 WEAK = frozenset("share sharing sharebar social related recommended recommendations widget widgets banner login toolbar modal overlay".split())
 # Words that name the head of a page, or, in an article, its own.
 HEAD = frozenset(("header", "masthead", "topbar"))
-#: Words that turn the next one into a remark about something else, as in ``has-sidebar``.
+#: Words that turn the next one, or the one before, into a remark about something else: ``has-sidebar``, ``comments-open``.
 _REMARKS = frozenset(("has", "with", "without", "no", "non", "is"))
+_STATES = frozenset(("open", "closed", "on", "off", "enabled", "disabled", "visible"))
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
@@ -241,13 +243,10 @@ class _Page:
         elif name == "form" or (name == "header" and not top.where):
             found = (True, True)
         elif name not in ("html", "body", "main") and (names := f"{attrs.get('class', '')} {attrs.get('id', '')}").strip():
-            words, before = set(), ""
-            for w in _NAME_WORD.findall(names):
-                w = w.lower()
-                if before not in _REMARKS:
-                    words.add(w)
-                before = w
-            if words & STRONG or (not top.where and words & HEAD):
+            words = _words_of(names)
+            if words & COMMENTS:
+                found = (True, False)
+            elif words & STRONG or (not top.where and words & HEAD):
                 found = (True, True)
             elif words & WEAK:
                 found = (False, True)
@@ -281,6 +280,15 @@ class _Page:
         return out
 
 
+def _words_of(names: str) -> set[str]:
+    """The words of classes and ids, but for remarks."""
+    found = set()
+    for name in names.split():
+        words = [w.lower() for w in _NAME_WORD.findall(name)]
+        found |= {w for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False) if before not in _REMARKS and after not in _STATES}
+    return found
+
+
 def _attributes(rest: str) -> dict[str, str]:
     return {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(rest)} if rest else {}
 

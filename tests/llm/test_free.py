@@ -113,6 +113,8 @@ def test_matches_equal_brute_force(spark):
     rng = random.Random(3)
     vocabulary_ = [f"v{i}" for i in range(300)]
     items = [(i, " ".join(rng.choice(vocabulary_) for _ in range(rng.choice([1, 3, 5, 12, 20, 20, 35])))) for i in range(14)] + [(90, ""), (91, None), (92, "Same Item"), (93, "same item")]
+    # Items that repeat, and items of one template.
+    items += [(80, items[4][1]), (81, items[4][1].upper()), (82, items[10][1])] + [(83 + i, " ".join([f"t{j}" for j in range(25)] + [f"own{i}"])) for i in range(4)]
     docs = []
     for d in range(40):
         w = [rng.choice(vocabulary_) for _ in range(rng.randint(0, 150))]
@@ -124,6 +126,8 @@ def test_matches_equal_brute_force(spark):
             w[at:at] = passage
         docs.append((d, "\n".join(w)))
     docs += [(97, None), (98, ""), (99, "x same item y")]
+    docs += [(100 + i, " ".join(text.split()[:-1])) for i, text in items if text and len(text.split()) > 9]
+    docs += [(200, " ".join(f"t{j}" for j in range(3, 25))), (201, "t0 zz " + " ".join(f"t{j}" for j in range(2, 25)) + " own2")]
     want = brute.contaminated(docs, items)
     schema = "item_id long, text string"
     for block in (20_000, 5):
@@ -137,6 +141,16 @@ def test_matches_equal_brute_force(spark):
     assert decontaminate.find_matches(table(spark, docs), table(spark, [], schema)).count() == 0
 
 
+def test_an_index_answers_for_its_own_block_alone(spark):
+    """One worker gets several indexes; repeated queries and blocks must not meet another's."""
+    docs = table(spark, [(i, f"w{i} x{i} y{i} z{i} v{i} u{i}") for i in range(40)]).repartition(1)
+    for i in (3, 7, 3, 11):
+        items = table(spark, [(1, f"w{i} x{i} y{i} z{i} v{i} u{i}")], "item_id long, text string")
+        assert [(r.doc_id, r.item_id) for r in decontaminate.find_matches(docs, items).collect()] == [(i, 1)]
+    items = table(spark, [(i, f"w{i} x{i} y{i} z{i} v{i} u{i}") for i in range(40)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_matches(docs, items, block=7).collect()) == [(i, i) for i in range(40)]
+
+
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(0)
     one = rng.integers(0, 2, (1, decontaminate.BITS))
@@ -263,9 +277,11 @@ def test_encoder_equals_the_library():
 
 
 def test_packing_round_trip(spark, sf):
+    from tokenizers import Tokenizer
+
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(None, "x"), (10**6, None), (10**6 + 1, ""), (10**6 + 2, "long " * 9000)]
-    encode = packing.Encoder(vocabulary())
-    ids = {doc: encode.ids(text or "").tolist() + [0] for doc, text in docs}
+    library = Tokenizer.from_file(vocabulary())
+    ids = {doc: library.encode(text or "", add_special_tokens=False).ids + [0] for doc, text in docs}
     rows = packing.pack(table(spark, docs).repartition(3).withColumn("start", F.lit(1)), vocabulary()).collect()
     parts, sequences = {}, {}
     for r in rows:

@@ -36,11 +36,12 @@ def traverse(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int
     """
     depth = depth if depth > 0 else 3
     nodes = symbols.select("id", "name")
-    calls = edges.select(F.col("caller_symbol").alias("name"), F.col("callee_symbol").alias("callee")).distinct()
+    calls = edges.select(F.col("caller_symbol").alias("name"), F.col("callee_symbol").alias("callee"))
     frontier = seeds.select("id", "name").distinct()
     visited = frontier.select("id", F.lit(0).alias("hop"))
     for hop in range(1, depth + 1):
-        names = frontier.join(calls, "name").select(F.col("callee").alias("name")).distinct()
+        # Only the calls of the frontier are made distinct; a small frontier is broadcast to the edges.
+        names = calls.join(frontier.select("name"), "name", "left_semi").select(F.col("callee").alias("name")).distinct()
         frontier = nodes.join(names, "name", "left_semi").join(visited, "id", "left_anti")
         if hop > LAZY_HOPS or depth > LAZY_HOPS:
             frontier = written(frontier, "frontier")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fathomer.functions import text as T
 from fathomer.functions import tiers
+from fathomer.functions.vector import cosine
 from fathomer.operators import fts, graph, search, tables
 from fathomer.plans.samples import SAMPLES
 from fathomer.workspace import once, read_table, written
@@ -281,6 +282,20 @@ def knn_per_label(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.select("label", F.col("id").alias("vec_id"), "cosine", "rank")
 
 
+def search_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the ten nearest vectors of each of the first twenty share their label: searches by vector, judged."""
+    from fathomer.plans.evaluation import judged
+
+    v = vectors(spark, sf)
+    asked = F.broadcast(v.where("symbol_id < 20").select(F.col("symbol_id").alias("query"), F.col("vector").alias("q"), F.col("label").alias("wanted")))  # twenty rows
+    pairs = v.crossJoin(asked).where("symbol_id <> query")
+    scored = pairs.select("query", F.col("symbol_id").alias("item"), F.round(cosine(F.col("vector"), F.col("q")), 6).alias("cosine"), (F.col("label") == F.col("wanted")).cast("int").alias("grade"))
+    best = Window.partitionBy("query").orderBy(F.desc("cosine"), "item")
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where("rank <= 10").select("query", "rank", "item")
+    out = judged(ranked, scored.select("query", "item", "grade"), top=10)
+    return out.select("query", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "reciprocal", "ndcg")])
+
+
 def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     semantic = search.semantic_search(symbols(spark, sf), vectors(spark, sf), _vector(spark, sf), 30, digits=6)
     keyword = _index(spark, sf).search(_QUERY, 30)
@@ -582,6 +597,6 @@ QUERIES = {
     reconcile_stale upsert_rows delete_cascade delete_keep_edges replace_by_file edges_dedup_pk embed_text doc_symbol
     percentiles_nearest_rank latency_rollup debounce_sessions index_counters html_symbols
     route_files ignore_filter vector_codec content_hashes embed_documents embed_cached synthetic_trees
-    keyword_scan keyword_default keyword_column keyword_first
+    keyword_scan keyword_default keyword_column keyword_first search_quality
     """.split()
 } | {f"{language}_symbols": functools.partial(_sample, language=language) for language in SAMPLES if language != "html"}

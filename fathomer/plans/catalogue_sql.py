@@ -161,6 +161,15 @@ ORACLE_SQL = {
     "semantic_dedup": f"WITH {_semantic(30, 10)} SELECT id, score, rank FROM semantic",
     "knn_per_label": f"""WITH {_COS} SELECT label, vec_id, cosine, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) AS rank
         FROM cos QUALIFY rank <= 3""",
+    "search_quality": """WITH pairs AS (
+            SELECT a.vec_id AS query, b.vec_id AS item, round(list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS cosine, (a.label = b.label)::INTEGER AS grade
+            FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, item) AS rank FROM pairs QUALIFY rank <= 10),
+        useful AS (SELECT query, sum(grade) AS n, list_sum(list_transform(range(1, least(10, sum(grade)::BIGINT) + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM pairs GROUP BY query),
+        got AS (SELECT query, sum(grade) AS n, min(rank) FILTER (grade = 1) AS first, sum(grade / log2(rank + 1)) AS gain FROM ranked GROUP BY query)
+        SELECT u.query, round(g.n / 10.0::DOUBLE, 9) AS precision, round(CASE WHEN u.n > 0 THEN g.n / u.n ELSE 0 END, 9) AS recall,
+               round(coalesce(1.0::DOUBLE / first, 0), 9) AS reciprocal, round(CASE WHEN u.n > 0 THEN gain / ideal ELSE 0 END, 9) AS ndcg
+        FROM useful u JOIN got g ON g.query = u.query""",
     "hybrid_rrf": f"""WITH {_semantic(90, 30)}, {_THREE},
         words AS (SELECT id, row_number() OVER (ORDER BY exact DESC, id) AS rank FROM hits QUALIFY rank <= 30)
         SELECT coalesce(s.id, w.id) AS id, round(0.6::DOUBLE / (60 + coalesce(s.rank, 130)) + 0.4::DOUBLE / (60 + coalesce(w.rank, 130)), 9) AS score

@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept and returns the columns of
 ``documents``; the last returns the pieces of packed training sequences.
+
+A null text counts as an empty one.  Rows that repeat an id are taken as they
+come; where one of them decides about a document, the others go or stay with it.
+Rows without an id are never compared with others.  Columns besides those of
+``documents`` are carried along, whatever their names, and a stage on an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,12 +21,18 @@ from fathomer.workspace import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told stay."""
+    """Documents whose language is told stay; those without a letter are told none.
+
+    A missing declared language or source is no evidence.
+    """
     return langid.keep_told(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three documents share stay in one; texts and lengths follow."""
+    """Lines that three documents share stay in the one of the largest id; texts and lengths follow.
+
+    No row goes; a text may become empty, and a null one does.
+    """
     kept = line_dedup.with_kept_text(docs)
     return kept.select(*[_renewed(c) for c in docs.columns])
 
@@ -32,17 +44,20 @@ def _renewed(column: str) -> Column:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: shingles of five words, similarity 0.8."""
+    """One document of each group of near-duplicates stays, the one of the least id: shingles of five words, similarity 0.8.
+
+    Texts without words, and rows without an id, are like no others and stay.
+    """
     return neardup.keep_first(docs, size=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item stay."""
+    """Documents that hold no benchmark item stay, and so do rows without an id."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of sequences of at most 1024 tokens."""
+    """What is left, as pieces of sequences of at most 1024 tokens; an empty text is the end token alone."""
     return packing.pack(docs, vocabulary())
 
 

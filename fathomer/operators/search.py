@@ -163,6 +163,7 @@ def search(
     embed: Callable[[str], Sequence[float]],
     limit: int = 10,
     strict: bool = True,
+    digits: int | None = None,
 ) -> DataFrame:
     """Search in one of three modes, re-ranked by the call graph.
 
@@ -175,14 +176,14 @@ def search(
     if not query:
         raise ValueError("a query is needed")
     if mode == "semantic":
-        out = semantic_search(symbols, embeddings, embed(query), limit)
+        out = semantic_search(symbols, embeddings, embed(query), limit, digits=digits)
     elif mode == "hybrid":
         try:
             vector = embed(query)
         except Exception:  # any failure of a remote model leaves keyword search
             out = keyword_search(symbols, tokens_of, query, limit)
         else:
-            out = hybrid_search(symbols, embeddings, tokens_of, vector, query, limit, strict=strict)
+            out = hybrid_search(symbols, embeddings, tokens_of, vector, query, limit, strict=strict, digits=digits)
     else:
         out = keyword_search(symbols, tokens_of, query, limit)
     return rerank_by_call_graph(out, edges)

@@ -44,10 +44,9 @@ def file_hash(files: DataFrame, path: str) -> str:
 
 
 def last_by_key(rows: DataFrame, keys: Iterable[str], order: Column | None = None) -> DataFrame:
-    """One row for each key: the last by ``order``, or any if there is none."""
+    """One row for each key: the last by ``order``, or, without one, the greatest by all columns, so that a rerun keeps the same."""
     keys = list(keys)
-    if order is None:
-        return rows.dropDuplicates(keys)
+    order = F.struct(*rows.columns) if order is None else order
     window = Window.partitionBy(*keys).orderBy(order.desc())
     return rows.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 

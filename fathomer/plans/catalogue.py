@@ -21,7 +21,7 @@ from fathomer.functions import tiers
 from fathomer.functions.vector import cosine
 from fathomer.operators import fts, graph, search, tables
 from fathomer.plans.samples import SAMPLES
-from fathomer.workspace import once, read_table, written
+from fathomer.workspace import new_path, once, read_table, written
 
 _DOC = ("doc_comment",)
 _QUERY = "the that with"
@@ -313,6 +313,17 @@ def hybrid_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "rank")
 
 
+def search_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    """A hybrid search as the tools run it: both lists, fusion, dedup, and re-ranking by calls from each document's name to the next one's."""
+    s = symbols(spark, sf)
+    later = s.select((F.col("id") - 1).alias("id"), F.col("name").alias("callee_symbol"))
+    edges = s.select("id", F.col("name").alias("caller_symbol")).join(later, "id").select("caller_symbol", "callee_symbol")
+    found = search.search(
+        "ing tion", "", symbols=s, embeddings=vectors(spark, sf), tokens_of=_index(spark, sf), edges=edges, embed=lambda _: _vector(spark, sf), digits=6
+    )
+    return found.select("id", "rank")
+
+
 def rerank_call_graph(spark: SparkSession, sf: str) -> DataFrame:
     """The sixty parts of highest price, re-ranked by the calls among them."""
     top = _t(spark, sf, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(60)
@@ -409,6 +420,61 @@ def _indexed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     }
 
 
+def _store(spark: SparkSession, sf: str, *names: str):  # noqa: ANN202
+    """A store on disk that holds some of the five tables; ids begin with the file, as ``symbol_id`` makes them."""
+    from fathomer.plans.store import Store
+
+    found = _indexed(spark, sf)
+    own = F.concat_ws(":", "file", F.col("id").cast("string"))
+    of = symbols(spark, sf).select(F.col("id").alias("symbol_id"), own.alias("own"))
+    found["embeddings"] = vectors(spark, sf).join(of, "symbol_id").select(F.col("own").alias("symbol_id"), "model", F.size("vector").alias("dims"), "vector")
+    found["symbols"] = found["symbols"].withColumn("id", own)
+    store = Store(spark, new_path(spark, "store"), buckets=8)
+    for name in names:
+        store.upsert(name, found[name])
+    return store
+
+
+def stored_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """What a store on disk holds after all tables are put there and two files are deleted."""
+    store = _store(spark, sf, *_KEY_COLUMNS)
+    store.delete_files(_chosen(spark))
+    return _keys(store.tables())
+
+
+def stored_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored hash of a file that is indexed, and of one that is not."""
+    indexed, _ = _snapshots(spark, sf)
+    return spark.createDataFrame([(p, tables.file_hash(indexed, p)) for p in ("7", "none")], "path string, content_hash string")
+
+
+def store_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors of a store whose symbols had some, after the others are embedded."""
+    from fathomer.plans.ingest import backfill
+    from fathomer.sources.embedders import HashingEmbedder
+
+    store = _store(spark, sf, "symbols", "embeddings")
+    backfill(store, HashingEmbedder(8, "m"))
+    return store.table("embeddings").select("symbol_id", "model", F.size("vector").alias("size"))
+
+
+def index_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A store after three runs over a tree of Java files: all, one in ten with another type, and none changed."""
+    from fathomer.plans import samples
+    from fathomer.plans.ingest import index_files
+    from fathomer.plans.store import Store
+    from fathomer.sources.files import with_hash
+
+    tree = samples.files(_t(spark, sf, "supplier"), "java").withColumn("mod_time", F.lit(1).cast("long"))
+    more = F.concat(F.col("content"), F.lit("class Added {}\n").cast("binary"))
+    other = tree.withColumn("content", F.when(F.col("path").rlike(r"0\.java$"), more).otherwise(F.col("content")))
+    store = Store(spark, new_path(spark, "store"))
+    runs = [index_files(store, with_hash(t)) for t in (tree, other, other)]
+    counts = spark.createDataFrame([(f"run {i}", str(r.files_indexed), str(r.symbols)) for i, r in enumerate(runs)], "file string, name string, kind string")
+    edges = store.table("call_edges").select("caller_file", F.concat_ws(">", "caller_symbol", "callee_symbol"), F.lit("call"))
+    return store.table("symbols").select("file", "name", "kind").union(edges).union(counts)
+
+
 def _chosen(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("src1",), ("src2",)], "path string")
 
@@ -554,6 +620,33 @@ def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
+def embed_without_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents through the embedder that stands for having none."""
+    from fathomer.sources.embedders import ZeroEmbedder, embed_rows
+
+    out = embed_rows(_t(spark, sf, "documents").select(F.col("doc_id").alias("symbol_id"), "text"), ZeroEmbedder(4))
+    return out.select("symbol_id", "model", "dims", F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))).alias("total"))
+
+
+class _Picky:
+    """A model that fails on every batch that holds one of some texts."""
+
+    model, dims = "picky", 1
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if any(t.endswith("3") for t in texts):
+            raise RuntimeError("not this one")
+        return [[float(len(t))] for t in texts]
+
+
+def embed_one_by_one(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches that fail are tried text by text: all vectors but those of the texts that fail alone."""
+    from fathomer.sources.embedders import embed_rows
+
+    rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("symbol_id"), F.col("doc_id").cast("string").alias("text"))
+    return embed_rows(rows, _Picky(), batch=7).select("symbol_id", F.col("vector")[0].cast("int").alias("length"))
+
+
 def embed_cached(spark: SparkSession, sf: str) -> DataFrame:
     """Queries through the cache of two: how often the model was asked, and what came out."""
     from fathomer.sources.embedders import cache_trace
@@ -597,6 +690,7 @@ QUERIES = {
     reconcile_stale upsert_rows delete_cascade delete_keep_edges replace_by_file edges_dedup_pk embed_text doc_symbol
     percentiles_nearest_rank latency_rollup debounce_sessions index_counters html_symbols
     route_files ignore_filter vector_codec content_hashes embed_documents embed_cached synthetic_trees
-    keyword_scan keyword_default keyword_column keyword_first search_quality
+    keyword_scan keyword_default keyword_column keyword_first search_quality search_dispatch stored_tables stored_hash
+    store_backfill index_run embed_without_model embed_one_by_one
     """.split()
 } | {f"{language}_symbols": functools.partial(_sample, language=language) for language in SAMPLES if language != "html"}

@@ -257,4 +257,29 @@ ORACLE_SQL = {
     "synthetic_trees": f"""WITH trees AS ({_TREES})
         SELECT 'pkg' || k % 10 || '/file' || k || '.go' AS path, t AS struct, t * m AS method, f AS function, t * m + f - 1 AS calls FROM trees
         UNION ALL SELECT 'pkg' || k % 10 || '/file' || k || '.java', t + 1, t * m + f, 0, t * m + f - 1 FROM trees""",
+    "search_dispatch": f"""WITH {_semantic(90, 30)}, {_bm25([_term("ing"), _term("tion")], "tf0 > 0 AND tf1 > 0")},
+        words AS (SELECT id, row_number() OVER (ORDER BY exact DESC, id) AS rank FROM hits QUALIFY rank <= 30),
+        fused AS (
+            SELECT coalesce(s.id, w.id) AS id, round(0.6::DOUBLE / (60 + coalesce(s.rank, 130)) + 0.4::DOUBLE / (60 + coalesce(w.rank, 130)), 6) AS score
+            FROM semantic s FULL JOIN words w ON s.id = w.id),
+        best AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM fused QUALIFY r <= 10),
+        named AS (SELECT best.*, name, row_number() OVER (PARTITION BY name, kind ORDER BY r) AS nth FROM best JOIN sym ON sym.id = best.id),
+        top AS (SELECT id, name, row_number() OVER (ORDER BY r) - 1 AS i FROM named WHERE nth = 1),
+        pairs AS (SELECT DISTINCT a.name AS caller, b.name AS callee FROM sym a JOIN sym b ON b.id = a.id + 1
+            WHERE a.name IN (SELECT name FROM top) AND b.name IN (SELECT name FROM top)),
+        ends AS (SELECT caller AS name FROM pairs UNION ALL SELECT callee FROM pairs),
+        counts AS (SELECT name, count(*) AS c FROM ends GROUP BY name)
+        SELECT id, row_number() OVER (ORDER BY i - 2 * coalesce(c, 0), i) AS rank FROM top LEFT JOIN counts ON counts.name = top.name""",
+    "stored_tables": _keys(_OUT, _OUT, _OUT, _OUT, _OUT).replace("concat_ws('|', file, id)", "concat_ws('|', file, file || ':' || id)").replace("vec_id::VARCHAR", "file || ':' || vec_id"),
+    "stored_hash": "SELECT '7' AS path, md5(text) AS content_hash FROM documents WHERE doc_id = 7 UNION ALL SELECT 'none', ''",
+    "store_backfill": """SELECT source || ':' || doc_id AS symbol_id, 'm' AS model, CASE WHEN vec_id IS NULL THEN 8 ELSE len(embedding) END AS size
+        FROM documents LEFT JOIN embeddings ON doc_id = vec_id""",
+    "index_run": f"""WITH found AS ({samples.sql("java")}),
+        runs AS (SELECT count(DISTINCT path) AS files, count(*) AS n, count(DISTINCT path) FILTER (path LIKE '%0.java') AS changed, count(*) FILTER (path LIKE '%0.java') AS m FROM found WHERE what = 'symbol')
+        SELECT path AS file, name, kind FROM found WHERE what = 'symbol'
+        UNION ALL SELECT DISTINCT path, 'Added', 'struct' FROM found WHERE path LIKE '%0.java'
+        UNION ALL SELECT path, owner || '>' || name, 'call' FROM found WHERE what = 'call'
+        UNION ALL SELECT 'run 0', files::VARCHAR, n::VARCHAR FROM runs UNION ALL SELECT 'run 1', changed::VARCHAR, (m + changed)::VARCHAR FROM runs UNION ALL SELECT 'run 2', '0', '0'""",
+    "embed_without_model": "SELECT doc_id AS symbol_id, 'none' AS model, 4 AS dims, 0.0::DOUBLE AS total FROM documents",
+    "embed_one_by_one": "SELECT doc_id AS symbol_id, length(doc_id::VARCHAR)::INTEGER AS length FROM documents WHERE doc_id % 10 <> 3",
 } | {f"{language}_symbols": samples.sql(language) for language in samples.SAMPLES}

@@ -1,7 +1,8 @@
 """The tables on disk: buckets of Parquet folders behind numbered versions.
 
 Each table is dealt into buckets by a hash of the file that a row belongs to, so
-a write that concerns some files reads and rewrites their buckets alone.  A
+a write that concerns some files reads and rewrites their buckets alone.  The
+file of a vector is what its symbol's id begins with (``functions.text.symbol_id``).  A
 version is a small file that names the folder of every bucket.  It is put in
 place by one rename that fails if another writer has taken the number, in which
 case the change is worked out anew on what that writer left.  So readers see all
@@ -148,6 +149,9 @@ class Store:
                 system.delete(f.getPath(), False)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
+        """Put rows in place of those of equal key; columns that they lack are null."""
+        kinds = {f.name: f.dataType for f in TABLES[name].fields}
+        rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
         rows = written(rows, "upsert")  # read twice, and again if another writer is first
         self._change(rows.select(_PLACED_BY[name]), lambda now: {name: ops.upsert(now[name], rows, KEYS[name])})
 

@@ -141,3 +141,21 @@ def test_connections_of_all_parts(spark, sf):
     calls = {(one, two) for (order, n), found in lines.items() for one in found for two in lines.get((order, n + 1), [])}
     want = Counter(name for call in calls if set(call) <= parts for name in call)
     assert {r.name: r.connections for r in catalogue.QUERIES["connection_counts"](spark, sf).collect()} == want
+
+
+def test_repeated_keys_keep_the_greatest_row(spark):
+    rows = spark.createDataFrame([(1, "b"), (1, "c"), (1, "a"), (2, None)], "k long, v string").repartition(4)
+    assert sorted((r.k, r.v) for r in tables.last_by_key(rows, ["k"]).collect()) == [(1, "c"), (2, None)]
+
+
+def test_judged_results_of_small_lists(spark):
+    import math
+
+    from fathomer.plans.evaluation import judged
+
+    ranked = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("b", 1, "q")], "query string, rank long, item string")
+    judgements = spark.createDataFrame([("a", "y", 2), ("a", "z", 0), ("a", "w", 1), ("b", "r", 1), ("c", "x", 1), ("d", "x", 0)], "query string, item string, grade int")
+    out = {r["query"]: (r.precision, r.recall, r.reciprocal, r.ndcg) for r in judged(ranked, judgements, top=3).collect()}
+    gain = 2 / math.log2(3)
+    assert out["a"] == pytest.approx((1 / 3, 1 / 2, 1 / 2, gain / (2 + 1 / math.log2(3))))
+    assert out["b"] == out["c"] == out["d"] == (0, 0, 0, 0)

@@ -15,14 +15,19 @@ from pyspark.sql import types as T
 _UNROLLED = 256
 
 
-def _dot(a: Column, b: Sequence[float] | Column) -> Column:
-    if not isinstance(b, Column) and len(b) <= _UNROLLED:
-        total = F.lit(0.0)
-        for i, x in enumerate(b):
-            total = total + F.get(a, F.lit(i)).cast("double") * F.lit(float(x))
-        return total
-    other = F.array(*[F.lit(float(x)) for x in b]) if not isinstance(b, Column) else b
-    product = F.zip_with(a, other, lambda x, y: x.cast("double") * y.cast("double"))
+def _number(x: float) -> str:
+    """A double as an SQL literal."""
+    return f"{float(x)!r}D" if np.isfinite(x) else f"double('{float(x)!r}')"
+
+
+def _dot(a: Column | str, b: Sequence[float] | Column) -> Column:
+    """Numbers are given as one SQL text: a call to the JVM for each of them takes longer than small queries do."""
+    if not isinstance(b, Column):
+        if isinstance(a, str) and 0 < len(b) <= _UNROLLED:
+            name = "`" + a.replace("`", "``") + "`"
+            return F.expr(" + ".join(f"cast(get({name}, {i}) AS double) * {_number(x)}" for i, x in enumerate(b)))
+        b = F.expr(f"cast(array({', '.join(map(_number, b))}) AS array<double>)")
+    product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
 
 
@@ -30,17 +35,19 @@ def _norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def cosine(vector: Column, query: Sequence[float] | Column) -> Column:
+def cosine(vector: Column | str, query: Sequence[float] | Column) -> Column:
     """Cosine similarity, summed in double precision.
 
     0 where the lengths differ, or where either vector is null, empty or zero.
+    The vector is a column or, to have the sum compiled, a column's name.
     """
+    own = F.col(vector) if isinstance(vector, str) else vector
     if isinstance(query, Column):
         size, norm = F.size(query), _norm(query)
     else:
         size, norm = F.lit(len(query)), F.lit(float(np.sqrt(np.square(np.asarray(query, float)).sum())) if len(query) else 0.0)
-    lengths = _norm(vector) * norm
-    comparable = vector.isNotNull() & (F.size(vector) == size) & (F.size(vector) > 0) & (lengths > 0)
+    lengths = _norm(own) * norm
+    comparable = own.isNotNull() & (F.size(own) == size) & (F.size(own) > 0) & (lengths > 0)
     return F.when(comparable, _dot(vector, query) / lengths).otherwise(0.0)
 
 

@@ -37,7 +37,7 @@ def dedup_by_name_kind(ranked: DataFrame) -> DataFrame:
 def similarities(embeddings: DataFrame, query: Sequence[float], *, model: str | None = None) -> DataFrame:
     """``id, cosine`` of every vector."""
     rows = embeddings if model is None else embeddings.where(F.col("model") == model)
-    return rows.select(F.col("symbol_id").alias("id"), cosine(F.col("vector"), query).alias("cosine"))
+    return rows.select(F.col("symbol_id").alias("id"), cosine("vector", query).alias("cosine"))
 
 
 def nearest(embeddings: DataFrame, query: Sequence[float], limit: int = 10, *, model: str | None = None, digits: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ text; the text meets its decisions once, as a run-length keep bitmap.
     the work folder (16 bytes a line).
 2.  The hashes are range-partitioned with a slice of the documents as second
     key, so that a line found in a third of all documents is spread over
-    ``SLICES`` ranges; within a range they are sorted by hash, document and
+    as many ranges as there are; within a range they are sorted by hash, document and
     position, and a window streams over them, marking the first line of each
     document.  Each slice gives one row, and the slices of a hash are combined.
 3.  Hashes of enough documents are joined with the lines again (a sort-merge
@@ -26,7 +26,7 @@ from fathomer.workspace import written
 #: White space as the contracts of this package define it: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Ranges over which the documents of one line may be spread.
+#: Slices of the documents, over which one line may be spread; as many as there are ranges, if these are more.
 SLICES = 32
 
 
@@ -73,7 +73,7 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slice_of = F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int")
+    slice_of = F.pmod(F.xxhash64("doc_id"), F.lit(max(SLICES, parts))).cast("int")
     ranged = lines.select("h1", "h2", slice_of.alias("slice"), "doc_id", "pos").repartitionByRange(parts, "h1", "h2", "slice")
     stream = Window.partitionBy("h1", "h2", "slice").orderBy(F.desc("doc_id"), "pos")
     opens = F.lag("doc_id").over(stream)

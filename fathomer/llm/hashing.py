@@ -17,7 +17,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 #: Longer texts are taken in pieces that end at white space.
-_PIECE = 1 << 18
+_PIECE = 1 << 16
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

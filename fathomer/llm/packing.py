@@ -37,9 +37,6 @@ _SPECIAL = "<|endoftext|>"
 #: The split pattern of byte-level BPE with this vocabulary (a fixed value).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_loaded: dict[str, object] = {}
-
-
 def _byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for.
 
@@ -84,13 +81,6 @@ class Encoder:
         return self._fast.encode_to_numpy(text, disallowed_special=()) if hasattr(self._fast, "encode_to_numpy") else np.array(self._fast.encode_ordinary(text), np.uint32)
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a file, loaded once a Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
-
-
 def cuts(length: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[int, int]]:
     """(class, length) of the pieces of a document; class ``classes`` is the tail's."""
     out = [(1, capacity)] * (length // capacity)
@@ -184,7 +174,7 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = Encoder(vocabulary)  # a third of a second a task; kept, it would take 20 MB of every idle worker
         packer = Packer(TaskContext.get().partitionId() << 33, capacity)
         end = np.zeros(1, np.uint32)
         rows: list[tuple] = []

@@ -48,3 +48,8 @@ def test_traversal_has_no_nested_loops(spark, sf):
 @pytest.mark.parametrize("name", ["keyword_search", "semantic_topk", "source_tier", "extract_keywords", "debounce_sessions", "replace_by_file"])
 def test_hot_paths_stay_in_the_jvm(spark, sf, name):
     assert "Python" not in plan(catalogue.QUERIES[name](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["documents", "pages", "customer", "supplier"])
+def test_tables_that_python_works_on_are_dealt_over_all_cores(name, spark, sf):
+    assert catalogue._t(spark, sf, name).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -310,3 +310,8 @@ def test_routing_and_truncation():
 @pytest.mark.parametrize("source", ["", "\n", "{", "}", "func (", "class", "'", '"', "/*", "```", "<h1", "a" * 3000, "((((" * 200, "{" * 300, "\x00퟿"])
 def test_no_source_breaks_a_parser(path, source):
     parsed(path, source)
+
+
+def test_html_references_end_with_a_semicolon():
+    found = parsed("a.html", "<title>a &amp; b &amp</title><h1>&lt; &#39; &#x41; &ampx; &lt</h1><h2>&amp;amp;</h2>")
+    assert [s.name for s in found.symbols] == ["a & b &amp", "< ' A &ampx; &lt", "&amp;"]

@@ -68,17 +68,19 @@ def _lexed(query: str) -> list[tuple[str, str]]:
     return out
 
 
-def split_terms(text: str) -> tuple[str, ...]:
+def split_terms(text: str, *, folded: bool = True) -> tuple[str, ...]:
     """The tokens of a text, as ``functions.text.tokens`` cuts them."""
     import unicodedata
 
-    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    plain = text.lower()
+    if folded:
+        plain = "".join(c for c in unicodedata.normalize("NFD", plain) if not unicodedata.combining(c))
     return tuple(t for t in re.split(r"[\W_]+", plain) if t)
 
 
 class _Parser:
-    def __init__(self, query: str, columns: tuple[str, ...]) -> None:
-        self.items, self.at, self.columns = _lexed(query), 0, columns
+    def __init__(self, query: str, columns: tuple[str, ...], folded: bool) -> None:
+        self.items, self.at, self.columns, self.folded = _lexed(query), 0, columns, folded
 
     def peek(self, kind: str, value: str | None = None, ahead: int = 0) -> bool:
         at = self.at + ahead
@@ -192,9 +194,9 @@ class _Parser:
         prefix = False
         while True:
             if self.peek("string"):
-                terms += split_terms(self.take("string"))
+                terms += split_terms(self.take("string"), folded=self.folded)
             elif self.peek("word") and self.items[self.at][1] not in ("AND", "OR", "NOT"):
-                terms += split_terms(self.take("word"))
+                terms += split_terms(self.take("word"), folded=self.folded)
             else:
                 self.take("word", "a term")
             if self.peek("mark", "*"):
@@ -215,9 +217,9 @@ def _limited(node: Node, allowed: tuple[str, ...]) -> Node:
     return replace(node, parts=tuple(_limited(p, allowed) for p in node.parts))
 
 
-def parse(query: str, columns: tuple[str, ...] = COLUMNS) -> Node | None:
-    """The tree of a query; None if it has no terms."""
-    return _Parser(query, columns).whole()
+def parse(query: str, columns: tuple[str, ...] = COLUMNS, *, folded: bool = True) -> Node | None:
+    """The tree of a query; None if it has no terms.  Terms are folded as the tokens are that they are looked for in."""
+    return _Parser(query, columns, folded).whole()
 
 
 def phrases(node: Node) -> list[Phrase]:
@@ -360,16 +362,16 @@ def bm25(tf: Column, df: Column, n: Column, dl: Column, average: Column) -> Colu
     return idf * (tf * (K1 + 1)) / (tf + K1 * ((1 - B) + B * dl / average))
 
 
-def search(tokens_of: DataFrame, query: str, *, limit: int | None = 10, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+def search(tokens_of: DataFrame, query: str, *, limit: int | None = 10, columns: tuple[str, ...] = COLUMNS, folded: bool = True) -> DataFrame:
     """``id, score, rank`` of the best rows of a query, by score, then id.
 
-    ``tokens_of`` comes from ``tokenized``.  The score is BM25 over all
+    ``tokens_of`` comes from ``tokenized`` with the same ``folded``.  The score is BM25 over all
     phrases, larger is better.  A query without terms finds nothing; a
     malformed one raises ``QueryError``.  A limit of 0 or less is 10; None
     returns all matches, without order and rank.
     """
     limit = 10 if limit is not None and limit <= 0 else limit
-    node = parse(query, columns)
+    node = parse(query, columns, folded=folded)
     known = list(dict.fromkeys(phrases(node))) if node else []
     if not any(p.terms for p in known):
         return tokens_of.sparkSession.createDataFrame([], _result_schema(tokens_of))
@@ -433,13 +435,14 @@ class Index:
     n: int
     average: float
     columns: tuple[str, ...] = field(default=COLUMNS)
+    folded: bool = True
 
     @classmethod
     def build(cls, rows: DataFrame, *, id_col: str = "id", columns: tuple[str, ...] = COLUMNS, folded: bool = True) -> Index:
         arrays = written(tokenized(rows, id_col=id_col, columns=columns, folded=folded), "tokens")
         inverted = written(postings(arrays, columns).repartitionByRange("term").sortWithinPartitions("term", "id"), "postings")
         figures = arrays.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
-        return cls(arrays, inverted, figures["n"], figures["average"] or 0.0, columns)
+        return cls(arrays, inverted, figures["n"], figures["average"] or 0.0, columns, folded)
 
     def search(self, query: str, limit: int | None = 10) -> DataFrame:
         """As ``fts.search``, from the postings of the query's terms.
@@ -448,10 +451,10 @@ class Index:
         these terms.
         """
         limit = 10 if limit is not None and limit <= 0 else limit
-        node = parse(query, self.columns)
+        node = parse(query, self.columns, folded=self.folded)
         known = list(dict.fromkeys(phrases(node))) if node else []
         if not all(p.terms for p in known) or not known:  # what has no terms may match all rows
-            return search(self.tokens_of, query, limit=limit, columns=self.columns)
+            return search(self.tokens_of, query, limit=limit, columns=self.columns, folded=self.folded)
         rows = _Places(self.columns, known)
         placed = self.postings.where(rows.wanted()).groupBy("id", "dl").agg(*rows.gathered())
         counts = {p: F.col(f"tf{i}") for i, p in enumerate(known)}

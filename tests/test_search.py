@@ -195,3 +195,12 @@ def test_failed_embedding_falls_back_to_keywords(spark):
     with pytest.raises(ValueError):
         search.search("", "keyword", **parts)
 
+
+
+def test_terms_are_folded_as_the_tokens_are(spark):
+    found = spark.createDataFrame([("a", "La Citación"), ("b", "la citacion")], "id string, doc_comment string")
+    for folded, query, ids in ((False, "citación", ["a"]), (False, "CITACIÓN*", ["a"]), (False, '"la citacion"', ["b"]), (True, "citación", ["a", "b"])):
+        index = fts.Index.build(found, columns=("doc_comment",), folded=folded)
+        tokens = fts.tokenized(found, columns=("doc_comment",), folded=folded)
+        for hits in (index.search(query, None), fts.search(tokens, query, limit=None, columns=("doc_comment",), folded=folded)):
+            assert sorted(r["id"] for r in hits.collect()) == ids

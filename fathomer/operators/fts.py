@@ -2,8 +2,8 @@
 
 A query is parsed into a tree of phrases and turned into expressions over the
 places at which each row has the phrases' terms.  ``Index`` stores postings
-once, sorted by term, with each row's length, and answers from the postings of
-the query's terms alone, whose filter reaches the Parquet scan.  ``search``
+once, in runs sorted by term, with each row's length, and answers from the
+postings of the query's terms alone, whose filter reaches the Parquet scan.  ``search``
 answers from token arrays without an index, in one pass over all rows.
 
 The language: barewords, ``"phrases"``, ``prefix*``, ``^first``, ``a + b``,
@@ -14,14 +14,16 @@ and parentheses.  Terms side by side must all match.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomer.functions.text import let, tokens
-from fathomer.workspace import written
+from fathomer.workspace import bounded_batches, written
 
 COLUMNS = ("name", "signature", "doc_comment")
 K1, B = 1.2, 0.75
@@ -406,57 +408,110 @@ def ranked(hits: DataFrame, limit: int | None) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
 
 
+def _grouped(name: str) -> Column:
+    """A row's postings in one column: ``term, positions, col`` for each of its terms, by term.
+
+    Tokens are sorted and cut where the term changes, so a row's work grows as
+    its sorted tokens do.
+    """
+
+    def cut(found: Column) -> Column:
+        size = F.size(found)
+        places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+        heads = F.filter(places, lambda i: (i == 0) | (F.get(found, i - 1)["term"] != F.get(found, i)["term"]))
+
+        def one(head: Column, i: Column, k: Column) -> Column:
+            own = F.slice(found, i + 1, F.coalesce(F.get(head, k + 1), size) - i)
+            return F.struct(F.get(found, i)["term"].alias("term"), F.transform(own, lambda x: x["pos"]).alias("positions"), F.lit(name).alias("col"))
+
+        return let(heads, lambda head: F.transform(head, lambda i, k: one(head, i, k)))
+
+    return let(F.array_sort(F.transform(f"tok_{name}", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))), cut)
+
+
 def postings(tokens_of: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """The inverted index: ``term, id, col, tf, positions, dl``.
 
-    Rows are dealt by id before their tokens are listed, so that tokens are
-    counted where they are.
+    A row has an id of its own, so its tokens are counted where they are and
+    nothing is shuffled.
     """
-    dealt = tokens_of.repartition("id")
+    rows = tokens_of.select("id", "dl", F.inline(F.flatten(F.array(*map(_grouped, columns)))))
+    return rows.select("term", "id", "col", F.size("positions").cast("long").alias("tf"), "positions", "dl")
+
+
+#: Postings that are sorted together, and a row group of the stored index.
+RUN = 1 << 19
+#: The term of the posting that every row has, for its length: no token is empty.
+_ROW = ""
 
-    def listed(name: str) -> Column:
-        return F.transform(f"tok_{name}", lambda t, i: F.struct(F.lit(name).alias("col"), i.alias("pos"), t.alias("term")))
 
-    rows = dealt.select("id", "dl", F.inline(F.flatten(F.array(*map(listed, columns)))))
-    return rows.groupBy("term", "id", "col", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "id", "col", "tf", "positions", "dl")
+def _runs(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Postings in runs of ``size``, each sorted by term and id."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def ordered(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        return iter(table.combine_chunks().sort_by([("term", "ascending"), ("id", "ascending")]).to_batches(1 << 16))
+
+    for part in parts:
+        held.append(part)
+        count += part.num_rows
+        if count >= size:
+            table = pa.Table.from_batches(held)
+            while count >= size:
+                yield from ordered(table.slice(0, size))
+                table, count = table.slice(size), count - size
+            held = table.combine_chunks().to_batches()
+    if count:
+        yield from ordered(pa.Table.from_batches(held))
 
 
 @dataclass
 class Index:
-    """Postings and token arrays, written once and read by every query.
+    """Postings, written once and read by every query.
 
-    Postings are range-partitioned and sorted by term, so a filter on terms
-    skips all but a few row groups.
+    Each task writes its postings in sorted runs of bounded size, a row group
+    each, so they are neither shuffled nor spilled, and a filter on terms skips
+    all but a few pages of a row group.
     """
 
-    tokens_of: DataFrame
-    postings: DataFrame
+    #: Also a posting of the empty term for each row.
+    stored: DataFrame
     #: How many rows there are, and their mean length.
     n: int
     average: float
     columns: tuple[str, ...] = field(default=COLUMNS)
     folded: bool = True
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.stored.where(F.col("term") != _ROW)
+
     @classmethod
-    def build(cls, rows: DataFrame, *, id_col: str = "id", columns: tuple[str, ...] = COLUMNS, folded: bool = True) -> Index:
-        arrays = written(tokenized(rows, id_col=id_col, columns=columns, folded=folded), "tokens")
-        inverted = written(postings(arrays, columns).repartitionByRange("term").sortWithinPartitions("term", "id"), "postings")
-        figures = arrays.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
-        return cls(arrays, inverted, figures["n"], figures["average"] or 0.0, columns, folded)
+    def build(cls, rows: DataFrame, *, id_col: str = "id", columns: tuple[str, ...] = COLUMNS, folded: bool = True, run: int = RUN) -> Index:
+        bounded_batches(rows.sparkSession)
+        arrays = tokenized(rows, id_col=id_col, columns=columns, folded=folded)
+        none = F.array(F.struct(F.lit(_ROW).alias("term"), F.array().cast("array<int>").alias("positions"), F.lit("").alias("col")))
+        found = arrays.select("id", "dl", F.inline(F.flatten(F.array(none, *map(_grouped, columns))))).select("term", "id", "col", "positions", "dl")
+        sorted_runs = found.mapInArrow(lambda parts: _runs(parts, run), found.schema)
+        stored = written(sorted_runs, "postings", compression="zstd", **{"parquet.block.row.count.limit": run})
+        figures = stored.where(F.col("term") == _ROW).agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
+        return cls(stored, figures["n"], figures["average"] or 0.0, columns, folded)
 
     def search(self, query: str, limit: int | None = 10) -> DataFrame:
         """As ``fts.search``, from the postings of the query's terms.
 
         Only rows that hold one of the terms are shuffled, with the places of
-        these terms.
+        these terms; all rows where a phrase without terms may match them.
         """
         limit = 10 if limit is not None and limit <= 0 else limit
         node = parse(query, self.columns, folded=self.folded)
         known = list(dict.fromkeys(phrases(node))) if node else []
-        if not all(p.terms for p in known) or not known:  # what has no terms may match all rows
-            return search(self.tokens_of, query, limit=limit, columns=self.columns, folded=self.folded)
+        if not any(p.terms for p in known):
+            return self.stored.sparkSession.createDataFrame([], _result_schema(self.stored))
         rows = _Places(self.columns, known)
-        placed = self.postings.where(rows.wanted()).groupBy("id", "dl").agg(*rows.gathered())
+        wanted = rows.wanted() if all(p.terms for p in known) else rows.wanted() | (F.col("term") == _ROW)
+        placed = self.stored.where(wanted).groupBy("id", "dl").agg(*rows.gathered())
         counts = {p: F.col(f"tf{i}") for i, p in enumerate(known)}
         tfs = [f"tf{i}" for i in range(len(known))]
         counted = placed.withColumns({f"tf{i}": _count(rows, p) for i, p in enumerate(known)})

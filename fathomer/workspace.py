@@ -57,11 +57,11 @@ def once(spark: SparkSession, name: str, folder: str, build: Callable[[], object
     return _made[key][1]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table of the work folder, read again."""
+def written(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """``df`` as a Parquet table of the work folder, read again; ``options`` are the writer's."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

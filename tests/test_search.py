@@ -204,3 +204,29 @@ def test_terms_are_folded_as_the_tokens_are(spark):
         tokens = fts.tokenized(found, columns=("doc_comment",), folded=folded)
         for hits in (index.search(query, None), fts.search(tokens, query, limit=None, columns=("doc_comment",), folded=folded)):
             assert sorted(r["id"] for r in hits.collect()) == ids
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    found = spark.createDataFrame([(1, "b a b"), (2, None), (3, "A b"), (4, "")], "id long, doc_comment string")
+    made = fts.postings(fts.tokenized(found, columns=("doc_comment",)), ("doc_comment",))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r["term"], r["id"], r["col"], r["tf"], r["positions"], r["dl"]) for r in made.collect())
+    assert rows == [("a", 1, "doc_comment", 1, [1], 3), ("a", 3, "doc_comment", 1, [0], 2), ("b", 1, "doc_comment", 2, [0, 2], 3), ("b", 3, "doc_comment", 1, [1], 2)]
+
+
+@pytest.mark.parametrize("run", [1, 3, 1000])
+def test_an_index_is_written_in_sorted_runs(spark, rows, run):
+    import pyarrow.parquet as pq
+
+    source = spark.createDataFrame([(k, *v) for k, v in TEXTS.items()], "id string, name string, signature string, doc_comment string").coalesce(1)
+    index = fts.Index.build(source, run=run)
+    assert index.n == len(TEXTS) and index.postings.where("term = ''").isEmpty()
+    for path in index.stored.inputFiles():
+        written = pq.ParquetFile(path.removeprefix("file://"))
+        assert written.num_row_groups == -(-written.metadata.num_rows // run)
+        for i in range(written.num_row_groups):
+            keys = written.read_row_group(i, ["term", "id"]).to_pylist()
+            assert keys == sorted(keys, key=lambda k: (k["term"], k["id"]))
+    for query in ('pod OR "watch logs"', "pod NOT login", '"" OR pod', 'pod ""'):
+        expected = {r["id"]: pytest.approx(r["score"]) for r in fts.search(rows, query, limit=None).collect()}
+        assert {r["id"]: r["score"] for r in index.search(query, None).collect()} == expected

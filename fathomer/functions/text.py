@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}]+"
 _KEYWORD = r"[a-z0-9]+(?:[-_.][a-z0-9]+)*"
 MIN_TERM, MAX_TERM, MAX_TERMS = 3, 30, 12
+#: Callees and imports that a symbol's text shows.
+MAX_CALLS, MAX_IMPORTS = 10, 6
 
 # Words that a query drops.
 STOPWORDS = tuple(
@@ -138,7 +140,7 @@ def embed_text(
     for extra in (doc, snippet):
         if extra is not None:
             parts.append(F.when(F.coalesce(extra, F.lit("")) != "", F.concat(F.lit("\n"), extra)).otherwise(""))
-    for title, names, most in (("calls", calls, 10), ("imports", imports, 6)):
+    for title, names, most in (("calls", calls, MAX_CALLS), ("imports", imports, MAX_IMPORTS)):
         if names is not None:
             some = F.slice(F.array_distinct(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x != "")), 1, most)
             parts.append(F.when(F.size(some) > 0, F.concat(F.lit(f"\n{title}: "), F.array_join(some, ", "))).otherwise(""))

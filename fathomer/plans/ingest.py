@@ -5,10 +5,10 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomer.functions.text import embed_text
+from fathomer.functions.text import MAX_CALLS, MAX_IMPORTS, embed_text
 from fathomer.operators import tables as ops
 from fathomer.plans.store import Store
 from fathomer.sources.embedders import Embedder, HashingEmbedder, ZeroEmbedder, embed_rows
@@ -30,10 +30,21 @@ def in_order(rows: DataFrame, keys: list, value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", value))), lambda x: x[value]).alias(value + "s"))
 
 
+def first_different(rows: DataFrame, keys: dict[str, str], value: str, most: int) -> DataFrame:
+    """The keys by their new names, and in the order of ``seq`` the first ``most`` different values of each that are not empty, for ``in_order``.
+
+    A key may have very many values, so they are cut before they are listed.
+    """
+    named = [F.col(old).alias(new) for new, old in keys.items()]
+    firsts = rows.where(F.col(value) != "").groupBy(*named, value).agg(F.min("seq").alias("first"))
+    nth = Window.partitionBy(*keys).orderBy("first", value)
+    return firsts.withColumn("seq", F.row_number().over(nth)).where(F.col("seq") <= most)
+
+
 def enriched(symbols: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
     """``symbol_id, text``: symbols with snippet, callees and imports, in source order."""
-    called = in_order(calls, [F.col("caller_file").alias("file"), F.col("caller_symbol").alias("name")], "callee_symbol")
-    imported = in_order(imports, [F.col("importer_file").alias("file")], "imported_path")
+    called = in_order(first_different(calls, {"file": "caller_file", "name": "caller_symbol"}, "callee_symbol", MAX_CALLS), ["file", "name"], "callee_symbol")
+    imported = in_order(first_different(imports, {"file": "importer_file"}, "imported_path", MAX_IMPORTS), ["file"], "imported_path")
     joined = symbols.join(called, ["file", "name"], "left").join(imported, "file", "left")
     c = F.col
     text = embed_text(

@@ -386,3 +386,19 @@ def test_synthetic_tree_and_evaluation(spark, store):
     assert {(r["query"], r["name"]) for r in out.collect()} >= {("Helper0_1", "Helper0_1"), ("nothing like it", None)}
     assert [r["p"] for r in latencies(out).orderBy("p").collect()] == [50.0, 95.0, 99.0]
     assert names(tools.feature_traverse("Helper0_1", 2))[:3] == ["Helper0_1", "Helper0_2", "Helper0_3"]
+
+
+def test_lists_are_cut_before_they_are_joined(spark):
+    """The first ten different callees and six imports that are not empty, by their first place; no row holds a longer list."""
+    from fathomer.plans.ingest import enriched, first_different
+
+    calls = [("f", "n", None if i == 3 else "" if i < 3 else f"c{i % 40:02d}", i) for i in range(500)]
+    imports = [("f", f"m{9 - i % 10}", i) for i in range(100)]
+    made = spark.createDataFrame(calls, "caller_file string, caller_symbol string, callee_symbol string, seq int")
+    some = first_different(made, {"file": "caller_file", "name": "caller_symbol"}, "callee_symbol", 10)
+    assert sorted((r["seq"], r["callee_symbol"]) for r in some.collect()) == [(i + 1, f"c{i + 4:02d}") for i in range(10)]
+    shown = "id string, file string, kind string, name string, receiver string, signature string, doc_comment string, snippet string"
+    symbols = spark.createDataFrame([("1", "f", "function", "n", "", "", "", ""), ("2", "g", "function", "n", "", "", "", "")], shown)
+    got = enriched(symbols, made, spark.createDataFrame(imports, "importer_file string, imported_path string, seq int"))
+    texts = {r["symbol_id"]: r["text"] for r in got.collect()}
+    assert texts == {"1": "f function n\ncalls: " + ", ".join(f"c{i:02d}" for i in range(4, 14)) + "\nimports: m9, m8, m7, m6, m5, m4", "2": "g function n"}

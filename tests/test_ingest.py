@@ -402,3 +402,23 @@ def test_lists_are_cut_before_they_are_joined(spark):
     got = enriched(symbols, made, spark.createDataFrame(imports, "importer_file string, imported_path string, seq int"))
     texts = {r["symbol_id"]: r["text"] for r in got.collect()}
     assert texts == {"1": "f function n\ncalls: " + ", ".join(f"c{i:02d}" for i in range(4, 14)) + "\nimports: m9, m8, m7, m6, m5, m4", "2": "g function n"}
+
+
+def test_each_token_of_a_batch_is_hashed_once(monkeypatch):
+    import hashlib
+
+    from fathomer.sources import embedders
+
+    asked = []
+    md5 = hashlib.md5
+    monkeypatch.setattr(embedders.hashlib, "md5", lambda data, **k: (asked.append(data), md5(data, **k))[1])
+    texts = ["ab abCd x1 Äb", "", "cd AB ab " * 50, "Cd"]
+    found = embedders.HashingEmbedder(8).embed(texts)
+    assert sorted(asked) == sorted(t.encode() for t in ("ab", "cd", "x1", "äb"))
+    for text, vector in zip(["ab ab cd x1 äb", "", "cd ab ab " * 50, "cd"], found, strict=True):
+        sums = [0.0] * 8
+        for token in text.split():
+            h = int.from_bytes(md5(token.encode()).digest()[:4], "big")
+            sums[h % 8] += 1.0 if h >> 31 else -1.0
+        norm = sum(x * x for x in sums) ** 0.5
+        assert vector == pytest.approx([x / norm if norm else 0.0 for x in sums])

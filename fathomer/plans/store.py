@@ -97,13 +97,15 @@ class Store:
 
     # -- writing ---------------------------------------------------------------------------
 
-    def _change(self, files: DataFrame, build: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> None:
-        """Rewrite the buckets of ``files`` (one column) by what ``build`` makes of their rows in all tables."""
-        key = F.col(files.columns[0])
+    def _change(self, files: DataFrame | None, build: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> None:
+        """Rewrite the buckets of ``files`` (one column; None: all buckets) by what ``build`` makes of their rows in all tables."""
         for _ in range(ATTEMPTS):
             number, version = self._latest()
             place = lambda column: F.pmod(F.xxhash64(F.substring_index(column, ":", 1)), F.lit(version["buckets"])).cast("int")  # noqa: B023, E731
-            touched = {r["b"] for r in files.select(place(key).alias("b")).distinct().collect()}  # at most as many as there are buckets
+            if files is None:
+                touched = set(range(version["buckets"]))
+            else:
+                touched = {r["b"] for r in files.select(place(F.col(files.columns[0])).alias("b")).distinct().collect()}  # at most as many as there are buckets
             if not touched:
                 return
             now = {name: self._read(version, name, touched) for name in TABLES}
@@ -155,6 +157,10 @@ class Store:
         rows = written(rows, "upsert")  # read twice, and again if another writer is first
         self._change(rows.select(_PLACED_BY[name]), lambda now: {name: ops.upsert(now[name], rows, KEYS[name])})
 
+    def replace(self, changed: dict[str, DataFrame]) -> None:
+        """Whole tables in place of those of their names, all together; other tables stay."""
+        self._change(None, lambda now: changed)
+
     def replace_files(self, parsed: dict[str, DataFrame], paths: DataFrame) -> None:
         """Everything that some files hold, in all tables at once."""
         self._change(paths.select("path"), lambda now: ops.replace_files(now, parsed, paths))

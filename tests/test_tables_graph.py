@@ -129,6 +129,18 @@ def test_store_versions(spark, tmp_path):
     assert names(store.table("symbols")) == ["B"]
 
 
+def test_store_replaces_whole_tables(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "index"))
+    store.replace(tiny(spark))
+    before = store.version("files")
+    store.replace({"symbols": spark.createDataFrame([("c.go:C:function", "c.go", "C", "function", "", "", 1, 2, "", "", 1)], TABLES["symbols"])})
+    assert names(store.table("symbols")) == ["C"]  # no bucket of the old table is left
+    assert store.version("files") == before and store.table("files").count() == 2
+    store.replace({"symbols": store.table("symbols").limit(0)})
+    store.vacuum()
+    assert store.table("symbols").count() == 0
+
+
 def test_connections_of_all_parts(spark, sf):
     from collections import Counter
 
